@@ -70,3 +70,29 @@ def extended(df: DataFrame, *more: T.StructField) -> T.StructType:
     """The schema of ``df`` without columns called like ``more``, then ``more``."""
     taken = {f.name.lower() for f in more}
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in taken] + list(more))
+
+
+class Remembered(dict):
+    """A mapping that computes missing values and remembers some 2 x ``most`` of them.
+
+    Two generations: when the young one is full it becomes the old one, and what
+    is still asked for moves back. So memory is bounded and frequent keys stay.
+    """
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        return self.put(key, self.compute(key) if value is None else value)
+
+    def put(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -34,20 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Remembered, materialize
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, SEGMENT, GAP, BLOCK = 13, 1_500_000, 256, 4 << 20
 
 
-class Terms(dict):
-    """Word to 64-bit term number, remembered; emptied beyond a bound."""
+class Terms(Remembered):
+    """Word to 64-bit term number."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def compute(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def terms_of(text: str | None, lookup: Terms) -> np.ndarray:

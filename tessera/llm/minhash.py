@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Remembered, materialize
 from .links import linked_groups
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -47,14 +47,11 @@ SPREAD, SECOND = (0x9E3779B1, 0x85EBCA6B), (0xC2B2AE35, 0x27D4EB2F)
 MANY = 256
 
 
-class Words(dict):
-    """Word to a 64-bit hash, remembered; emptied beyond a bound."""
+class Words(Remembered):
+    """Word to a 64-bit hash."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def compute(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def shingles(text: str | None, lookup: Words) -> np.ndarray:

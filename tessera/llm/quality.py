@@ -28,25 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, extended
+from .common import Remembered, crc_mod, extended
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 4, 2
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 CHUNK = 400_000
 
 
-class Buckets(dict):
-    """Token to bucket, remembered; emptied when it would grow beyond a bound."""
+class Buckets(Remembered):
+    """Token to bucket."""
 
-    def __init__(self, buckets: int, most: int = 300_000):
+    def __init__(self, buckets: int):
         super().__init__()
-        self.buckets, self.most = buckets, most
+        self.buckets = buckets
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        self[token] = h = zlib.crc32(token) % self.buckets
-        return h
+    def compute(self, token: bytes) -> int:
+        return zlib.crc32(token) % self.buckets
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import Remembered, materialize, scratch
 
 MAGIC = b"TSRASST1"
 FOOTER = struct.Struct("<IIQQQQQQI8s")
@@ -50,36 +50,27 @@ UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
-class Units(dict):
-    """Ids of a unit as packed bytes, remembered; emptied beyond a bound."""
+class Units(Remembered):
+    """Ids of a unit as packed bytes."""
 
-    def __init__(self, tokenizer, code: str, most: int = 250_000):
+    def __init__(self, tokenizer, code: str):
         super().__init__()
-        self.tokenizer, self.code, self.most = tokenizer, code, most
+        self.tokenizer, self.code = tokenizer, code
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.code).tobytes()
+    def compute(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.code).tobytes()
 
-    def learn(self, units) -> None:
+    def learn(self, units: list[str]) -> None:
         """Encode units that are not known yet, all at once."""
-        units = [u for u in units if u not in self]
-        if len(self) + len(units) > self.most:
-            self.clear()
         for u, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            self[u] = np.array(e.ids, self.code).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        self[unit] = packed = self.whole(unit)
-        return packed
+            self.put(u, np.array(e.ids, self.code).tobytes())
 
     def encode(self, text: str) -> bytes:
         if ODD.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
+            return self.compute(text)
         units = UNIT.findall(text)
-        missing = set(units).difference(self)
-        if missing:
+        if missing := [u for u in set(units) if u not in self and u not in self.old]:
             self.learn(missing)
         return b"".join(map(self.__getitem__, units))
 

@@ -42,11 +42,8 @@ CHUNK = 400_000
 class Parts(Buckets):
     """As Buckets; the ends of sentences get the bucket after the last."""
 
-    def __missing__(self, token: bytes) -> int:
-        if token in (b".", b"!", b"?", b"\n"):
-            self[token] = self.buckets
-            return self.buckets
-        return super().__missing__(token)
+    def compute(self, token: bytes) -> int:
+        return self.buckets if token in (b".", b"!", b"?", b"\n") else super().compute(token)
 
 
 def parts(text: str | None, lookup: Parts) -> np.ndarray:
