@@ -58,6 +58,12 @@ def crc_mod(column: str, k: int):
     return F.crc32(F.col(column).cast("string")) % k
 
 
+def literals(spark: SparkSession, rows, names) -> DataFrame:
+    """A small table of constants, as a local relation of the plan."""
+    one = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*one)).alias("r")).select("r.*")
+
+
 def fresh(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a longer form of it that no column of ``df`` bears."""
     names = {c.lower() for c in df.columns}

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality, sst, toxicity
+from . import chat, decontam, exact, minhash, quality, secrets, sst, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_chat": chat.op4_chat,
     "op5_sst": sst.op5_sst,
+    "op6_minhash": minhash.op6_minhash,
+    "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_decontamination": decontam.op9_decontamination,
+    "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": chat.ORACLE_SQL,
+    "op8_exact_dedup": exact.ORACLE_SQL,
+    "op9_decontamination": decontam.ORACLE_SQL,
+    "op10_secrets": secrets.ORACLE_SQL,
+}

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import literals, materialize
 
 MOST = 16  # strings followed at once
 
@@ -130,8 +130,8 @@ def candidates(index: DataFrame, rules) -> DataFrame:
     asked = [(r.kind, i, j, len(alternative), t) for r in rules for i, c in enumerate(trigram_query(r.pattern)) for j, alternative in enumerate(c) for t in sorted(alternative)]
     n = [(r.kind, len(trigram_query(r.pattern))) for r in rules if trigram_query(r.pattern)]
     # Both tables are as large as the rules are, whatever the input.
-    wanted = F.broadcast(spark.createDataFrame(asked, "kind string, conjunct int, alternative int, need int, trigram string"))
-    conjuncts = F.broadcast(spark.createDataFrame(n, "kind string, conjuncts long"))
+    wanted = F.broadcast(literals(spark, asked, ("kind", "conjunct", "alternative", "need", "trigram")))
+    conjuncts = F.broadcast(literals(spark, n, ("kind", "conjuncts")))
     met = index.join(wanted, "trigram").groupBy("doc_id", "kind", "conjunct", "alternative", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
     whole = met.groupBy("doc_id", "kind").agg(F.count_distinct("conjunct").alias("met")).join(conjuncts, "kind").where("met = conjuncts")
     return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
