@@ -110,23 +110,31 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, digest string, bands array<long>")
 
 
+def spread_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hub, id, text, hub_text) of pairs(a, b), however many pairs share an end.
+
+    The end that more pairs share is the hub; its text comes in one copy for
+    every ``MANY`` of its pairs, each joined with a share of them.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    degree = materialize(degree, "degree")
+    na, nb = degree.select(F.col("id").alias("a"), F.col("n").alias("na")), degree.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+    ends = pairs.join(na, "a").join(nb, "b").withColumn("swap", F.col("nb") > F.col("na"))
+    ends = ends.select(
+        F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("hub"),
+        F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("id"),
+        F.ceil(F.greatest("na", "nb") / MANY).cast("int").alias("salts"),
+    ).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    hubs = degree.withColumn("salts", F.ceil(F.col("n") / MANY).cast("int")).join(ends.select(F.col("hub").alias("id")), "id", "left_semi")
+    copies = texts.join(hubs, "id").select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("hub_text"))
+    return ends.select("hub", "salt", "id").join(texts, "id").join(copies, ["hub", "salt"]).select("hub", "id", "text", "hub_text")
+
+
 def verified(texts: DataFrame):
     """A verifier over texts(id, text): keeps pairs (a, b) whose shingle sets are similar enough."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # The end that more pairs share is the hub; its text comes in several copies.
-        degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        degree = materialize(degree, "degree")
-        na, nb = degree.select(F.col("id").alias("a"), F.col("n").alias("na")), degree.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        ends = pairs.join(na, "a").join(nb, "b").withColumn("swap", F.col("nb") > F.col("na"))
-        ends = ends.select(
-            F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("hub"),
-            F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("id"),
-            F.ceil(F.greatest("na", "nb") / MANY).cast("int").alias("salts"),
-        ).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-        hubs = degree.withColumn("salts", F.ceil(F.col("n") / MANY).cast("int"))
-        copies = texts.join(hubs, "id").select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("hub_text"))
-        held = ends.select("hub", "salt", "id").join(texts, "id").join(copies, ["hub", "salt"]).select("hub", "id", "text", "hub_text")
+        held = spread_hubs(pairs, texts)
 
         def compare(batches):
             lookup, last, hub_set = Words(), None, None
