@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact, minhash, quality, secrets, sst, toxicity
+from . import chat, decontam, exact, lines, minhash, pieces, quality, secrets, sst, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_chat": chat.op4_chat,
     "op5_sst": sst.op5_sst,
     "op6_minhash": minhash.op6_minhash,
+    "op7_pieces": pieces.op7_pieces,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
