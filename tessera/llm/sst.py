@@ -29,12 +29,14 @@ returns all of them. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,31 +50,39 @@ BLOCK_BYTES, SHARD_BYTES = 1 << 16, 24 << 20
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space for Python, but not for the tokenizer: such texts are encoded whole.
 ODD = re.compile("[\x1c-\x1f]")
+#: Fixed value: how byte-level BPE cuts a text before it merges.
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes each byte as a letter: printable ones as they are, others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Units(Remembered):
     """Ids of a unit as packed bytes."""
 
     def __init__(self, tokenizer, code: str):
-        super().__init__()
-        self.tokenizer, self.code = tokenizer, code
+        super().__init__(250_000)
+        self.tokenizer, self.code, self.model, self.letters = tokenizer, code, tokenizer.model, byte_letters()
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        shape = json.loads(tokenizer.to_str())
+        before = shape.get("pre_tokenizer") or {}
+        #: Whether units can be cut and merged by themselves; else texts are encoded whole.
+        self.by_unit = shape.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
 
-    def compute(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.code).tobytes()
 
-    def learn(self, units: list[str]) -> None:
-        """Encode units that are not known yet, all at once."""
-        for u, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            self.put(u, np.array(e.ids, self.code).tobytes())
+    def compute(self, unit: str) -> bytes:
+        ids = [t.id for cut in CUT.findall(unit) for t in self.model.tokenize(cut.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}{'H' if self.code == '<u2' else 'I'}", *ids)
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text) or any(s in text for s in self.special):
-            return self.compute(text)
-        units = UNIT.findall(text)
-        if missing := [u for u in set(units) if u not in self and u not in self.old]:
-            self.learn(missing)
-        return b"".join(map(self.__getitem__, units))
+        if not self.by_unit or ODD.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, UNIT.findall(text)))
 
 
 _UNITS: dict = {}
