@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def total(values: Column) -> Column:
@@ -45,7 +46,7 @@ def hamming_similarity(a: Column, b: Column, bits: int = 32) -> Column:
     return F.when(n > 0, 1 - differ / (n * bits)).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def containment(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best hamming similarity of the shorter fingerprint anywhere in the longer one."""
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FRAME_SEC, HOP_SEC, SILENT_DB, FLOOR = 0.025, 0.010, -40.0, 1e-10
 
@@ -27,13 +28,13 @@ def _share(samples, rate: int, silent: bool) -> float:
     return float((level < SILENT_DB).mean() if silent else (level >= SILENT_DB).mean())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def silence_ratio(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """The share of frames below -40 dB; 1.0 for less than a frame."""
     return pd.Series([_share(s, int(r), True) for s, r in zip(samples, rate, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def active_frame_ratio(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """The share of frames at -40 dB or above; 0.0 for less than a frame."""
     return pd.Series([_share(s, int(r), False) for s, r in zip(samples, rate, strict=True)], dtype=float)
@@ -77,7 +78,7 @@ def mfcc_statistics(samples: np.ndarray, rate: int, n_mfcc: int = 40, n_fft: int
     return np.concatenate([coefficients.mean(0), coefficients.std(0)]).astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def mfcc(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """80 numbers per waveform; an empty one has none."""
     return pd.Series([mfcc_statistics(s, int(r)) if s is not None and len(s) else np.zeros(0, np.float32) for s, r in zip(samples, rate, strict=True)])

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.signal import frame_db, HOP_SEC, FRAME_SEC, SILENT_DB
 
@@ -72,7 +73,7 @@ def wave_bytes(samples, rate: int) -> bytes:
     return out.getvalue()
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encoded(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """Segments as PCM files, to be kept in a binary column."""
     return pd.Series([wave_bytes(s, int(r)) for s, r in zip(samples, rate, strict=True)])
