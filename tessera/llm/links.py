@@ -49,8 +49,9 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
     back those that are links. Returns (id, comp) of all ids that have a link.
 
     Round 0 compares each bucket with its least id; later rounds compare members
-    of buckets that still span several components with another hub each time,
-    and the last step compares everything that is left across components.
+    of buckets that still span several components with a hub of the bucket's
+    own, so a group whose members are near some of each other meets many hubs;
+    the last step compares everything that is left across components.
     """
     spark = keys.sparkSession
     many = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo")
@@ -64,7 +65,7 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
             open_keys, hubs = keys.withColumn("comp", F.col("id")), many.select("key", F.col("lo").alias("hub"), F.col("lo").alias("hub_comp"))
         else:
             labelled = keys.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
+            spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
             spans = materialize(spans.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
             open_keys = materialize(labelled.join(spans, "key", "left_semi"), "open")
             hubs = spans
