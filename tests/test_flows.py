@@ -20,7 +20,7 @@ def tree(tmp_path_factory):
             p.write_bytes(audio.wave_bytes(x * 0.5, 400))
     (root / "ccm" / "bells" / "技法2 copy.wav").write_bytes((root / "ccm" / "bells" / "技法2.wav").read_bytes())
     (root / "ccm" / "other").mkdir()
-    (root / "ccm" / "other" / "x.wav").write_bytes(b"")
+    (root / "ccm" / "other" / "x.wav").write_bytes(b"x")
     (root / "chm").mkdir()
     for n in ("1.1.wav", "1.10.wav", "1.9.wav", "2.1.wav", "9.1.wav"):
         (root / "chm" / n).write_bytes(audio.wave_bytes(np.sin(np.arange(1600) * (0.3 + hash(n) % 7 / 10)) * 0.5, 400))
