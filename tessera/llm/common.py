@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,3 +104,46 @@ class Remembered(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class Bloom:
+    """A filter of long ids with a fixed size (8 MB), so it may be broadcast.
+
+    It never misses an id. Beyond some ten million ids it lets more and more
+    others through, which costs time but changes nothing.
+    """
+
+    BITS = 1 << 26
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(ids: np.ndarray) -> np.ndarray:
+        x = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        mask = np.uint64(Bloom.BITS - 1)
+        return np.stack([x & mask, (x >> np.uint64(19)) & mask, (x >> np.uint64(37)) & mask])
+
+    def met(self, ids: np.ndarray) -> np.ndarray:
+        p = self.places(ids)
+        return ((self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> Bloom:
+        """The filter of a one-column frame; tasks send the words they set, which are merged by word."""
+
+        def words(batches):
+            own = np.zeros(cls.BITS // 64, np.uint64)
+            for batch in batches:
+                p = cls.places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
+                np.bitwise_or.at(own, p >> np.uint64(6), np.uint64(1) << (p & np.uint64(63)))
+            at = np.flatnonzero(own)
+            for low in range(0, len(at), 1 << 16):
+                part = at[low : low + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own[part].view(np.int64))], ["at", "word"])
+
+        got = ids.mapInArrow(words, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        out = np.zeros(cls.BITS // 64, np.uint64)
+        out[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+        return cls(out)

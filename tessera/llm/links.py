@@ -42,11 +42,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(stamp)
 
 
-def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows (id, key) of buckets that hold several ids, written to the shared folder.
+
+    Rows are dealt by key once; repeats, bucket sizes and the join all use that.
+    """
+    dealt = keys.repartition("key").dropDuplicates(["key", "id"])
+    many = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    return materialize(dealt.join(many, "key", "left_semi").select("id", "key"), "keys")
+
+
+def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """Components of the graph whose edges are verified pairs sharing a key.
 
-    ``keys(id, key)``: long id, long key. ``verify`` takes pairs(a, b) and gives
-    back those that are links. Returns (id, comp) of all ids that have a link.
+    ``keys(id, key)``: as ``shared_keys`` gives them. ``verify`` takes pairs(a, b)
+    and gives back those that are links. Returns (id, comp) of all ids that have
+    a link.
 
     Round 0 compares each bucket with its least id; later rounds compare members
     of buckets that still span several components with a hub of the bucket's
@@ -54,9 +65,7 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
     the last step compares everything that is left across components.
     """
     spark = keys.sparkSession
-    many = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo")
-    many = materialize(many, "buckets")
-    keys = materialize(keys.join(many, "key", "left_semi"), "keys")
+    many = materialize(keys.groupBy("key").agg(F.min("id").alias("lo")), "buckets")
     edges = spark.createDataFrame([], "a long, b long")
     tested = edges
     comp = spark.createDataFrame([], "id long, comp long")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembered, materialize
-from .links import linked_groups
+from .links import linked_groups, shared_keys
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, BANDS, ROWS = 5, 32, 6
@@ -161,10 +161,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     # Documents with equal sets: a class, represented by its least doc_id.
     nodes = signed.where("doc_id is not null and digest is not null")
     classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    keys = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct()
-    keys = materialize(keys, "band-keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    wanted = materialize(keys.join(shared, "key", "left_semi").select("id").distinct(), "candidates")
+    keys = shared_keys(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")))
+    wanted = materialize(keys.select("id").distinct(), "candidates")
     body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     texts = materialize(body.join(wanted, "id", "left_semi").select("id", "text"), "candidate-texts")
     comps = linked_groups(keys, verified(texts))

@@ -36,7 +36,7 @@ def test_linked_groups_lose_no_link(spark):
     keys = [(i, 1) for i in range(40)] + [(i, 2) for i in range(30, 60)] + [(99, 3)]
     near = lambda a, b: abs(a - b) in (1, 13)
     frame = spark.createDataFrame(keys, "id long, key long")
-    got = {x: y for x, y in links.linked_groups(frame, lambda p: p.where("abs(a - b) in (1, 13)")).collect()}
+    got = {x: y for x, y in links.linked_groups(links.shared_keys(frame), lambda p: p.where("abs(a - b) in (1, 13)")).collect()}
     edges = [(a, b) for k in (1, 2) for a, b in itertools.combinations([i for i, key in keys if key == k], 2) if near(a, b)]
     assert got == union_find({x for e in edges for x in e}, edges)
 
