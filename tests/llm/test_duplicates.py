@@ -123,15 +123,18 @@ def distance(a, b):
     return p[-1]
 
 
-def test_edit_distance():
+def test_similar_lines(spark):
     r = random.Random(1)
-    for _ in range(500):
-        a = "".join(r.choice("abc") for _ in range(r.randrange(20)))
+    pairs = []
+    for _ in range(300):
+        a = "".join(r.choice("abc é") for _ in range(r.randrange(120)))
         b = list(a)
-        for _ in range(r.randrange(5)):
+        for _ in range(r.randrange(16)):
             b.insert(r.randrange(len(b) + 1), r.choice("abcd"))
-        b = "".join(b)[r.randrange(2) :]
-        assert lines.edit_distance(a, b) == distance(a, b)
+        pairs.append((a, "".join(b)[r.randrange(3) :]))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.similar("a", "b").alias("s")).collect()
+    assert [x["s"] for x in got] == [10 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
+    assert {x["s"] for x in got} == {True, False}
 
 
 def normal(line):
@@ -152,15 +155,16 @@ def test_lines_against_brute_force(spark):
     out = lines.deduplicated(docs)
     assert out.columns == ["doc_id", "text", "line", "n_removed"]
     got = sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in out.collect())
-    forms, places = {}, {}
+    places = {}
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
             n = normal(x)
             if len(n.split(" ")) >= lines.MIN_WORDS:
                 places.setdefault(n, set()).add(((0, 0) if i is None else (1, i), k))
     names = sorted(places)
-    bits = lines.Bits()
-    sig = dict(zip(names, lines.simhashes([n.encode().split(b" ") for n in names], bits), strict=True))
+    forms = lines.analysed([n.encode() for n in names])
+    assert [forms.normal(i).decode() for i in range(len(names))] == names
+    sig = dict(zip(names, lines.simhashes(forms.hashes, forms.words), strict=True))
     meet = lambda a, b: any((sig[a][k : k + 4] == sig[b][k : k + 4]).all() for k in range(0, 24, 4))
     edges = [(a, b) for a, b in itertools.combinations(names, 2) if meet(a, b) and 10 * distance(a, b) <= max(len(a), len(b))]
     group = union_find(names, edges)
@@ -184,8 +188,20 @@ def test_lines_against_brute_force(spark):
 
 
 def test_long_lines_vote_in_pieces():
-    bits = lines.Bits()
-    words = [[b"w%d" % i for i in range(700)], [b"x"] * 300 + [b"y"] * 10, [b"a", b"b", b"c", b"d", b"e"]]
-    for w, row in zip(words, lines.simhashes(words, bits), strict=True):
-        votes = sum(np.unpackbits(np.frombuffer(bits[x], np.uint8)).astype(int) for x in w)
-        assert (np.packbits(2 * votes > len(w)) == row).all()
+    texts = [" ".join(f"w{'x' * (i % 7)}{'ab'[i % 2]}{chr(97 + i % 26)}" for i in range(700)), "x " * 300 + "y " * 10, "a b c d e"]
+    x = lines.analysed([t.encode() for t in texts])
+    assert x.words.tolist() == [700, 310, 5]
+    at = 0
+    for n, row in zip(x.words, lines.simhashes(x.hashes, x.words), strict=True):
+        bits = np.unpackbits(np.ascontiguousarray(lines.votes(x.hashes[at : at + n]).T), axis=1).sum(axis=0)
+        assert (np.packbits(2 * bits > n) == row).all()
+        at += n
+
+
+def test_lines_are_cut_where_they_end():
+    texts = ["", "A b, C-d 17 e\n\nshort\nf g h i j", "\n", "é à ü ö ä\n", "one two three four"]
+    x = lines.analysed([t.encode() for t in texts])
+    got = [(int(o), int(n), x.normal(i).decode()) for i, (o, n) in enumerate(zip(x.owner, x.number, strict=True))]
+    assert got == [(1, 0, "a b c d 00 e"), (1, 3, "f g h i j"), (3, 0, "é à ü ö ä")]
+    again = lines.analysed([b"zzz a b\n" * 500, b"F g! h  i j"])
+    assert again.id[-1] == x.id[1]
