@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import containment, hamming_similarity
+from ..session import settled
 
 
 def exact_duplicates(df: DataFrame, digest: str, order: list[str], same: list[str], record: str = "record_id") -> DataFrame:
@@ -113,19 +114,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node that edges connect a node with.
 
     Labels go to the least neighbour's label until none changes; every round is
-    a checkpoint in the session's shared folder, so plans stay short. A session
-    without a checkpoint folder gets none: its rounds are cached instead.
+    settled, so plans stay short.
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
-    context = edges.sparkSession.sparkContext
-    settle = (lambda d: d.checkpoint()) if context.getCheckpointDir() else (lambda d: d.cache())
-    labels = settle(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
+    labels = settled(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")))
     while True:
         heard = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("label")), "other").groupBy("node").agg(F.min("label").alias("label"))
         step = labels.join(heard, "node").select("node", F.least("component", "label").alias("component"))
         # A label's own label is one jump further.
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = settle(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
+        moved = settled(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
         changed = moved.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         labels = moved
         if changed:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import dedup, gates, qc, review, sampling, segments, split
 from ..operators.gates import GateError
+from ..session import settled
 
 PREFIX = {"CCMusic": "ccm", "ChMusic": "chm", "External": "ext"}
 
@@ -159,7 +160,7 @@ def splits(rows: DataFrame, config: Config, compatible: bool = False) -> DataFra
     for seed in config.seeds:
         primary = rows.where("source_dataset <> 'ChMusic'")
         placed = split.group_split(primary, "family_label", "recording_group_id", seed, compatible=compatible)
-        own = split.routed(rows, placed, "recording_group_id").withColumn("split_seed", F.lit(seed))
+        own = settled(split.routed(rows, placed, "recording_group_id").withColumn("split_seed", F.lit(seed)))
         gates.require(split.split_gates(own.where("source_dataset <> 'ChMusic'"), families(rows, config), "family_label", "recording_group_id"), f"split gates of seed {seed}")
         out = own if out is None else out.unionByName(own)
     return out
@@ -185,11 +186,14 @@ def segment_rows(split_rows: DataFrame, waveforms: DataFrame, config: Config, ra
 
 
 def run(scan: DataFrame, profile: DataFrame, decisions: DataFrame, config: Config, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The steps from scan to splits; frames by step."""
+    """The steps from scan to splits, each settled before the next; frames by step."""
     if problems := config.problems():
         raise GateError("; ".join(problems))
-    audit, items = quality(audit_rows(scan, profile), config, overrides)
-    audit = near_thinned(grouped(reviewed(audit, items, decisions), config), config)
-    audit = quota(audit, config)
-    kept = frozen(audit, config)
-    return {"audit": audit, "frozen": kept, "split": splits(kept, config)}
+    audit, items = quality(settled(audit_rows(scan, profile)), config, overrides)
+    audit, items = settled(audit), settled(items)
+    audit = settled(reviewed(audit, items, decisions))
+    audit = settled(grouped(audit, config))
+    audit = settled(near_thinned(audit, config))
+    audit = settled(quota(audit, config))
+    kept = settled(frozen(audit, config))
+    return {"audit": audit, "frozen": kept, "split": settled(splits(kept, config))}

@@ -618,11 +618,11 @@ def class_extremes(spark, d):
 
 def _layers(spark, d) -> DataFrame:
     items = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("layer_index"), F.when(F.col("l_linestatus") == "F", "test").otherwise("external_test").alias("split"), F.col("l_method").alias("seed")).agg(F.round(F.avg("l_tax"), 6).alias("macro_f1"))
-    return rollup.mean_std(items, ["layer_index", "split"], ("macro_f1",)).withColumn("macro_f1_mean", six(F.col("macro_f1_mean"))).withColumn("macro_f1_std", six(F.col("macro_f1_std")))
+    return rollup.mean_std(items, ["layer_index", "split"], ("macro_f1",))
 
 
 @query(
-    """WITH r AS (SELECT l_linenumber AS layer_index, CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'external_test' END AS split, l_method, round(avg(l_tax), 6) AS f FROM lineitem GROUP BY ALL), m AS (SELECT layer_index, split, round(avg(f), 6) AS a, round(stddev_samp(f), 6) AS s FROM r GROUP BY layer_index, split),
+    """WITH r AS (SELECT l_linenumber AS layer_index, CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'external_test' END AS split, l_method, round(avg(l_tax), 6) AS f FROM lineitem GROUP BY ALL), m AS (SELECT layer_index, split, avg(f) AS a, stddev_samp(f) AS s FROM r GROUP BY layer_index, split),
     b AS (SELECT split, arg_min(layer_index, {'a': -a, 'l': layer_index}) AS best FROM m GROUP BY split), c AS (SELECT layer_index, split, CASE WHEN layer_index = best THEN '**' || printf('%.4f±%.4f', a, s) || '**' ELSE printf('%.4f±%.4f', a, s) END AS cell FROM m JOIN b USING (split))
     SELECT layer_index, coalesce(max(cell) FILTER (WHERE split = 'test'), '-') AS test, coalesce(max(cell) FILTER (WHERE split = 'external_test'), '-') AS external_test FROM c GROUP BY layer_index"""
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators count on, at any size.
 SETTINGS = {
@@ -22,3 +22,11 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once: a checkpoint in the session's shared folder cuts its plan.
+
+    A session without a checkpoint folder caches it instead.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()

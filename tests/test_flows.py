@@ -22,8 +22,8 @@ def tree(tmp_path_factory):
     (root / "ccm" / "other").mkdir()
     (root / "ccm" / "other" / "x.wav").write_bytes(b"x")
     (root / "chm").mkdir()
-    for n in ("1.1.wav", "1.10.wav", "1.9.wav", "2.1.wav", "9.1.wav"):
-        (root / "chm" / n).write_bytes(audio.wave_bytes(np.sin(np.arange(1600) * (0.3 + hash(n) % 7 / 10)) * 0.5, 400))
+    for k, n in enumerate(("1.1.wav", "1.10.wav", "1.9.wav", "2.1.wav", "9.1.wav")):
+        (root / "chm" / n).write_bytes(audio.wave_bytes(np.sin(np.arange(1600) * (0.3 + k / 10)) * 0.5, 400))
     return root
 
 
