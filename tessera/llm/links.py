@@ -52,7 +52,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return materialize(dealt.join(many, "key", "left_semi").select("id", "key"), "keys")
 
 
-def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, sketches: DataFrame | None = None, likely: Callable | None = None) -> DataFrame:
     """Components of the graph whose edges are verified pairs sharing a key.
 
     ``keys(id, key)``: as ``shared_keys`` gives them. ``verify`` takes pairs(a, b)
@@ -62,7 +62,9 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
     Round 0 compares each bucket with its least id; later rounds compare members
     of buckets that still span several components with a hub of the bucket's
     own, so a group whose members are near some of each other meets many hubs;
-    the last step compares everything that is left across components.
+    the last step compares everything that is left across components. With
+    ``sketches(id, sketch)``, that step makes only pairs whose sketches ``likely``
+    takes for a possible link.
     """
     spark = keys.sparkSession
     many = materialize(keys.groupBy("key").agg(F.min("id").alias("lo")), "buckets")
@@ -81,8 +83,12 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rou
         if turn < rounds:
             found = open_keys.join(hubs, "key").where("id <> hub and comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         else:
-            other = open_keys.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-            found = open_keys.join(other, "key").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+            near = F.lit(True)
+            if sketches is not None:
+                open_keys = materialize(open_keys.join(sketches, "id"), "open")
+                near = likely(F.col("sketch"), F.col("sketch2"))
+            other = open_keys.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"), *([F.col("sketch").alias("sketch2")] if sketches is not None else []))
+            found = open_keys.join(other, "key").where((F.col("comp") < F.col("comp2")) & near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         pairs = found.distinct() if turn == 0 else found.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():

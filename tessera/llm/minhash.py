@@ -7,13 +7,17 @@ All signature coordinates come from two permutations of 32-bit numbers: a first
 one spreads the shingles, and coordinate k is the least value of the second at
 the spread shingle shifted circularly by k. ``BANDS`` bands of ``ROWS``
 coordinates give the candidates: at a similarity of 0.75 a pair shares a band
-with a probability of 0.998 (at 0.8, of 0.9999), and texts that merely hold a
+with a probability of 0.998 (at 0.8, of 0.99998), and texts that merely hold a
 common passage seldom do.
 
 Documents with equal sets form a class with one representative. Only classes
 that share a band with another one are compared, first with one hub per band
 bucket and then across components only (see ``links``), on whole shingle sets,
-exactly: 100 * intersection >= 75 * union. A hub's set is sent in ``salts``
+exactly: 100 * intersection >= 75 * union. Before pairs are made across the
+components of a bucket, two bits of each coordinate are compared: pairs so far
+apart that a link would be 4.5 standard deviations off (one link in 300,000 at
+the limit itself) are not made, which spares members of a large group that are
+near to none. A hub's set is sent in ``salts``
 copies that grow with the number of its candidates, so a large group of near
 copies is verified by many tasks. The component of a document is the least
 doc_id reachable over links.
@@ -41,7 +45,7 @@ from .common import Remembered, materialize
 from .links import linked_groups, shared_keys
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SHINGLE, BANDS, ROWS = 5, 32, 6
+SHINGLE, BANDS, ROWS = 5, 60, 8
 LIMIT = 75  # per cent
 #: Odd multipliers of the two permutations (fixed values, any odd ones do).
 SPREAD, SECOND = 0x9E3779B1, 0xC2B2AE35
@@ -91,22 +95,41 @@ def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, 32 coordinates to a number."""
+    bits = np.unpackbits((sig & np.uint32(3)).astype(np.uint8)[:, None], axis=1)[:, 6:].ravel()
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
+def likely(a, b):
+    """Whether two sketches agree as often as those of a link nearly always do."""
+    coordinates, share = BANDS * ROWS, LIMIT / 100 + (1 - LIMIT / 100) / 4
+    least = int(coordinates * share - 4.5 * (coordinates * share * (1 - share)) ** 0.5)
+    differ = F.lit(0)
+    for i in range(coordinates // 32):
+        x = a[i].bitwiseXOR(b[i])
+        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return differ <= coordinates - least
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and band keys of every row."""
-    names = ["doc_id", "n_shingles", "digest", "bands"]
+    """doc_id, n_shingles, digest of the set (null if empty), band keys and sketch of every row."""
+    names = ["doc_id", "n_shingles", "digest", "bands", "sketch"]
 
     def sign(batches):
         lookup = Words()
         for batch in batches:
-            column, n, digests, bands = batch.column(1), [], [], []
+            column, n, digests, bands, sketches = batch.column(1), [], [], [], []
             for i in range(len(column)):
                 s = shingles(column[i].as_py(), lookup)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                bands.append(band_keys(signature(s)) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names)
+                sig = signature(s) if len(s) else None
+                bands.append([] if sig is None else band_keys(sig))
+                sketches.append([] if sig is None else sketch(sig))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, digest string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, digest string, bands array<long>, sketch array<long>")
 
 
 def spread_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,12 +183,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     signed = materialize(signatures(docs, text), "signatures")
     # Documents with equal sets: a class, represented by its least doc_id.
     nodes = signed.where("doc_id is not null and digest is not null")
-    classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
     keys = shared_keys(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")))
     wanted = materialize(keys.select("id").distinct(), "candidates")
     body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     texts = materialize(body.join(wanted, "id", "left_semi").select("id", "text"), "candidate-texts")
-    comps = linked_groups(keys, verified(texts))
+    comps = linked_groups(keys, verified(texts), sketches=classes.select(F.col("rep").alias("id"), "sketch"), likely=likely)
     # A doc_id with several texts lies in several classes: they are one node.
     twice = nodes.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     named = classes.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))

@@ -84,6 +84,17 @@ def test_signature_agreement_estimates_similarity():
     assert abs(same - 3000 / 5000) < 0.08
 
 
+def test_sketches_keep_links(spark):
+    r, rows = np.random.default_rng(3), []
+    for k in range(200):
+        a = r.integers(0, 1 << 63, 700).astype(np.uint64)
+        shared = 600 if k % 2 else 350  # similarities of 0.75 and 1 / 3
+        b = np.concatenate([a[:shared], r.integers(0, 1 << 63, 700 - shared).astype(np.uint64)])
+        rows.append((k % 2, minhash.sketch(minhash.signature(a)).tolist(), minhash.sketch(minhash.signature(b)).tolist()))
+    got = spark.createDataFrame(rows, "k int, a array<long>, b array<long>").select("k", minhash.likely(minhash.F.col("a"), minhash.F.col("b")).alias("near")).collect()
+    assert all(x["near"] == bool(x["k"]) for x in got)
+
+
 def test_doc_id_with_two_texts_is_one_node(spark):
     a, b = "p q r s t u v w", "a b c d e f g h"
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
