@@ -98,16 +98,22 @@ class NoisyOr:
         keep = (df >= self.min_df)[: self.buckets] & (np.abs(z) >= self.least_z)[: self.buckets]
         place = np.full(self.buckets + 1, -1, np.int64)
         place[: self.buckets][keep] = np.arange(keep.sum())
-        words, sentence, owner, n = bag(docs, self.buckets)
-        used = place[words] >= 0
-        words, sentence = place[words][used], sentence[used]
-        order = np.argsort(owner[sentence], kind="stable")
-        words, sentence = words[order], sentence[order]
-        first = np.searchsorted(owner[sentence], np.arange(n + 1))  # words of each document
+        # Only words that get a weight are held, and how many sentences there are.
+        held, sentences, counts, n = [], [], [], len(docs)
+        for d in docs:
+            word = d < self.buckets
+            _, local = np.unique(np.cumsum(~word)[word], return_inverse=True)
+            used = keep[d[word]]
+            held.append(place[d[word][used]])
+            sentences.append(local[used] + sum(counts[-1:]))
+            counts.append(sum(counts[-1:]) + (int(local.max()) + 1 if len(local) else 0))
+        words, sentence = np.concatenate(held), np.concatenate(sentences)
+        owner = np.repeat(np.arange(n), np.diff([0, *counts]))
+        first = np.cumsum([0, *map(len, held)])  # words of each document
         rng = np.random.default_rng(self.seed)
         w, b = np.zeros(int(keep.sum())), -6.0
         m, v, mb, vb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
-        cuts = np.searchsorted(owner, np.arange(n + 1))  # sentences of each document, as bag() orders them
+        cuts = np.array([0, *counts])  # sentences of each document
         rate = 0.1
         for epoch in range(self.epochs):
             rate = 0.1 if epoch < self.epochs // 2 else 0.03
