@@ -80,3 +80,21 @@ def nearest_centroid(df: DataFrame, vector: str, label: str, record: str) -> Dat
     distance = lambda c, v: F.aggregate(F.zip_with(v, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, d: a + d)
     best = F.array_min(F.transform(F.col("centres"), lambda c: F.struct(F.round(distance(c["centre"], F.col(vector)), 9).alias("d"), c["label"].alias("label"))))
     return df.crossJoin(F.broadcast(every)).select(record, F.col(label).alias("true_label"), best["label"].alias("pred_label"))
+
+
+def averaged_predictions(scores: DataFrame, item: str, label: str, score: str, digits: int = 9) -> DataFrame:
+    """(item, pred_label, score): the label whose scores, one a template, have the largest mean; the least on ties."""
+    means = scores.groupBy(item, label).agg(F.round(F.avg(score), digits).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col(label).alias("l")))
+    return means.groupBy(item).agg(best.alias("b")).select(item, F.col("b.l").alias("pred_label"), (-F.col("b.s")).alias("score"))
+
+
+def last_layer(embeddings: DataFrame, layer: str = "layer_index") -> DataFrame:
+    """The rows of the largest layer; its number is one row, whatever the input."""
+    return embeddings.join(F.broadcast(embeddings.agg(F.max(layer).alias(layer))), layer)
+
+
+def mean_matrix(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Rates within rows of the mean counts of ``mean_cells``."""
+    row = F.sum("n_mean").over(Window.partitionBy(*by, "true_label"))
+    return cells.withColumn("rate_of_means", ratio(F.col("n_mean"), row))

@@ -567,6 +567,23 @@ def confusion_mean_std(spark, d):
     return out.select("method", "true_label", "pred_label", *(six(F.col(c)).alias(c) for c in ("n_mean", "n_std", "rate_mean", "rate_std")), "seed_count")
 
 
+@query(f"WITH m AS ({SQL['confusion_mean_std']}) SELECT method, true_label, pred_label, round(n_mean / sum(n_mean) OVER (PARTITION BY method, true_label), 5) AS rate_of_means FROM m")
+def confusion_mean_matrix(spark, d):
+    out = metrics.mean_matrix(confusion_mean_std(spark, d), ["method"])
+    return out.select("method", "true_label", "pred_label", F.round("rate_of_means", 5).alias("rate_of_means"))
+
+
+@query("WITH m AS (SELECT l_orderkey, l_returnflag, round(avg(l_tax), 9) AS score FROM lineitem GROUP BY ALL) SELECT l_orderkey, arg_min(l_returnflag, {'s': -score, 'l': l_returnflag}) AS pred_label, max(score) AS score FROM m GROUP BY l_orderkey")
+def template_average(spark, d):
+    return metrics.averaged_predictions(read(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_tax")
+
+
+@query("SELECT l_orderkey, l_linenumber AS layer_index FROM lineitem WHERE l_linenumber = (SELECT max(l_linenumber) FROM lineitem)")
+def last_layer(spark, d):
+    items = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("layer_index"))
+    return metrics.last_layer(items).select("l_orderkey", "layer_index")
+
+
 _RUNS = "r AS (SELECT l_method AS method, l_returnflag AS split, l_linenumber AS seed, avg(l_discount) AS accuracy, avg(l_tax) AS macro_f1, count(*) AS num_samples FROM lineitem GROUP BY ALL)"
 
 
