@@ -11,7 +11,7 @@ COLUMNS = ["record_id", "source_dataset", "source_path", "file_name", "file_ext"
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path and size of the files under ``root``; contents are not read."""
+    """path and size of the files under ``root``; contents are not read, and empty files not listed."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select(F.col("path"), F.col("length"))
 
 
