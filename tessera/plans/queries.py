@@ -237,8 +237,7 @@ def containment_pairs(spark, d):
     words = lambda df, id_: df.select(F.col(id_).alias("id"), F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.crc32(w)).alias("fp"))
     items = words(read(spark, d, "benchmark"), "item_id")
     near = items.select(F.col("id").alias("item_id"), F.col("fp").alias("item"))
-    labels = read(spark, d, "labels").where("quality = 0").select("doc_id")
-    docs = words(read(spark, d, "documents").join(labels, "doc_id", "left_semi"), "doc_id").select(F.col("id").alias("doc_id"), "fp", F.explode(F.array_distinct("fp")).alias("w"))
+    docs = words(read(spark, d, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "fp", F.explode(F.array_distinct("fp")).alias("w"))
     anchors = near.select("item_id", "item", F.element_at("item", F.greatest(F.lit(1), (F.size("item") / 2).cast("int"))).alias("w"))
     return docs.join(anchors, "w").select("doc_id", "item_id", six(arrays.containment("fp", "item")).alias("containment_sim"))
 
