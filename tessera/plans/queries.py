@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, signal, text
 from ..operators import dedup, gates, joins, metrics, qc, registry, review, rollup, sampling, segments, split
+from ..session import settled
 from ..sources import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,15 +232,35 @@ def hamming_pairs(spark, d):
     return found.select("family", "a", "b", six(F.col("hamming_sim")).alias("hamming_sim"))
 
 
+#: Word hashes with at most so many different bits are near; candidates need some near words in place.
+NEAR_BITS, HITS = 5, 3
+
+
 @query()
 def containment_pairs(spark, d):
-    """Benchmark items against vectors' fingerprints is no analogue; sequences of word hashes are."""
-    words = lambda df, id_: df.select(F.col(id_).alias("id"), F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.crc32(w)).alias("fp"))
-    items = words(read(spark, d, "benchmark"), "item_id")
-    near = items.select(F.col("id").alias("item_id"), F.col("fp").alias("item"))
-    docs = words(read(spark, d, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "fp", F.explode(F.array_distinct("fp")).alias("w"))
-    anchors = near.select("item_id", "item", F.element_at("item", F.greatest(F.lit(1), (F.size("item") / 2).cast("int"))).alias("w"))
-    return docs.join(anchors, "w").select("doc_id", "item_id", six(arrays.containment("fp", "item")).alias("containment_sim"))
+    """Documents and benchmark items, as sequences of word hashes, one of which holds the other with at most a tenth of the bits different.
+
+    Of n words then at most 3.2 n bits differ, so at most 3.2 n / 6 words are
+    further than ``NEAR_BITS``: of that many words and ``HITS`` more, the rarest
+    of the item, ``HITS`` are near in place. Documents shorter than an item are
+    compared with it as they are.
+    """
+    words = lambda df, id_: df.select(id_, F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.crc32(w)).alias("fp"))
+    items = words(read(spark, d, "benchmark"), "item_id").withColumnRenamed("fp", "item").withColumn("n", F.size("item"))
+    docs = words(read(spark, d, "documents"), "doc_id").withColumn("m", F.size("fp"))
+    placed = docs.select("doc_id", "m", F.posexplode("fp").alias("pos", "w"))
+    known = settled(placed.groupBy("w").agg(F.count(F.lit(1)).alias("df")))
+    far = F.floor(F.floor(F.col("n") * 16 / 5) / (NEAR_BITS + 1))
+    item_words = items.select("item_id", "n", F.posexplode("item").alias("at", "iw")).join(known.withColumnRenamed("w", "iw"), "iw", "left")
+    ranked = item_words.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "at")))
+    anchors = settled(ranked.withColumn("hits", F.least(F.lit(HITS), F.col("n") - far)).where(F.col("k") <= far + F.col("hits")).select("item_id", "n", "at", "iw", "hits"))
+    near = known.select("w").join(F.broadcast(anchors.select("iw").distinct()), F.bit_count(F.col("w").bitwiseXOR(F.col("iw"))) <= NEAR_BITS)
+    met = placed.join(near.join(anchors, "iw"), "w").withColumn("offset", F.col("pos") - F.col("at")).where("offset >= 0 and offset + n <= m")
+    met = met.groupBy("doc_id", "item_id", "offset").agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits")).where("found >= hits")
+    found = met.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", arrays.hamming_similarity(F.slice("fp", F.col("offset") + 1, F.col("n")), F.col("item")).alias("sim"))
+    short = docs.join(F.broadcast(items), F.col("m") < F.col("n")).select("doc_id", "item_id", arrays.containment("fp", "item").alias("sim"))
+    pairs = found.union(short).where("sim >= 0.90").groupBy("doc_id", "item_id").agg(F.max("sim").alias("sim"))
+    return pairs.select("doc_id", "item_id", six(F.col("sim")).alias("containment_sim"))
 
 
 @query(

@@ -1,7 +1,10 @@
 """containment_pairs over small tables made here."""
 
 import random
+import re
+import zlib
 
+import numpy as np
 import pytest
 
 from tessera.plans import queries as q
@@ -33,3 +36,18 @@ def test_documents_of_any_label_are_searched(spark, tables):
     got = {x["doc_id"] for x in q.containment_pairs(spark, root).collect()}
     whole = {d for d, t in docs for _, w in items if len(w) >= 5 and f" {' '.join(w)} " in f" {t} "}
     assert len(whole) > 2 and whole <= got
+
+
+def test_all_pairs_at_the_threshold(spark, tables):
+    root, docs, items = tables
+    fp = lambda t: np.array([zlib.crc32(w.encode()) for w in re.split(r"\s+", (t or "").lower())], np.uint32)
+    want = {}
+    for d, t in docs:
+        for i, w in items:
+            short, long = sorted((fp(t), fp(" ".join(w))), key=len)
+            best = 1 - np.bitwise_count(np.lib.stride_tricks.sliding_window_view(long, len(short)) ^ short).sum(axis=1).min() / (32 * len(short))
+            if best >= 0.90:
+                want[d, i] = round(float(best), 5)
+    got = {(x["doc_id"], x["item_id"]): round(float(x["containment_sim"]), 5) for x in q.containment_pairs(spark, root).collect()}
+    assert got == want
+    assert any(v < 1 for v in want.values()) and any(len(fp(dict(docs)[d])) < len(dict(items)[i]) for d, i in want)
