@@ -14,7 +14,8 @@ Documents with equal sets form a class with one representative. Only classes
 that share a band with another one are compared, first with one hub per band
 bucket and then across components only (see ``links``), on whole shingle sets,
 exactly: 100 * intersection >= 75 * union. Before pairs are made across the
-components of a bucket, two bits of each coordinate are compared: pairs so far
+components of a bucket, sizes are compared, which is exact, and for sets of at
+least ``SMALL`` shingles two bits of each coordinate: pairs so far
 apart that a link would be 4.5 standard deviations off (one link in 300,000 at
 the limit itself) are not made, which spares members of a large group that are
 near to none. A hub's set is sent in ``salts``
@@ -50,6 +51,8 @@ LIMIT = 75  # per cent
 #: Odd multipliers of the two permutations (fixed values, any odd ones do).
 SPREAD, SECOND = 0x9E3779B1, 0xC2B2AE35
 MANY = 256
+#: The coordinates of smaller sets depend on each other too much for sketches to tell.
+SMALL = 100
 
 
 class Words(Remembered):
@@ -112,6 +115,12 @@ def likely(a, b):
     return differ <= coordinates - least
 
 
+def worth(a, b):
+    """Whether a pair is made, by sketches that end with the size of the set: sizes allow a link, and large sets look like one."""
+    na, nb = F.element_at(a, -1), F.element_at(b, -1)
+    return (100 * F.least(na, nb) >= LIMIT * F.greatest(na, nb)) & ((F.least(na, nb) < SMALL) | likely(a, b))
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), band keys and sketch of every row."""
     names = ["doc_id", "n_shingles", "digest", "bands", "sketch"]
@@ -183,12 +192,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     signed = materialize(signatures(docs, text), "signatures")
     # Documents with equal sets: a class, represented by its least doc_id.
     nodes = signed.where("doc_id is not null and digest is not null")
-    classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
+    classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", F.concat("sketch", F.array("n_shingles")).alias("sketch")), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
     keys = shared_keys(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")))
     wanted = materialize(keys.select("id").distinct(), "candidates")
     body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
     texts = materialize(body.join(wanted, "id", "left_semi").select("id", "text"), "candidate-texts")
-    comps = linked_groups(keys, verified(texts), sketches=classes.select(F.col("rep").alias("id"), "sketch"), likely=likely)
+    comps = linked_groups(keys, verified(texts), sketches=classes.select(F.col("rep").alias("id"), "sketch"), likely=worth)
     # A doc_id with several texts lies in several classes: they are one node.
     twice = nodes.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     named = classes.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))

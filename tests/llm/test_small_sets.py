@@ -1,0 +1,11 @@
+from pyspark.sql import functions as F
+
+from tessera.llm import minhash
+
+
+def test_small_sets_are_not_judged_by_sketches(spark):
+    n = minhash.BANDS * minhash.ROWS // 32
+    cases = [(4, 3, True), (99, 90, True), (500, 480, False), (99, 74, False)]
+    rows = [([0] * n + [a], [-1] * n + [b]) for a, b, _ in cases]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(minhash.worth(F.col("a"), F.col("b")).alias("w")).collect()
+    assert [x["w"] for x in got] == [w for *_, w in cases]
