@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,27 +14,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: While a table is written: Arrow batches of bounded size, and shuffle files go with the query that made them.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
+    """The folder all executors share, as the session names it: ``spark.checkpoint.dir``, or an already set checkpoint folder.
 
-    ``spark.checkpoint.dir`` (or an already set checkpoint folder) wins. Only a
-    session without either, as in tests, gets a temporary folder of its own.
+    Without either there is no place that every executor sees, so this fails.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else found
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +66,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage at a table that survives the loss of any executor.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with settings(df.sparkSession, WRITING):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +77,52 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: The scratch tables of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Remove at its end the scratch tables written in it, but for those that ``kept`` was told of."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that the innermost scope leaves to the one around it."""
+    out = materialize(df, name)
+    if _SCOPES:
+        path = _SCOPES[-1].pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+    return out
+
+
+def lean(run):
+    """``run`` for a Python worker that gives its memory back at the end of a task: workers are used again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,9 +157,12 @@ class Remembered(dict):
 
     Two generations: when the young one is full it becomes the old one, and what
     is still asked for moves back. So memory is bounded and frequent keys stay.
+    Keys of over ``LONG`` characters or bytes are computed each time.
     """
 
-    def __init__(self, most: int = 200_000):
+    LONG = 64
+
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most, self.old = most, {}
 
@@ -95,6 +170,8 @@ class Remembered(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
+        if len(key) > self.LONG:
+            return self.compute(key)
         value = self.old.get(key)
         return self.put(key, self.compute(key) if value is None else value)
 

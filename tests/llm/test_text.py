@@ -185,7 +185,7 @@ def test_contamination(spark, block_bytes):
     for i in range(60):
         words = [r.choice(vocabulary) for _ in range(r.randrange(0, 120))]
         if r.random() < 0.6:
-            words[10:10] = r.choice(items)[1].split() if r.random() < 0.9 and items[i % 12][1] else []
+            words[10:10] = (r.choice(items)[1] or "").split() if r.random() < 0.9 and items[i % 12][1] else []
         docs.append((i, "-".join(words).upper() if i % 9 == 0 else " ".join(words)))
     docs += [(None, "w5 w6 w7 w8"), (61, None), (62, ""), (1, docs[1][1]), (63, items[0][1] + " x" * 30_000), (64, "W5, w6; w7 (w8)")]
     frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_hit int").repartition(3)
