@@ -1,20 +1,35 @@
-"""Connected groups over bucketed candidates, without all pairs of a bucket.
+"""Connected groups over bucketed candidates, without a row for every pair of a bucket.
 
 Used where candidates share bucket keys (LSH bands, SimHash blocks) and a
 verifier decides on pairs. A bucket whose members already lie in one component
 needs no further comparison, so a bucket is first compared with one hub (a
-star, linear in its size); only members of *different* components are compared
-after that. No comparison that could join two components is left out.
+star, linear in its size), then members of *different* components with a hub of
+the bucket's own. What still spans components is compared pair by pair in small
+buckets and in blocks of bounded size in large ones (see ``block_pairs``). No
+comparison that could join two components is left out.
+
+Keys are dealt to tasks in packed form (see ``Dealer``), 13 bytes a key, as most
+of them turn out to have no partner.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kept, lean, materialize, scope
+
+#: Members of a block, and the bytes of what they are compared by.
+MEMBERS, BYTES = 256, 8 << 20
+#: Buckets of up to so many ids are compared pair by pair.
+DIRECT = 8
+#: Entries that a task packs at once.
+PACKED = 1 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,82 +39,241 @@ def components(edges: DataFrame) -> DataFrame:
     node and is written to the shared folder, so lineage stays short and a hub
     of any degree is combined before it is shuffled. Empty edges give no rows.
     """
-    now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "cc")
-    before = None
-    while True:
-        # Every neighbour above a node moves to the least of its neighbourhood.
-        both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").where("y <> m").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
-        # Every neighbour below a node, and the node, move to the least of them.
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v")
-        small = small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).distinct()
-        now = materialize(small, "cc")
-        stamp = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(stamp) == before:
-            return now.select(F.col("v").alias("id"), F.col("u").alias("comp")).union(now.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
-        before = tuple(stamp)
-
-
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The rows (id, key) of buckets that hold several ids, written to the shared folder.
-
-    Rows are dealt by key once; repeats, bucket sizes and the join all use that.
+    with scope(edges.sparkSession):
+        now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "cc")
+        before = None
+        while True:
+            # Every neighbour above a node moves to the least of its neighbourhood.
+            both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select(F.col("u").alias("x"), F.col("v").alias("y")))
+            low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+            large = both.where("y > x").join(low, "x").where("y <> m").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+            # Every neighbour below a node, and the node, move to the least of them.
+            least = large.groupBy("v").agg(F.min("u").alias("m"))
+            small = large.join(least, "v")
+            small = small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).distinct()
+            now = materialize(small, "cc")
+            stamp = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+            if stamp == before:
+                return kept(now.select(F.col("v").alias("id"), F.col("u").alias("comp")).union(now.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct()), "components")
+            before = stamp
+
+
+class Dealer:
+    """Packs (key, id) entries for the tasks that look for shared keys: a row a bucket, 4 bytes of key and 8 of id an entry.
+
+    The first bits of a key name its bucket; there are ``buckets`` (a power of
+    two) of them. With 32 bits left in a bucket, keys that only seem equal are
+    rare, and pairs are verified anyway.
     """
-    dealt = keys.repartition("key").dropDuplicates(["key", "id"])
-    many = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    return materialize(dealt.join(many, "key", "left_semi").select("id", "key"), "keys")
+
+    NAMES = ["bucket", "part", "ids"]
+    SCHEMA = "bucket int, part binary, ids binary"
+
+    def __init__(self, buckets: int):
+        self.bits = buckets.bit_length() - 1
+        self.keys, self.ids, self.held = [], [], 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray):
+        """``keys``: of all ids, as unsigned numbers; ``ids``: one for each key. Gives a batch when enough is held."""
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.held += len(keys)
+        if self.held >= PACKED:
+            yield self.packed()
+
+    def finish(self):
+        if self.held:
+            yield self.packed()
+
+    def packed(self) -> pa.RecordBatch:
+        keys, ids = np.concatenate(self.keys).astype(np.uint64), np.concatenate(self.ids)
+        self.keys, self.ids, self.held = [], [], 0
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int32) if self.bits else np.zeros(len(keys), np.int32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.concatenate([first[1:], [len(keys)]])
+        rest = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype("<u4")
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), binaries(rest, first, ends), binaries(ids.astype("<i8"), first, ends)], self.NAMES)
+
+
+def binaries(values: np.ndarray, first: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each run values[first:end] of consecutive runs."""
+    offsets = np.concatenate([first, ends[-1:]]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def buckets_of(spark: SparkSession) -> int:
+    """How many buckets keys are dealt to: several a shuffle partition, so tasks hold a little at a time."""
+    return 1 << math.ceil(math.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def gathered(rows):
+    """Rows (a tuple of values) of one bucket at a time: (bucket, list of rows)."""
+    now, held = None, []
+    for batch in rows:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row[1:])
+    if held:
+        yield now, held
+
+
+def shared_entries(bucket: int, rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) of the keys in a bucket that several ids share, each entry once."""
+    part = np.frombuffer(b"".join(r[0] for r in rows), "<u4")
+    ids = np.frombuffer(b"".join(r[1] for r in rows), "<i8")
+    order = np.lexsort((ids, part))
+    part, ids = part[order], ids[order]
+    new = np.concatenate([[True], (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])])
+    part, ids = part[new], ids[new]
+    same = part[1:] == part[:-1]
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return (part[many].astype(np.int64) | (bucket << 32)), ids[many]
+
+
+def shared_keys(dealt: DataFrame) -> DataFrame:
+    """The entries (id, key) of keys that several ids share, from a Dealer's rows."""
+
+    def find(batches):
+        for bucket, rows in gathered(batches):
+            keys, ids = shared_entries(bucket, rows)
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 100_000]), pa.array(keys[at : at + 100_000])], ["id", "key"])
+
+    return by_bucket(dealt).mapInArrow(lean(find), "id long, key long")
 
 
-def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, sketches: DataFrame | None = None, likely: Callable | None = None) -> DataFrame:
+def by_bucket(dealt: DataFrame) -> DataFrame:
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
+def deal(rows: DataFrame) -> DataFrame:
+    """A Dealer's rows of ``rows(id, keys)``, keys an array of numbers."""
+    n = buckets_of(rows.sparkSession)
+
+    def run(batches):
+        dealer = Dealer(n)
+        for batch in batches:
+            keys = batch.column(1)
+            sizes = keys.value_lengths().to_numpy(zero_copy_only=False)
+            yield from dealer.add(keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
+        yield from dealer.finish()
+
+    return rows.select("id", "keys").mapInArrow(lean(run), Dealer.SCHEMA)
+
+
+def joined(comp: DataFrame, won: DataFrame) -> DataFrame:
+    """The components ``comp(id, comp)`` with the links ``won(a, b)``: only components that links join are searched."""
+    a, b = (comp.select(F.col("id").alias(x), F.col("comp").alias(f"of_{x}")) for x in "ab")
+    ends = won.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    lifted = components(ends).withColumnsRenamed({"id": "_from", "comp": "_to"})
+    old = comp.join(lifted, comp["comp"] == lifted["_from"], "left").select("id", F.coalesce("_to", "comp").alias("comp"))
+    new = lifted.join(comp, lifted["_from"] == comp["id"], "left_anti").select(F.col("_from").alias("id"), F.col("_to").alias("comp"))
+    return kept(old.union(new), "comp")
+
+
+def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], weights: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """Components of the graph whose edges are verified pairs sharing a key.
 
-    ``keys(id, key)``: as ``shared_keys`` gives them. ``verify`` takes pairs(a, b)
-    and gives back those that are links. Returns (id, comp) of all ids that have
-    a link.
+    ``keys(id, key)``: a table of the keys that several ids share. ``verify`` takes
+    pairs(a, b) and gives back those that are links. ``within`` takes members of
+    blocks (see ``block_pairs``) and gives the links (a, b) across components.
+    ``weights(id, weight)`` has the bytes a member is compared by. Returns (id,
+    comp) of all ids that have a link.
 
     Round 0 compares each bucket with its least id; later rounds compare members
     of buckets that still span several components with a hub of the bucket's
     own, so a group whose members are near some of each other meets many hubs;
-    the last step compares everything that is left across components. With
-    ``sketches(id, sketch)``, that step makes only pairs whose sketches ``likely``
-    takes for a possible link.
+    the last steps compare what is left across components.
     """
     spark = keys.sparkSession
-    many = materialize(keys.groupBy("key").agg(F.min("id").alias("lo")), "buckets")
-    edges = spark.createDataFrame([], "a long, b long")
-    tested = edges
-    comp = spark.createDataFrame([], "id long, comp long")
-    for turn in range(rounds + 1):
-        if turn == 0:
-            open_keys, hubs = keys.withColumn("comp", F.col("id")), many.select("key", F.col("lo").alias("hub"), F.col("lo").alias("hub_comp"))
-        else:
-            labelled = keys.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
-            spans = materialize(spans.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-            open_keys = materialize(labelled.join(spans, "key", "left_semi"), "open")
-            hubs = spans
-        if turn < rounds:
-            found = open_keys.join(hubs, "key").where("id <> hub and comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            near = F.lit(True)
-            if sketches is not None:
-                open_keys = materialize(open_keys.join(sketches, "id"), "open")
-                near = likely(F.col("sketch"), F.col("sketch2"))
-            other = open_keys.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"), *([F.col("sketch").alias("sketch2")] if sketches is not None else []))
-            found = open_keys.join(other, "key").where((F.col("comp") < F.col("comp2")) & near).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        pairs = found.distinct() if turn == 0 else found.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0 or turn == rounds:
-                break
-            if open_keys.isEmpty():
-                break
-            continue
-        won = materialize(verify(pairs).select("a", "b"), "links")
-        tested = tested.union(pairs)
-        if not won.isEmpty():
-            edges = edges.union(won)
-            comp = components(edges)
-    return comp
+    with scope(spark):
+        comp, tested = spark.createDataFrame([], "id long, comp long"), spark.createDataFrame([], "a long, b long")
+
+        def across(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+            pairs = pairs.distinct()
+            return materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+
+        def labelled() -> DataFrame:
+            return keys.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+
+        for turn in range(rounds):
+            if turn == 0:
+                hubs = keys.groupBy("key").agg(F.min("id").alias("hub"))
+                found = keys.join(hubs, "key").where("id <> hub")
+            else:
+                hubs = labelled().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
+                found = labelled().join(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
+            pairs = across(found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tested if turn else None)
+            won = materialize(verify(pairs), "links")
+            tested = tested.union(pairs)
+            if not won.isEmpty():
+                comp = joined(comp, won)
+        # Buckets of up to ``rounds`` + 1 ids have met all their hubs: nothing is left of them.
+        spans = labelled().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {rounds + 1}").select("key", "least", "n")
+        left = materialize(labelled().join(spans, "key"), "open")
+        large = left.where(F.col("n") > DIRECT)
+        few, blocks = left.where(F.col("n") <= DIRECT), None
+        if not large.isEmpty():
+            more, blocks = block_pairs(large, weights)
+            few = few.unionByName(more)
+        other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+        pairs = few.join(other, "key").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        found = verify(across(pairs, tested))
+        won = materialize(found if blocks is None else found.select("a", "b").union(within(blocks).select("a", "b")), "links")
+        return joined(comp, won) if not won.isEmpty() else kept(comp, "linked")
+
+
+def block_pairs(left: DataFrame, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``left`` that are better compared pair by pair, and members dealt to pairs of blocks: (pair, side, id, comp).
+
+    ``left(key, id, comp, least, n)``: buckets that span components. Buckets that
+    share members make up a cluster, whose members are dealt to blocks of some
+    ``MEMBERS`` ids and ``BYTES`` bytes; every two blocks of a cluster meet in one
+    ``pair``, and so do any two ids that share a bucket. ``side`` tells the blocks
+    apart (0 and 1; a block that meets itself is side 2). A cluster of n ids makes
+    n * n / MEMBERS rows, and no task holds more than two blocks at once. Clusters
+    whose buckets have fewer pairs than that are left to them.
+    """
+    named = components(left.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    members = left.groupBy("id").agg(F.min("comp").alias("comp")).join(named.withColumnRenamed("comp", "cluster"), "id")
+    members = members.withColumn("weight", F.lit(0)) if weights is None else members.join(weights.groupBy("id").agg(F.sum("weight").alias("weight")), "id")
+    members = materialize(members.select("id", "comp", "cluster", "weight"), "members")
+    direct = left.where("id = least").select("id", "n").join(named.withColumnRenamed("comp", "cluster"), "id").groupBy("cluster").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("ids"), F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("weight") / BYTES)).cast("int").alias("blocks"))
+    sizes = materialize(sizes.join(direct, "cluster"), "clusters")
+    dense = F.col("ids") * F.col("blocks") < F.col("pairs")
+    more = left.join(members.join(sizes.where(~dense), "cluster").select("id"), "id", "left_semi")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    each = members.join(sizes.where(dense).select("cluster", "blocks"), "cluster").withColumn("block", block)
+    each = each.select("id", "comp", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(low == high, 2).when(F.col("block") == low, 0).otherwise(1)
+    return more, each.select(F.xxhash64("cluster", low, high).alias("pair"), side.alias("side"), "id", "comp")
+
+
+def compared(members: DataFrame, payload: DataFrame, links: Callable, out: str = "a long, b long") -> DataFrame:
+    """The links (a, b) that ``links`` finds in pairs of blocks.
+
+    ``members``: as ``block_pairs`` gives them, ``payload(id, payload)`` what ids are
+    compared by. ``links`` takes the ids, a matrix that is true where two of them are to be
+    compared, and the payloads; it gives rows of two places.
+    """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(payload, "id").select("pair", "side", "id", "comp", "payload").repartition(n, "pair").sortWithinPartitions("pair")
+
+    def run(batches):
+        for _, rows in gathered(batches):
+            side, ids, comp, data = zip(*rows, strict=True)
+            side, ids, comp = np.array(side), np.array(ids, np.int64), np.array(comp, np.int64)
+            wanted = (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+            found = links(wanted, data) if wanted.any() else []
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"])
+
+    return dealt.mapInArrow(lean(run), out).distinct()

@@ -11,14 +11,9 @@ with a probability of 0.998 (at 0.8, of 0.99998), and texts that merely hold a
 common passage seldom do.
 
 Documents with equal sets form a class with one representative. Only classes
-that share a band with another one are compared, first with one hub per band
-bucket and then across components only (see ``links``), on whole shingle sets,
-exactly: 100 * intersection >= 75 * union. Before pairs are made across the
-components of a bucket, sizes are compared, which is exact, and for sets of at
-least ``SMALL`` shingles two bits of each coordinate: pairs so far
-apart that a link would be 4.5 standard deviations off (one link in 300,000 at
-the limit itself) are not made, which spares members of a large group that are
-near to none. A hub's set is sent in ``salts``
+that share a band with another one are compared, first with hubs of each band
+bucket and then in blocks across components (see ``links``), on whole shingle
+sets, exactly: 100 * intersection >= 75 * union. A hub's set is sent in ``salts``
 copies that grow with the number of its candidates, so a large group of near
 copies is verified by many tasks. The component of a document is the least
 doc_id reachable over links.
@@ -42,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, materialize
-from .links import linked_groups, shared_keys
+from .common import Bloom, Remembered, kept, lean, materialize, scope
+from .links import compared, components, deal, linked_groups, shared_keys
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, BANDS, ROWS = 5, 60, 8
@@ -51,8 +46,6 @@ LIMIT = 75  # per cent
 #: Odd multipliers of the two permutations (fixed values, any odd ones do).
 SPREAD, SECOND = 0x9E3779B1, 0xC2B2AE35
 MANY = 256
-#: The coordinates of smaller sets depend on each other too much for sketches to tell.
-SMALL = 100
 
 
 class Words(Remembered):
@@ -98,47 +91,22 @@ def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)]
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of every coordinate, 32 coordinates to a number."""
-    bits = np.unpackbits((sig & np.uint32(3)).astype(np.uint8)[:, None], axis=1)[:, 6:].ravel()
-    return np.packbits(bits).view(">i8").astype(np.int64)
-
-
-def likely(a, b):
-    """Whether two sketches agree as often as those of a link nearly always do."""
-    coordinates, share = BANDS * ROWS, LIMIT / 100 + (1 - LIMIT / 100) / 4
-    least = int(coordinates * share - 4.5 * (coordinates * share * (1 - share)) ** 0.5)
-    differ = F.lit(0)
-    for i in range(coordinates // 32):
-        x = a[i].bitwiseXOR(b[i])
-        differ += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return differ <= coordinates - least
-
-
-def worth(a, b):
-    """Whether a pair is made, by sketches that end with the size of the set: sizes allow a link, and large sets look like one."""
-    na, nb = F.element_at(a, -1), F.element_at(b, -1)
-    return (100 * F.least(na, nb) >= LIMIT * F.greatest(na, nb)) & ((F.least(na, nb) < SMALL) | likely(a, b))
-
-
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), band keys and sketch of every row."""
-    names = ["doc_id", "n_shingles", "digest", "bands", "sketch"]
+    """doc_id, n_shingles, digest of the set (null if empty) and band keys of every row."""
+    names = ["doc_id", "n_shingles", "digest", "bands"]
 
     def sign(batches):
         lookup = Words()
         for batch in batches:
-            column, n, digests, bands, sketches = batch.column(1), [], [], [], []
+            column, n, digests, bands = batch.column(1), [], [], []
             for i in range(len(column)):
                 s = shingles(column[i].as_py(), lookup)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                sig = signature(s) if len(s) else None
-                bands.append([] if sig is None else band_keys(sig))
-                sketches.append([] if sig is None else sketch(sig))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names)
+                bands.append(band_keys(signature(s)) if len(s) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(sign, "doc_id long, n_shingles long, digest string, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(lean(sign), "doc_id long, n_shingles long, digest string, bands array<long>")
 
 
 def spread_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -161,56 +129,117 @@ def spread_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ends.select("hub", "salt", "id").join(texts, "id").join(copies, ["hub", "salt"]).select("hub", "id", "text", "hub_text")
 
 
-def verified(texts: DataFrame):
-    """A verifier over texts(id, text): keeps pairs (a, b) whose shingle sets are similar enough."""
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles are similar enough."""
+    if 100 * min(len(a), len(b)) < LIMIT * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= LIMIT * (len(a) + len(b) - both)
+
+
+def verified(sets: DataFrame):
+    """A verifier over sets(id, payload): keeps pairs (a, b) whose shingle sets are similar enough."""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        held = spread_hubs(pairs, texts)
+        held = spread_hubs(pairs, sets.select("id", F.col("payload").alias("text")))
 
         def compare(batches):
-            lookup, last, hub_set = Words(), None, None
+            last, hub_set = None, None
             for batch in batches:
                 keep = []
-                hubs, ids, own, other = batch.columns
+                _, _, own, other = batch.columns
                 for i in range(batch.num_rows):
                     if (h := other[i].as_py()) != last:
-                        last, hub_set = h, shingles(h, lookup)
-                    s = shingles(own[i].as_py(), lookup)
-                    both = len(np.intersect1d(s, hub_set, assume_unique=True))
-                    keep.append(100 * both >= LIMIT * (len(s) + len(hub_set) - both))
+                        last, hub_set = h, np.frombuffer(h, np.uint64)
+                    keep.append(linked(np.frombuffer(own[i].as_py(), np.uint64), hub_set))
                 won = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
                 if won.num_rows:
                     yield won
 
-        return held.mapInArrow(compare, "hub long, id long").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        return held.mapInArrow(lean(compare), "hub long, id long").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
     return verify
 
 
+def links_of(wanted: np.ndarray, data) -> np.ndarray:
+    """The wanted pairs whose sets are similar enough, all counted at once: sets as rows of a matrix of shingles."""
+    sets = [np.frombuffer(x, np.uint64) for x in data]
+    size = np.array([len(s) for s in sets])
+    wanted = wanted & (100 * np.minimum.outer(size, size) >= LIMIT * np.maximum.outer(size, size))
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(rows):
+        return np.zeros((0, 2), np.int64)
+    used = np.union1d(rows, columns)
+    owner = np.repeat(used, size[used])
+    value = np.concatenate([sets[i] for i in used])
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    same = value[1:] == value[:-1]
+    held = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    owner, value = owner[held], value[held]
+    number = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1 if len(value) else np.zeros(0, np.int64)
+    place = np.full(len(sets), -1)
+    place[rows] = np.arange(len(rows))
+    other = np.full(len(sets), -1)
+    other[columns] = np.arange(len(columns))
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    step = 4096  # shingles at once
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        a, b = np.searchsorted(number, [low, low + step])
+        left, right = (np.zeros((len(x), step), np.float32) for x in (rows, columns))
+        for matrix, at in ((left, place[owner[a:b]]), (right, other[owner[a:b]])):
+            matrix[at[at >= 0], (number[a:b] - low)[at >= 0]] = 1
+        both += left @ right.T
+    union = size[rows][:, None] + size[columns][None, :] - both
+    i, j = np.nonzero(wanted[np.ix_(rows, columns)] & (100 * both >= LIMIT * union))
+    return np.stack([rows[i], columns[j]], 1)
+
+
+def candidate_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(id, payload) of the wanted doc_ids: their shingles, packed.
+
+    A fixed-size filter of the wanted ids is applied where texts are read, so the
+    others are neither cut nor shuffled. A doc_id with several texts has several rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted))
+
+    def cut(batches):
+        lookup = Words()
+        for batch in batches:
+            met = np.flatnonzero(shared.value.met(batch.column(0).to_numpy(zero_copy_only=False))).tolist()
+            for low in range(0, len(met), 256):
+                own = met[low : low + 256]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array([shingles(batch.column(1)[i].as_py(), lookup).tobytes() for i in own], pa.binary())], ["id", "payload"])
+
+    body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    return body.mapInArrow(lean(cut), "id long, payload binary").join(wanted, "id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    signed = materialize(signatures(docs, text), "signatures")
-    # Documents with equal sets: a class, represented by its least doc_id.
-    nodes = signed.where("doc_id is not null and digest is not null")
-    classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", F.concat("sketch", F.array("n_shingles")).alias("sketch")), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
-    keys = shared_keys(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key")))
-    wanted = materialize(keys.select("id").distinct(), "candidates")
-    body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    texts = materialize(body.join(wanted, "id", "left_semi").select("id", "text"), "candidate-texts")
-    comps = linked_groups(keys, verified(texts), sketches=classes.select(F.col("rep").alias("id"), "sketch"), likely=worth)
-    # A doc_id with several texts lies in several classes: they are one node.
-    twice = nodes.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    named = classes.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    named = materialize(joined_components(nodes, named, twice), "components")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
+    spark = docs.sparkSession
+    with scope(spark):
+        signed = materialize(signatures(docs, text), "signatures")
+        # Documents with equal sets: a class, represented by its least doc_id.
+        nodes = signed.where("doc_id is not null and digest is not null")
+        classes = materialize(nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "n_shingles"), "doc_id").alias("s")).select("digest", "rep", "s.*"), "classes")
+        keys = materialize(shared_keys(deal(classes.select(F.col("rep").alias("id"), F.col("bands").alias("keys")))), "keys")
+        wanted = materialize(keys.select("id").distinct(), "candidates")
+        sets = materialize(candidate_sets(docs, wanted, text), "candidate-sets")
+        weights = classes.groupBy(F.col("rep").alias("id")).agg((8 * F.max("n_shingles")).alias("weight"))
+        comps = linked_groups(keys, verified(sets), lambda members: compared(members, sets, links_of), weights)
+        # A doc_id with several texts lies in several classes: they are one node.
+        twice = nodes.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+        named = classes.select("digest", "rep").join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
+        named = materialize(joined_components(nodes, named, twice), "components")
+        out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
+        return kept(out, "near-duplicates")
 
 
 def joined_components(nodes: DataFrame, named: DataFrame, twice: DataFrame) -> DataFrame:
     """Join the components of classes that hold one doc_id; without such ids, ``named`` as it is."""
-    from .links import components
-
     twice = materialize(twice, "several-texts")
     if twice.isEmpty():
         return named

@@ -31,14 +31,60 @@ def test_components(spark):
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_linked_groups_lose_no_link(spark):
-    """Chains in one bucket: the hub is near few, and every link must still be found."""
-    keys = [(i, 1) for i in range(40)] + [(i, 2) for i in range(30, 60)] + [(99, 3)]
-    near = lambda a, b: abs(a - b) in (1, 13)
+def numbers_within(near):
+    """Blocks of ids compared as numbers."""
+
+    def within(members):
+        payload = members.select("id").distinct().selectExpr("id", "cast(cast(id as string) as binary) as payload")
+
+        def found(wanted, data):
+            ids = np.array([int(x) for x in data])
+            return np.argwhere(wanted & near(ids[:, None], ids[None, :]))
+
+        return links.compared(members, payload, found)
+
+    return within
+
+
+@pytest.mark.parametrize("direct", [8, 2])
+def test_linked_groups_lose_no_link(spark, monkeypatch, direct):
+    """Chains in one bucket: the hubs are near few, and every link must still be found."""
+    monkeypatch.setattr(links, "DIRECT", direct)
+    monkeypatch.setattr(links, "MEMBERS", 7)
+    keys = [(i, 1) for i in range(40)] + [(i, 2) for i in range(30, 60)] + [(200 + i, 3) for i in range(6)] + [(99, 4), (100, 4), (98, 5)]
+    near = lambda a, b: np.isin(np.abs(a - b), (1, 13))
     frame = spark.createDataFrame(keys, "id long, key long")
-    got = {x: y for x, y in links.linked_groups(links.shared_keys(frame), lambda p: p.where("abs(a - b) in (1, 13)")).collect()}
-    edges = [(a, b) for k in (1, 2) for a, b in itertools.combinations([i for i, key in keys if key == k], 2) if near(a, b)]
-    assert got == union_find({x for e in edges for x in e}, edges)
+    got = {x: y for x, y in links.linked_groups(frame, lambda p: p.where("abs(a - b) in (1, 13)"), numbers_within(near)).collect()}
+    edges = [(a, b) for k in (1, 2, 3, 4) for a, b in itertools.combinations([i for i, key in keys if key == k], 2) if near(a, b)]
+    want = union_find({x for e in edges for x in e}, edges)
+    # Ids of one cluster are compared whether or not they share a bucket.
+    assert all(got[i] <= want[i] for i in want) and {i for i in got if i >= 90} == {99, 100, *range(200, 206)}
+    assert len({got[i] for i in range(60)}) == 1
+
+
+def test_dealt_keys_come_back(spark):
+    r = np.random.default_rng(1)
+    keys = {i: np.unique(r.integers(-(1 << 63), 1 << 63, 20)) for i in range(-50, 50)}
+    for i in range(0, 40, 4):
+        keys[i] = np.append(keys[i], [keys[i + 1][0], keys[i + 2][1]])
+    frame = spark.createDataFrame([(i, k.tolist()) for i, k in keys.items()], "id long, keys array<long>").repartition(3)
+    got = links.shared_keys(links.deal(frame.union(frame))).collect()
+    groups = {}
+    for x in got:
+        groups.setdefault(x["key"], set()).add(x["id"])
+    assert len(got) == len({(x["id"], x["key"]) for x in got})
+    assert sorted(map(sorted, groups.values())) == sorted([i, j] for i in range(0, 40, 4) for j in (i + 1, i + 2))
+    assert links.shared_keys(links.deal(frame.limit(0))).count() == 0
+
+
+def test_many_sets_at_once():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: r.integers(1, 400)], r.integers(0, 1 << 63, r.integers(0, 60)).astype(np.uint64)])) for _ in range(80)]
+    wanted = np.triu(r.random((80, 80)) < 0.7, 1)
+    got = {tuple(x) for x in minhash.links_of(wanted, [s.tobytes() for s in sets]).tolist()}
+    want = {(i, j) for i, j in itertools.combinations(range(80), 2) if wanted[i, j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert got == want and len(want) > 50
 
 
 def near_texts():
@@ -84,17 +130,6 @@ def test_signature_agreement_estimates_similarity():
     assert abs(same - 3000 / 5000) < 0.08
 
 
-def test_sketches_keep_links(spark):
-    r, rows = np.random.default_rng(3), []
-    for k in range(200):
-        a = r.integers(0, 1 << 63, 700).astype(np.uint64)
-        shared = 600 if k % 2 else 350  # similarities of 0.75 and 1 / 3
-        b = np.concatenate([a[:shared], r.integers(0, 1 << 63, 700 - shared).astype(np.uint64)])
-        rows.append((k % 2, minhash.sketch(minhash.signature(a)).tolist(), minhash.sketch(minhash.signature(b)).tolist()))
-    got = spark.createDataFrame(rows, "k int, a array<long>, b array<long>").select("k", minhash.likely(minhash.F.col("a"), minhash.F.col("b")).alias("near")).collect()
-    assert all(x["near"] == bool(x["k"]) for x in got)
-
-
 def test_doc_id_with_two_texts_is_one_node(spark):
     a, b = "p q r s t u v w", "a b c d e f g h"
     docs = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
