@@ -69,7 +69,8 @@ def cell(value: Column, kind: str) -> Column:
 
 
 def numbered(prefix: Column, number: Column, digits: int = 6) -> Column:
-    return F.concat(prefix, F.lpad(number.cast("string"), digits, "0"))
+    """The prefix and the number, with zeros in front up to ``digits``; longer numbers stay whole."""
+    return F.concat(prefix, F.format_string(f"%0{digits}d", number.cast("long")))
 
 
 def mean_std(mean: Column, std: Column, best: Column | None = None, digits: int = 4) -> Column:

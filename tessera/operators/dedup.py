@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import containment, hamming_similarity
+from ..functions.text import numbered
 from ..session import settled
 
 
@@ -71,13 +72,15 @@ def variant_groups(df: DataFrame, within: list[str], name: str, bare: str) -> Da
     return df.withColumn("canonical_name", F.min(name).over(w)).withColumn("grouping_method", F.when(several, "whitespace_variant_merge").otherwise("filename_rule"))
 
 
-def group_numbers(df: DataFrame, family: str, keys: list[str], prefix: Column, out: str = "recording_group_id", digits: int = 4) -> DataFrame:
+def group_numbers(df: DataFrame, family: list[str], keys: list[str], prefix: Column, out: str = "recording_group_id", digits: int = 4) -> DataFrame:
     """Numbers the groups of each family in the order of their keys, ``<prefix>_G0001``.
 
     Only distinct groups are numbered; rows get theirs by a join.
     """
-    groups = df.select(family, *keys).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(family).orderBy(*keys)))
-    return df.join(groups, [family, *keys], "left").select(*df.columns, "_n").withColumn(out, F.concat(prefix, F.lit("_G"), F.lpad(F.col("_n").cast("string"), digits, "0"))).drop("_n")
+    columns = [*family, *keys]
+    groups = df.select(*columns).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*family).orderBy(*keys))).withColumnsRenamed({c: f"_own_{c}" for c in columns})
+    same = [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in columns]
+    return df.join(groups, same, "left").select(*df.columns, "_n").withColumn(out, numbered(F.concat(prefix, F.lit("_G")), F.col("_n"), digits)).drop("_n")
 
 
 def near_duplicate_flag(df: DataFrame, group: str, out: str = "is_near_duplicate") -> DataFrame:

@@ -70,9 +70,20 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def weighted_draw(df: DataFrame, label: str, record: str, k: int, seed: int) -> DataFrame:
-    """``k`` rows without replacement, labels alike likely: the least of -ln(u) / weight, u by hash."""
-    u = (F.conv(F.substring(hash_order(F.lit(seed), F.col(record)), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
-    return df.join(class_weights(df, label).select(label, "weight"), label).withColumn("_key", -F.log(u) / F.col("weight")).orderBy("_key", record).limit(k).drop("_key", "weight")
+    """``k`` draws with replacement, labels alike likely: rows of ``df`` with the number of their ``draw``.
+
+    Each draw, by hash, takes a label, all alike, then one of the label's rows,
+    numbered by hash; only counts by label and drawn places are shuffled with it.
+    """
+    rows = df.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.lit(seed), F.col(record)), record)) - 1)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    n_labels = counts.count()
+    labels = counts.withColumn("_label", F.row_number().over(Window.orderBy(label)) - 1)  # one row a label
+    whole = float(16**13)
+    unit = lambda what: F.conv(F.substring(hash_order(F.lit(f"{seed}:{what}"), F.col("draw")), 1, 13), 16, 10).cast("double") / whole
+    draws = df.sparkSession.range(k).withColumnRenamed("id", "draw")
+    drawn = draws.withColumn("_label", F.floor(unit("label") * n_labels)).join(labels, "_label").withColumn("_place", F.floor(unit("row") * F.col("_n")))
+    return rows.join(drawn.select("draw", label, "_place"), [label, "_place"]).select("draw", *df.columns)
 
 
 def first_per(df: DataFrame, by: str, order: list[str], limits: DataFrame, limit: str = "limit") -> DataFrame:

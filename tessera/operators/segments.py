@@ -25,12 +25,12 @@ def segmented(df: DataFrame, samples: str, size: int, least: int) -> DataFrame:
     return rows.select(*(c for c in df.columns if c != samples), F.concat(cut, zeros).alias(samples), F.col("_s.index").alias("segment_position"), F.col("_s.start").alias("start"), F.col("_s.stop").alias("stop"), F.col("_s.padded").alias("is_padded"))
 
 
-def capped(df: DataFrame, sample: str, family: str, start: str, class_rows: DataFrame, floor: int = 6, share: float = 0.10, primary: Column | None = None, index: str = "segment_index") -> DataFrame:
-    """The first max(floor, ceil(share * rows of the class)) segments of every sample, numbered from 0.
+def capped(df: DataFrame, sample: str, family: str, start: str, class_rows: DataFrame, floor: int = 6, share: float = 0.10, primary: Column | None = None, index: str = "segment_index", tie: list[str] = ()) -> DataFrame:
+    """The first max(floor, ceil(share * rows of the class)) segments of every sample, numbered from 0 by ``start``, then by ``tie``.
 
     ``class_rows(family, rows)``; rows that are not ``primary`` are not capped.
     """
-    w = Window.partitionBy(sample).orderBy(start)
+    w = Window.partitionBy(sample).orderBy(start, *tie)
     cap = F.greatest(F.lit(floor), F.ceil(F.col("rows") * F.lit(float(share))))
     ranked = df.join(class_rows, family, "left").withColumn(index, F.row_number().over(w) - 1)
     inside = F.col(index) < cap

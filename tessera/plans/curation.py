@@ -105,9 +105,12 @@ def grouped(audit: DataFrame, config: Config) -> DataFrame:
     rows = dedup.variant_groups(bare, ["source_subtype_dir", "family_label"], "normalized_base_name", "_bare").drop("_bare")
     short = F.coalesce(*(F.when(F.col("family_label") == k, v) for k, v in config.families.items()), F.col("family_label"))
     external = F.col("source_dataset") == "ChMusic"
-    # Every primary group is named with the first source's prefix, as the manifests have it.
-    rows = rows.withColumn("_kind", F.when(external, "chm").otherwise("ccm")).withColumn("_key", F.when(external, F.col("file_name")).otherwise(F.col("canonical_name")))
-    rows = dedup.group_numbers(rows, "family_label", ["_kind", "source_subtype_dir", "_key"], F.concat(F.col("_kind"), F.lit("_"), short)).drop("_kind", "_key")
+    # Every primary group is named with the first source's prefix, as the manifests have it. External
+    # rows are groups of their own, numbered apart from 1 in the numeric order of their files.
+    rows = rows.withColumn("_kind", F.when(external, "chm").otherwise("ccm")).withColumn("_place", F.when(external, text.dotted_key(F.col("file_name"))))
+    rows = rows.withColumn("_key", F.when(external, F.col("file_name")).otherwise(F.col("canonical_name"))).withColumn("_folder", F.when(external, "").otherwise(F.col("source_subtype_dir")))
+    rows = dedup.group_numbers(rows, ["family_label", "_kind"], ["_place", "_folder", "_key"], F.concat(F.col("_kind"), F.lit("_"), short)).drop("_kind", "_place", "_folder", "_key")
+    rows = rows.withColumn("grouping_method", F.when(external, "unique_singleton").otherwise(F.col("grouping_method"))).withColumn("take_id", F.when(external, 0).otherwise(F.col("take_id")))
     rows = dedup.near_duplicate_flag(rows, "recording_group_id")
     kept = rows.where("sample_status = 'keep' and is_decodable")
     twins = dedup.exact_duplicates(kept, "audio_sha256", ["source_dataset", "source_subtype_dir", "file_name"], ["family_label", "source_dataset"]).where("duplicate_of is not null").select("record_id", "duplicate_of")
@@ -155,12 +158,12 @@ def frozen(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def splits(rows: DataFrame, config: Config, compatible: bool = False) -> DataFrame:
-    """Every seed's split of the frozen rows, with its seed; raises if a gate is violated."""
+    """Every seed's split of the frozen rows, with the seed's place among the seeds; raises if a gate is violated."""
     out = None
-    for seed in config.seeds:
+    for place, seed in enumerate(config.seeds):
         primary = rows.where("source_dataset <> 'ChMusic'")
         placed = split.group_split(primary, "family_label", "recording_group_id", seed, compatible=compatible)
-        own = settled(split.routed(rows, placed, "recording_group_id").withColumn("split_seed", F.lit(seed)))
+        own = settled(split.routed(rows, placed, "recording_group_id").withColumn("split_seed", F.lit(place)))
         gates.require(split.split_gates(own.where("source_dataset <> 'ChMusic'"), families(rows, config), "family_label", "recording_group_id"), f"split gates of seed {seed}")
         out = own if out is None else out.unionByName(own)
     return out

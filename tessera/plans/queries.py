@@ -66,7 +66,7 @@ def scan_profile(spark, d):
     return read(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"), six(F.avg("n_chars")).alias("avg_chars"))
 
 
-@query("SELECT doc_id, 'rec_' || source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS VARCHAR), 6, '0') AS record_id FROM documents")
+@query("SELECT doc_id, 'rec_' || source || '_' || printf('%06d', row_number() OVER (PARTITION BY source ORDER BY lang, doc_id)) AS record_id FROM documents")
 def assign_record_id(spark, d):
     order = Window.partitionBy("source").orderBy("lang", "doc_id")
     return read(spark, d, "documents").select("doc_id", text.numbered(F.concat(F.lit("rec_"), "source", F.lit("_")), F.row_number().over(order)).alias("record_id"))
@@ -199,10 +199,10 @@ def whitespace_variant_merge(spark, d):
     return dedup.variant_groups(docs, ["lang"], "name", "bare").select("doc_id", "canonical_name", "grouping_method")
 
 
-@query(f"SELECT doc_id, 'ccm_' || lang || '_G' || lpad(CAST(dense_rank() OVER (PARTITION BY lang ORDER BY source, name) AS VARCHAR), 4, '0') AS recording_group_id FROM (SELECT doc_id, lang, source, {NAME} AS name FROM documents)")
+@query(f"SELECT doc_id, 'ccm_' || lang || '_G' || printf('%04d', dense_rank() OVER (PARTITION BY lang ORDER BY source, name)) AS recording_group_id FROM (SELECT doc_id, lang, source, {NAME} AS name FROM documents)")
 def group_ids(spark, d):
     docs = documents(spark, d).select("doc_id", "lang", "source", "name")
-    return dedup.group_numbers(docs, "lang", ["source", "name"], F.concat(F.lit("ccm_"), "lang")).select("doc_id", "recording_group_id")
+    return dedup.group_numbers(docs, ["lang"], ["source", "name"], F.concat(F.lit("ccm_"), "lang")).select("doc_id", "recording_group_id")
 
 
 @query(f"SELECT doc_id, count(*) OVER (PARTITION BY name) > 1 AS is_near_duplicate FROM (SELECT doc_id, {NAME} AS name FROM documents)")
@@ -360,7 +360,7 @@ def balance_monitors(spark, d):
     return gates.balance_monitors(docs, "lang").select(six(F.col("controlled_share")).alias("controlled_share"), six(F.col("class_ratio")).alias("class_ratio"))
 
 
-@query("SELECT doc_id, 'ext_' || lang || '_' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS VARCHAR), 4, '0') AS sample_id FROM documents")
+@query("SELECT doc_id, 'ext_' || lang || '_' || printf('%04d', row_number() OVER (PARTITION BY lang ORDER BY source, doc_id)) AS sample_id FROM documents")
 def freeze_ids(spark, d):
     order = Window.partitionBy("lang").orderBy("source", "doc_id")
     return read(spark, d, "documents").select("doc_id", text.numbered(F.concat(F.lit("ext_"), "lang", F.lit("_")), F.row_number().over(order), 4).alias("sample_id"))
@@ -435,7 +435,7 @@ def segment_blocks(spark, d):
 @query("SELECT l_orderkey, l_linenumber, i AS segment_index FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, l_returnflag FROM lineitem) JOIN (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag) USING (l_returnflag) WHERE i < greatest(2, ceil(n * CAST(0.0001 AS DOUBLE)))")
 def concentration_cap(spark, d):
     items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    out = segments.capped(items, "l_orderkey", "l_returnflag", "l_linenumber", items.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows")), 2, 0.0001)
+    out = segments.capped(items, "l_orderkey", "l_returnflag", "l_linenumber", items.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows")), 2, 0.0001, tie=["l_returnflag"])
     return out.select("l_orderkey", "l_linenumber", F.col("segment_index").cast("long"))
 
 

@@ -23,11 +23,18 @@ def read_manifest(spark: SparkSession, path: str, required: list[str] = (), null
     return df if null_empty else df.na.fill("")
 
 
-def write_manifest(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Fixed columns (missing ones empty), fixed cell formats, one header."""
+def write_manifest(df: DataFrame, path: str, columns: list[str], order: list[str] = (), files: int | None = 1) -> None:
+    """Fixed columns (missing ones empty), fixed cell formats, rows by ``order`` in code points.
+
+    ``files`` 1 gives one file with one header; None lets the sorted ranges be
+    files of their own, in the order of their names, each with the header.
+    """
     kinds = dict(df.dtypes)
     cells = [(F.array_join(F.col(c), ",") if kinds.get(c, "").startswith("array") else cell(F.col(c), kinds[c])).alias(c) if c in kinds else F.lit("").alias(c) for c in columns]
-    df.select(*cells).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
+    rows = df.select(*cells)
+    if order:
+        rows = rows.orderBy(*order)
+    (rows if files is None else rows.coalesce(files)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(path)
 
 
 def joined_manifests(split: DataFrame, segments: DataFrame, same: list[str] = ("family_label", "source_dataset", "recording_group_id")) -> DataFrame:
