@@ -122,29 +122,70 @@ def gathered(rows):
         yield now, held
 
 
-def shared_entries(bucket: int, rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ids) of the keys in a bucket that several ids share, each entry once."""
+def entries_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """The (rest of the key, id) entries of a bucket whose key several ids share, sorted, each once."""
     part = np.frombuffer(b"".join(r[0] for r in rows), "<u4")
     ids = np.frombuffer(b"".join(r[1] for r in rows), "<i8")
+    ordered = np.sort(part)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])  # most keys occur once
+    at = np.minimum(np.searchsorted(twice, part), max(0, len(twice) - 1))
+    held = twice[at] == part if len(twice) else np.zeros(len(part), bool)
+    part, ids = part[held], ids[held]
     order = np.lexsort((ids, part))
     part, ids = part[order], ids[order]
-    new = np.concatenate([[True], (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])])
+    new = np.ones(len(part), bool)
+    new[1:] = (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])
     part, ids = part[new], ids[new]
     same = part[1:] == part[:-1]
-    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return (part[many].astype(np.int64) | (bucket << 32)), ids[many]
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(part) else new
+    return part[many], ids[many]
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers from any."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_keys(part: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each entry a key of all the ids that share its key: buckets of the same ids become one."""
+    if not len(part):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sums = np.add.reduceat(spread(ids.view(np.uint64)), first)
+    sizes = np.diff(np.concatenate([first, [len(part)]]))
+    return np.repeat(spread(sums + sizes.astype(np.uint64)), sizes)
+
+
+def keyed(bucket: int, rows: list):
+    """Batches (id, key) of a bucket's shared entries."""
+    part, ids = entries_of(rows)
+    for at in range(0, len(part), 100_000):
+        own = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(part[own].astype(np.int64) | (bucket << 32))], ["id", "key"])
 
 
 def shared_keys(dealt: DataFrame) -> DataFrame:
-    """The entries (id, key) of keys that several ids share, from a Dealer's rows."""
+    """The entries (id, key) of keys that several ids share, from a Dealer's rows.
+
+    Near ids share many keys. Keys that the same ids share are told by these ids
+    from here on, in a second deal, so each set of ids is kept once.
+    """
+    n = buckets_of(dealt.sparkSession)
+
+    def sets(batches):
+        dealer = Dealer(n)
+        for _, rows in gathered(batches):
+            part, ids = entries_of(rows)
+            yield from dealer.add(set_keys(part, ids), ids)
+        yield from dealer.finish()
 
     def find(batches):
         for bucket, rows in gathered(batches):
-            keys, ids = shared_entries(bucket, rows)
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 100_000]), pa.array(keys[at : at + 100_000])], ["id", "key"])
+            yield from keyed(bucket, rows)
 
-    return by_bucket(dealt).mapInArrow(lean(find), "id long, key long")
+    return by_bucket(by_bucket(dealt).mapInArrow(lean(sets), Dealer.SCHEMA)).mapInArrow(lean(find), "id long, key long")
 
 
 def by_bucket(dealt: DataFrame) -> DataFrame:

@@ -169,18 +169,28 @@ def distance(a, b):
     return p[-1]
 
 
-def test_similar_lines(spark):
+def test_similar_lines():
     r = random.Random(1)
-    pairs = []
-    for _ in range(300):
-        a = "".join(r.choice("abc é") for _ in range(r.randrange(120)))
+    pairs = [("", ""), ("", "a"), ("a" * 30, "a" * 27), ("a" * 30, "a" * 26), ("x" * 700, "x" * 350 + "y" + "x" * 349)]
+    for _ in range(1500):
+        a = "".join(r.choice("abc é") for _ in range(r.randrange(150)))
         b = list(a)
-        for _ in range(r.randrange(16)):
-            b.insert(r.randrange(len(b) + 1), r.choice("abcd"))
+        for _ in range(r.randrange(20)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choice(["", "a", "d"])
         pairs.append((a, "".join(b)[r.randrange(3) :]))
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.similar("a", "b").alias("s")).collect()
-    assert [x["s"] for x in got] == [10 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
-    assert {x["s"] for x in got} == {True, False}
+    held = {}
+    got = [lines.alike(a, b, held) for a, b in pairs]
+    assert got == [10 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
+    assert 300 < sum(got) < 1200
+
+
+def test_edits_are_counted_up_to_a_bound():
+    r = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randrange(30))) for _ in range(2))
+        for most in (0, 1, 3, 8, 40):
+            assert lines.within_edits(lines.codes_of(a), lines.codes_of(b), most) == (distance(a, b) <= most), (a, b, most)
 
 
 def normal(line):
