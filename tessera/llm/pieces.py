@@ -3,15 +3,18 @@
 A text (spaces as U+2581, one put in front) is cut into the pieces of a model
 with the greatest sum of scores. A unigram model's scores are taken as they are.
 A merge model only ranks its pieces; its scores become log-probabilities by
-Zipf's law, -log((rank + 2) * H). Characters no piece covers become byte pieces,
-ten nats below the least score each; ties go to the longer last piece.
-
-The search keeps a window: scores of as many places as the longest piece has
-characters, and back-pointers since the last commit. Whenever all paths that
-still can be extended go back through one boundary, the ids before it are final
-and are given out. A place that no piece can span is such a boundary in every
-text; texts are cut there first, and the ids of short cuts (words, for common
-models) are remembered, which does not change them.
+Zipf's law, -log((rank + 2) * H), so its ids are those of the best cut, not of
+the merges. Characters no piece covers become byte pieces, ten nats below the
+least score each; ties go to the longer last piece.
+
+There is one search, ``Encoder.stream``. It keeps a window: the scores of as many
+places as the longest piece has characters, and back-pointers since the last
+commit. Whenever all paths that still can be extended go back through one
+boundary, the ids before it are final and are given out: at once where no piece
+reaches beyond a place, else where the back-pointers of the window meet. Between
+two places that no piece can span, the search neither sees nor gives anything
+that depends on the rest, so what it gave for such a stretch (a word, for common
+models) is remembered and not searched again.
 
 Decoding joins the pieces' bytes. It gives the text back exactly: a U+2581 of
 the text itself is encoded as bytes. Null text counts as empty and has no ids.
@@ -22,7 +25,10 @@ results are replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import tempfile
 import zlib
+from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Remembered, extended
+from .common import Remembered, extended, lean
 
 SPACE = "▁"
 #: At a space that follows another character, as far as no piece spans such a place.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-SHORT = 48
+MISSING, NONE = object(), float("-inf")
+#: Characters of a text that the search is given at once.
+FEED = 256
+#: Stands for a U+2581 of the text, which is no space: the first of these that the text lacks (no piece has them).
+STAND_INS = (range(0xFDD0, 0xFDF0), range(0xF0000, 0xFFFFE))
 
 
 class Model:
@@ -53,125 +63,126 @@ class Model:
             total = float(np.sum(1 / np.arange(2, len(order) + 2)))
             scores = {i: -float(np.log((rank + 2) * total)) for rank, i in enumerate(order)}
         self.ids = {p.id_to_piece(i): (scores[i], i) for i in plain}
+        self.number = {piece: i for piece, (_, i) in self.ids.items()}
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in n if p.is_byte(i)}
         self.unknown = p.unk_id()
         self.penalty = min(scores.values()) - 10
         self.longest = max(map(len, self.ids))
-        self.starts = {piece[:k] for piece in self.ids for k in range(1, len(piece) + 1)}
+        #: Every start of a piece, with the score of those that are pieces themselves.
+        self.starts: dict[str, float | None] = {piece[:k]: None for piece in self.ids for k in range(1, len(piece))}
+        self.starts |= {piece: score for piece, (score, _) in self.ids.items()}
         self.pairs = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         self.words = not any(a != SPACE and b == SPACE for a, b in (x for x in self.pairs))
         self.text_of = {i: piece.replace(SPACE, " ").encode() for piece, (_, i) in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
 
 class Encoder(Remembered):
-    """Packed ids of texts; those of short cuts are remembered."""
+    """Packed ids of texts; those of stretches that no piece leaves are remembered."""
 
     def __init__(self, model: Model):
-        super().__init__()
+        super().__init__(300_000)
         self.model = model
 
-    def stream(self, chars, own_space=frozenset()):
-        """Ids of an iterable of characters, given out as soon as they are final.
+    def stream(self, chars, own: str | None = None):
+        """Lists of ids of an iterable of strings, given out as soon as they are final.
 
-        ``own_space``: places of a U+2581 that belongs to the text.
+        ``own``: the character that stands for a U+2581 of the text.
         """
-        m = self.model
-        window = m.longest
+        start, window, penalty, none, missing = self.model.starts.get, self.model.longest, self.model.penalty, NONE, MISSING
         text, score, back = "", [0.0], [0]  # since the last commit; scores and back-pointers by place
-        base = 0  # places committed before text[0]
-        for c in chars:
-            text += c
-            i = len(text)
-            best, origin = -np.inf, i - 1
-            if not (c == SPACE and base + i - 1 in own_space):
-                for j in range(max(0, i - window), i):
-                    hit = m.ids.get(text[j:i])
-                    if hit and score[j] + hit[0] > best and not any(base + k in own_space for k in range(j, i) if own_space):
-                        best, origin = score[j] + hit[0], j
-            if best == -np.inf:  # as bytes
-                best, origin = score[i - 1] + m.penalty, i - 1
-            score.append(best)
-            back.append(origin)
-            if i >= 2 * window and i % window == 0:
-                alive = set(range(i - window + 1, i + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.remove(last)
-                    alive.add(back[last])
-                cut = alive.pop()
-                if cut > 0:
-                    yield from self.ids_of(text, back, cut, base, own_space)
-                    text, score, back, base = text[cut:], score[cut:], [max(0, b - cut) for b in back[cut:]], base + cut
-        yield from self.ids_of(text, back, len(text), base, own_space)
-
-    def ids_of(self, text, back, end, base, own_space):
+        j = reach = checked = 0  # the place that pieces start from, and how far pieces before it reach
+        parts, ended = iter(chars), False
+        while not ended:
+            part = next(parts, None)
+            if part is None:
+                ended, stop = True, len(text)
+            else:
+                text += part
+                score += [none] * len(part)
+                back += [0] * len(part)
+                stop = len(text) - window
+            n = len(text)
+            while j < stop:
+                here, k = score[j], j + 1
+                while k <= n and (gain := start(text[j:k], missing)) is not missing:  # else no piece starts like this
+                    if gain is not None:
+                        gain += here
+                        if gain > score[k]:
+                            score[k], back[k] = gain, j
+                        if k > reach:
+                            reach = k
+                    k += 1
+                j += 1
+                if score[j] == none:  # as bytes
+                    score[j], back[j] = here + penalty, j - 1
+                if reach <= j:
+                    cut = j
+                elif j - checked < window:
+                    continue
+                else:
+                    cut, checked = self.meeting(score, back, j, reach), j
+                if cut:
+                    yield self.ids_of(text, back, cut, own)
+                    if cut == n:
+                        text, score, back, j, reach, checked, stop, n = "", score[n:], [0], 0, 0, 0, 0, 0
+                    else:
+                        text, score, back = text[cut:], score[cut:], [b - cut if b > cut else 0 for b in back[cut:]]
+                        j, reach, checked, stop, n = j - cut, reach - cut, max(0, checked - cut), stop - cut, n - cut
+
+    @staticmethod
+    def meeting(score, back, j: int, reach: int) -> int:
+        """The last boundary that the paths to all places from ``j`` to ``reach`` share; 0 for none but the start."""
+        alive = {i for i in range(j, reach + 1) if score[i] != NONE}
+        while len(alive) > 1:
+            last = max(alive)
+            alive.remove(last)
+            alive.add(back[last])
+        return min(alive.pop(), j)
+
+    def ids_of(self, text, back, end, own) -> list[int]:
         """The ids of the best path to ``end``."""
-        bounds = [end]
-        while bounds[-1] > 0:
-            bounds.append(back[bounds[-1]])
-        m = self.model
-        for a, b in zip(bounds[:0:-1], bounds[-2::-1], strict=True):
-            piece = text[a:b]
-            if piece in m.ids and not (own_space and any(base + k in own_space for k in range(a, b))):
-                yield m.ids[piece][1]
+        m, out = self.model, []
+        while end > 0:
+            piece, end = text[back[end] : end], back[end]
+            number = m.number.get(piece)
+            if number is not None:
+                out.append(number)
             elif m.bytes:
-                yield from (m.bytes[x] for x in piece.encode("utf-8", "replace"))
+                out += [m.bytes[x] for x in reversed((SPACE if piece == own else piece).encode("utf-8", "replace"))]
             else:
-                yield m.unknown
-
-    def compute(self, cut: str) -> bytes:
-        """The same search for a cut that is whole: forward, as far as a prefix of a piece goes."""
-        if len(cut) > SHORT:
-            return np.fromiter(self.stream(cut), np.uint32).tobytes()
-        m, n = self.model, len(cut)
-        ids, starts, score, back = m.ids, m.starts, [0.0] + [-np.inf] * n, [0] * (n + 1)
-        for j in range(n):
-            if score[j] == -np.inf:
-                score[j], back[j] = score[j - 1] + m.penalty, j - 1
-            here = score[j]
-            for k in range(j + 1, n + 1):
-                piece = cut[j:k]
-                if piece not in starts:
-                    break
-                hit = ids.get(piece)
-                if hit and here + hit[0] > score[k]:
-                    score[k], back[k] = here + hit[0], j
-        if score[n] == -np.inf:
-            back[n] = n - 1
-        return np.fromiter(self.ids_of(cut, back, n, 0, ()), np.uint32).tobytes()
+                out.append(m.unknown)
+        out.reverse()
+        return out
+
+    def searched(self, stretch: str, own: str | None = None) -> bytes:
+        parts = (stretch,) if len(stretch) <= FEED else (stretch[i : i + FEED] for i in range(0, len(stretch), FEED))
+        return b"".join([array("I", ids).tobytes() for ids in self.stream(parts, own)])
+
+    def compute(self, stretch: str) -> bytes:
+        return self.searched(stretch)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
-        if SPACE in text or not self.model.words:
-            places = frozenset(i + 1 for i, c in enumerate(text) if c == SPACE)
-            return np.fromiter(self.stream(SPACE + text.replace(" ", SPACE), places), np.uint32).tobytes()
-        cuts = WORDS.findall(SPACE + text.replace(" ", SPACE))
-        return b"".join([self[c] if len(c) <= SHORT else self.long(c) for c in cuts])
-
-    def long(self, cut: str) -> bytes:
-        """A long cut, cut further where no piece spans two characters."""
-        out, start, pairs = [], 0, self.model.pairs
-        for i in range(1, len(cut)):
-            if cut[i - 1 : i + 1] not in pairs:
-                out.append(cut[start:i])
-                start = i
-        out.append(cut[start:])
-        return b"".join([self[c] if len(c) <= SHORT else self.compute(c) for c in out])
+        if SPACE in text:
+            own = next(chr(c) for some in STAND_INS for c in some if chr(c) not in text)
+            return self.searched(SPACE + text.replace(SPACE, own).replace(" ", SPACE), own)
+        whole = SPACE + text.replace(" ", SPACE)
+        return b"".join(map(self.__getitem__, WORDS.findall(whole))) if self.model.words else self.searched(whole)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.model.text_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """The worker's encoder and what it remembers, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(Model(path))
-    return _ENCODERS[path]
+def encoder_of(model: str | bytes) -> Encoder:
+    """An encoder from a model file: its path, or its bytes for executors that need not see the file."""
+    if isinstance(model, str):
+        return Encoder(Model(model))
+    with tempfile.NamedTemporaryFile(suffix=".model") as f:  # read at once, then gone
+        f.write(model)
+        f.flush()
+        return Encoder(Model(f.name))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -180,25 +191,28 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c.lower() not in names]
     schema = extended(docs, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("exact", T.BooleanType()))
 
+    shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
+
     def run(batches):
-        encoder = encoder_of(model)
+        encoder = encoder_of(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                ids, crc, exact = [], [], []
+                packed, crc, exact = [], [], []
                 for value in batch.column(0):
                     value = value.as_py() or ""
-                    packed = encoder.encode(value)
-                    ids.append(np.frombuffer(packed, np.int32))
-                    crc.append(zlib.crc32(packed))
-                    exact.append(encoder.decode(ids[-1].tolist()) == value)
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())], [*keep, *names])
+                    packed.append(encoder.encode(value))
+                    crc.append(zlib.crc32(packed[-1]))
+                    exact.append(encoder.decode(np.frombuffer(packed[-1], np.int32).tolist()) == value)
+                sizes = np.array([len(x) // 4 for x in packed], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, pa.array(sizes), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())], [*keep, *names])
 
-    return docs.select(F.col(text).cast("string").alias("_encoded_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text).cast("string").alias("_encoded_text"), *keep).mapInArrow(lean(run), schema)
 
 
 def op7_pieces(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, exact of every document."""
+    """doc_id, n_tokens, ids_crc32, exact of every document; a merge model's ids are those of the best cut under Zipf scores."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
