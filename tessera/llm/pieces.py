@@ -41,7 +41,7 @@ from .common import Remembered, extended, lean
 SPACE = "▁"
 #: At a space that follows another character, as far as no piece spans such a place.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MISSING, NONE = object(), float("-inf")
+NONE = float("-inf")
 #: Characters of a text that the search is given at once.
 FEED = 256
 #: Stands for a U+2581 of the text, which is no space: the first of these that the text lacks (no piece has them).
@@ -68,9 +68,14 @@ class Model:
         self.unknown = p.unk_id()
         self.penalty = min(scores.values()) - 10
         self.longest = max(map(len, self.ids))
-        #: Every start of a piece, with the score of those that are pieces themselves.
-        self.starts: dict[str, float | None] = {piece[:k]: None for piece in self.ids for k in range(1, len(piece))}
-        self.starts |= {piece: score for piece, (score, _) in self.ids.items()}
+        #: The pieces as a tree: by character, what may follow, and the score if a piece ends here.
+        self.tree: dict[str, list] = {}
+        for piece, (score, _) in self.ids.items():
+            entry, below = None, self.tree
+            for c in piece:
+                entry = below.setdefault(c, [{}, None])
+                below = entry[0]
+            entry[1] = score
         self.pairs = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         self.words = not any(a != SPACE and b == SPACE for a, b in (x for x in self.pairs))
         self.text_of = {i: piece.replace(SPACE, " ").encode() for piece, (_, i) in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
@@ -88,7 +93,7 @@ class Encoder(Remembered):
 
         ``own``: the character that stands for a U+2581 of the text.
         """
-        start, window, penalty, none, missing = self.model.starts.get, self.model.longest, self.model.penalty, NONE, MISSING
+        tree, window, penalty, none = self.model.tree, self.model.longest, self.model.penalty, NONE
         text, score, back = "", [0.0], [0]  # since the last commit; scores and back-pointers by place
         j = reach = checked = 0  # the place that pieces start from, and how far pieces before it reach
         parts, ended = iter(chars), False
@@ -103,15 +108,16 @@ class Encoder(Remembered):
                 stop = len(text) - window
             n = len(text)
             while j < stop:
-                here, k = score[j], j + 1
-                while k <= n and (gain := start(text[j:k], missing)) is not missing:  # else no piece starts like this
+                here, k, below = score[j], j, tree
+                while k < n and (entry := below.get(text[k])):  # else no piece starts like this
+                    below, gain = entry
+                    k += 1
                     if gain is not None:
                         gain += here
                         if gain > score[k]:
                             score[k], back[k] = gain, j
                         if k > reach:
                             reach = k
-                    k += 1
                 j += 1
                 if score[j] == none:  # as bytes
                     score[j], back[j] = here + penalty, j - 1
