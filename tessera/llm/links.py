@@ -4,8 +4,8 @@ Used where candidates share bucket keys (LSH bands, SimHash blocks) and a
 verifier decides on pairs. A bucket whose members already lie in one component
 needs no further comparison, so a bucket is first compared with one hub (a
 star, linear in its size), then members of *different* components with a hub of
-the bucket's own. What still spans components is compared pair by pair in small
-buckets and in blocks of bounded size in large ones (see ``block_pairs``). No
+the bucket's own. What still spans components is compared in blocks of bounded
+size (see ``block_pairs``), many pairs at a time and without a row for each. No
 comparison that could join two components is left out.
 
 Keys are dealt to tasks in packed form (see ``Dealer``), 13 bytes a key, as most
@@ -26,8 +26,8 @@ from .common import kept, lean, materialize, scope
 
 #: Members of a block, and the bytes of what they are compared by.
 MEMBERS, BYTES = 256, 8 << 20
-#: Buckets of up to so many ids are compared pair by pair.
-DIRECT = 8
+#: Rows of blocks that are compared at once.
+ROWS = 20_000
 #: Entries that a task packs at once.
 PACKED = 1 << 20
 
@@ -230,7 +230,7 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
     Round 0 compares each bucket with its least id; later rounds compare members
     of buckets that still span several components with a hub of the bucket's
     own, so a group whose members are near some of each other meets many hubs;
-    the last steps compare what is left across components.
+    the last step compares what is left across components.
     """
     spark = keys.sparkSession
     with scope(spark):
@@ -256,65 +256,92 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
             if not won.isEmpty():
                 comp = joined(comp, won)
         # Buckets of up to ``rounds`` + 1 ids have met all their hubs: nothing is left of them.
-        spans = labelled().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {rounds + 1}").select("key", "least", "n")
+        spans = labelled().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {rounds + 1}").select("key", "n")
         left = materialize(labelled().join(spans, "key"), "open")
-        large = left.where(F.col("n") > DIRECT)
-        few, blocks = left.where(F.col("n") <= DIRECT), None
-        if not large.isEmpty():
-            more, blocks = block_pairs(large, weights)
-            few = few.unionByName(more)
-        other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-        pairs = few.join(other, "key").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        found = verify(across(pairs, tested))
-        won = materialize(found if blocks is None else found.select("a", "b").union(within(blocks).select("a", "b")), "links")
-        return joined(comp, won) if not won.isEmpty() else kept(comp, "linked")
-
-
-def block_pairs(left: DataFrame, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``left`` that are better compared pair by pair, and members dealt to pairs of blocks: (pair, side, id, comp).
-
-    ``left(key, id, comp, least, n)``: buckets that span components. Buckets that
-    share members make up a cluster, whose members are dealt to blocks of some
-    ``MEMBERS`` ids and ``BYTES`` bytes; every two blocks of a cluster meet in one
-    ``pair``, and so do any two ids that share a bucket. ``side`` tells the blocks
-    apart (0 and 1; a block that meets itself is side 2). A cluster of n ids makes
-    n * n / MEMBERS rows, and no task holds more than two blocks at once. Clusters
-    whose buckets have fewer pairs than that are left to them.
+        if not left.isEmpty():
+            won = materialize(within(block_pairs(left, weights)), "links")
+            if not won.isEmpty():
+                comp = joined(comp, won)
+        return kept(comp, "linked")
+
+
+def block_pairs(left: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Members of buckets dealt to pairs of blocks: (pair, side, id, comp).
+
+    ``left(key, id, comp, n)``. The ids of a bucket are dealt to blocks of some
+    ``MEMBERS`` ids and ``BYTES`` bytes; every two blocks of a bucket meet in one
+    ``pair``. ``side`` tells the blocks apart (0 and 1; a block that meets itself
+    is side 2). A bucket of n ids makes n rows, or n * n / MEMBERS if it is large,
+    and no task holds more than two blocks at once.
     """
-    named = components(left.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-    members = left.groupBy("id").agg(F.min("comp").alias("comp")).join(named.withColumnRenamed("comp", "cluster"), "id")
-    members = members.withColumn("weight", F.lit(0)) if weights is None else members.join(weights.groupBy("id").agg(F.sum("weight").alias("weight")), "id")
-    members = materialize(members.select("id", "comp", "cluster", "weight"), "members")
-    direct = left.where("id = least").select("id", "n").join(named.withColumnRenamed("comp", "cluster"), "id").groupBy("cluster").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("ids"), F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("weight") / BYTES)).cast("int").alias("blocks"))
-    sizes = materialize(sizes.join(direct, "cluster"), "clusters")
-    dense = F.col("ids") * F.col("blocks") < F.col("pairs")
-    more = left.join(members.join(sizes.where(~dense), "cluster").select("id"), "id", "left_semi")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    each = members.join(sizes.where(dense).select("cluster", "blocks"), "cluster").withColumn("block", block)
-    each = each.select("id", "comp", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = F.ceil(F.col("n") / MEMBERS)
+    if weights is not None:
+        heavy = left.join(weights, "id").groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") > BYTES)
+        left = left.join(heavy, "key", "left")
+        blocks = F.greatest(blocks, F.ceil(F.coalesce("weight", F.lit(0)) / BYTES))
+    each = left.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = each.select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low == high, 2).when(F.col("block") == low, 0).otherwise(1)
-    return more, each.select(F.xxhash64("cluster", low, high).alias("pair"), side.alias("side"), "id", "comp")
+    return each.select(F.xxhash64("key", low, high).alias("pair"), side.alias("side"), "id", "comp")
+
+
+def whole_groups(batches):
+    """Tables of some ``ROWS`` rows that hold all rows of each value of their first column; rows come sorted by it."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column(0).to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
+            if last:
+                yield table.slice(0, last)
+            held = table.slice(last).to_batches()
+            n = table.num_rows - last
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def pairs_of(groups: np.ndarray):
+    """(left, right) row numbers of all pairs within groups (the first row of each, and the end), a bounded number at once."""
+    first, size = groups[:-1], np.diff(groups)
+    for m in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        own = first[size == m]
+        step = max(1, 200_000 // len(i))
+        for at in range(0, len(own), step):
+            yield (own[at : at + step, None] + i).ravel(), (own[at : at + step, None] + j).ravel()
 
 
 def compared(members: DataFrame, payload: DataFrame, links: Callable, out: str = "a long, b long") -> DataFrame:
     """The links (a, b) that ``links`` finds in pairs of blocks.
 
     ``members``: as ``block_pairs`` gives them, ``payload(id, payload)`` what ids are
-    compared by. ``links`` takes the ids, a matrix that is true where two of them are to be
-    compared, and the payloads; it gives rows of two places.
+    compared by. ``links`` takes the payloads of some rows and a generator of the
+    pairs (left, right) of row numbers to be compared; it gives those that are
+    links, as two arrays at a time.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.join(payload, "id").select("pair", "side", "id", "comp", "payload").repartition(n, "pair").sortWithinPartitions("pair")
 
     def run(batches):
-        for _, rows in gathered(batches):
-            side, ids, comp, data = zip(*rows, strict=True)
-            side, ids, comp = np.array(side), np.array(ids, np.int64), np.array(comp, np.int64)
-            wanted = (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
-            found = links(wanted, data) if wanted.any() else []
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"])
+        for table in whole_groups(batches):
+            pair, side, ids, comp = (table.column(c).to_numpy() for c in ("pair", "side", "id", "comp"))
+            groups = np.concatenate([np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), [len(pair)]])
+
+            def wanted(groups=groups, side=side, ids=ids, comp=comp):
+                for a, b in pairs_of(groups):
+                    own = (comp[a] != comp[b]) & (ids[a] != ids[b]) & ((side[a] != side[b]) | (side[a] == 2))
+                    if own.any():
+                        yield a[own], b[own]
+
+            for a, b in links(table.column("payload"), wanted()):
+                if len(a):
+                    low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+                    both = np.unique(np.stack([low, high], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return dealt.mapInArrow(lean(run), out).distinct()

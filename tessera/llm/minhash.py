@@ -161,38 +161,64 @@ def verified(sets: DataFrame):
     return verify
 
 
-def links_of(wanted: np.ndarray, data) -> np.ndarray:
-    """The wanted pairs whose sets are similar enough, all counted at once: sets as rows of a matrix of shingles."""
-    sets = [np.frombuffer(x, np.uint64) for x in data]
-    size = np.array([len(s) for s in sets])
-    wanted = wanted & (100 * np.minimum.outer(size, size) >= LIMIT * np.maximum.outer(size, size))
-    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
-    if not len(rows):
-        return np.zeros((0, 2), np.int64)
-    used = np.union1d(rows, columns)
-    owner = np.repeat(used, size[used])
-    value = np.concatenate([sets[i] for i in used])
+def links_of(payloads, wanted):
+    """The wanted pairs whose sets are similar enough. Many pairs of the same rows are counted at once: sets as rows of a matrix of shingles."""
+    sets = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(payloads[i].as_buffer(), np.uint64)
+        return sets[i]
+
+    for a, b in wanted:
+        size = {i: len(of(i)) for i in np.union1d(a, b).tolist()}
+        na, nb = (np.fromiter(map(size.__getitem__, x.tolist()), np.int64, len(x)) for x in (a, b))
+        near = 100 * np.minimum(na, nb) >= LIMIT * np.maximum(na, nb)
+        a, b, na, nb = a[near], b[near], na[near], nb[near]
+        if not len(a):
+            continue
+        both = np.zeros(len(a), np.int64)
+        # Pairs that lie together are of one group; a group is at most two blocks.
+        cuts = np.flatnonzero(np.concatenate([[True], np.maximum.accumulate(b)[:-1] < a[1:]]))
+        for low, high in zip(cuts, [*cuts[1:], len(a)], strict=True):
+            own = slice(low, high)
+            if high - low < 64:
+                both[own] = [len(np.intersect1d(of(i), of(j), assume_unique=True)) for i, j in zip(a[own].tolist(), b[own].tolist(), strict=True)]
+            else:
+                both[own] = common_counts(of, a[own], b[own])
+        won = 100 * both >= LIMIT * (na + nb - both)
+        yield a[won], b[won]
+
+
+def common_counts(of, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the pairs (a, b) of sets share."""
+    used = np.union1d(a, b)
+    owner = np.repeat(np.arange(len(used)), [len(of(i)) for i in used.tolist()])
+    value = np.concatenate([of(i) for i in used.tolist()])
     order = np.argsort(value, kind="stable")
     owner, value = owner[order], value[order]
     same = value[1:] == value[:-1]
     held = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     owner, value = owner[held], value[held]
-    number = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1 if len(value) else np.zeros(0, np.int64)
-    place = np.full(len(sets), -1)
-    place[rows] = np.arange(len(rows))
-    other = np.full(len(sets), -1)
-    other[columns] = np.arange(len(columns))
+    left, right = np.searchsorted(used, a), np.searchsorted(used, b)
+    if not len(value):
+        return np.zeros(len(a), np.int64)
+    number = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
+    rows, columns = np.unique(left), np.unique(right)
+    place = [np.full(len(used), -1), np.full(len(used), -1)]
+    place[0][rows], place[1][columns] = np.arange(len(rows)), np.arange(len(columns))
     both = np.zeros((len(rows), len(columns)), np.float32)
     step = 4096  # shingles at once
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, step):
-        a, b = np.searchsorted(number, [low, low + step])
-        left, right = (np.zeros((len(x), step), np.float32) for x in (rows, columns))
-        for matrix, at in ((left, place[owner[a:b]]), (right, other[owner[a:b]])):
-            matrix[at[at >= 0], (number[a:b] - low)[at >= 0]] = 1
-        both += left @ right.T
-    union = size[rows][:, None] + size[columns][None, :] - both
-    i, j = np.nonzero(wanted[np.ix_(rows, columns)] & (100 * both >= LIMIT * union))
-    return np.stack([rows[i], columns[j]], 1)
+    for low in range(0, int(number[-1]) + 1, step):
+        x, y = np.searchsorted(number, [low, low + step])
+        held = []
+        for n, where in ((len(rows), place[0]), (len(columns), place[1])):
+            matrix = np.zeros((n, step), np.float32)
+            at = where[owner[x:y]]
+            matrix[at[at >= 0], (number[x:y] - low)[at >= 0]] = 1
+            held.append(matrix)
+        both += held[0] @ held[1].T
+    return both[place[0][left], place[1][right]].astype(np.int64)
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:

@@ -37,42 +37,42 @@ def numbers_within(near):
     def within(members):
         payload = members.select("id").distinct().selectExpr("id", "cast(cast(id as string) as binary) as payload")
 
-        def found(wanted, data):
-            ids = np.array([int(x) for x in data])
-            return np.argwhere(wanted & near(ids[:, None], ids[None, :]))
+        def found(payloads, wanted):
+            ids = np.array([int(x) for x in payloads.to_pylist()])
+            for a, b in wanted:
+                own = near(ids[a], ids[b])
+                yield a[own], b[own]
 
         return links.compared(members, payload, found)
 
     return within
 
 
-@pytest.mark.parametrize("direct", [8, 2])
-def test_linked_groups_lose_no_link(spark, monkeypatch, direct):
+@pytest.mark.parametrize("members", [256, 7])
+def test_linked_groups_lose_no_link(spark, monkeypatch, members):
     """Chains in one bucket: the hubs are near few, and every link must still be found."""
-    monkeypatch.setattr(links, "DIRECT", direct)
-    monkeypatch.setattr(links, "MEMBERS", 7)
+    monkeypatch.setattr(links, "MEMBERS", members)
+    monkeypatch.setattr(links, "ROWS", 50)
     keys = [(i, 1) for i in range(40)] + [(i, 2) for i in range(30, 60)] + [(200 + i, 3) for i in range(6)] + [(99, 4), (100, 4), (98, 5)]
     near = lambda a, b: np.isin(np.abs(a - b), (1, 13))
     frame = spark.createDataFrame(keys, "id long, key long")
     got = {x: y for x, y in links.linked_groups(frame, lambda p: p.where("abs(a - b) in (1, 13)"), numbers_within(near)).collect()}
     edges = [(a, b) for k in (1, 2, 3, 4) for a, b in itertools.combinations([i for i, key in keys if key == k], 2) if near(a, b)]
-    want = union_find({x for e in edges for x in e}, edges)
-    # Ids of one cluster are compared whether or not they share a bucket.
-    assert all(got[i] <= want[i] for i in want) and {i for i in got if i >= 90} == {99, 100, *range(200, 206)}
-    assert len({got[i] for i in range(60)}) == 1
+    assert got == union_find({x for e in edges for x in e}, edges)
 
 
 def test_dealt_keys_come_back(spark):
     r = np.random.default_rng(1)
     keys = {i: np.unique(r.integers(-(1 << 63), 1 << 63, 20)) for i in range(-50, 50)}
     for i in range(0, 40, 4):
-        keys[i] = np.append(keys[i], [keys[i + 1][0], keys[i + 2][1]])
+        keys[i] = np.append(keys[i], [keys[i + 1][0], keys[i + 1][3], keys[i + 2][1]])
     frame = spark.createDataFrame([(i, k.tolist()) for i, k in keys.items()], "id long, keys array<long>").repartition(3)
     got = links.shared_keys(links.deal(frame.union(frame))).collect()
     groups = {}
     for x in got:
         groups.setdefault(x["key"], set()).add(x["id"])
     assert len(got) == len({(x["id"], x["key"]) for x in got})
+    # Two keys that the same ids share are one.
     assert sorted(map(sorted, groups.values())) == sorted([i, j] for i in range(0, 40, 4) for j in (i + 1, i + 2))
     assert links.shared_keys(links.deal(frame.limit(0))).count() == 0
 
@@ -81,9 +81,12 @@ def test_many_sets_at_once():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: r.integers(1, 400)], r.integers(0, 1 << 63, r.integers(0, 60)).astype(np.uint64)])) for _ in range(80)]
-    wanted = np.triu(r.random((80, 80)) < 0.7, 1)
-    got = {tuple(x) for x in minhash.links_of(wanted, [s.tobytes() for s in sets]).tolist()}
-    want = {(i, j) for i, j in itertools.combinations(range(80), 2) if wanted[i, j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    groups = np.array([0, 50, 53, 54, 80])
+    pairs = [(i, j) for low, high in itertools.pairwise(groups.tolist()) for i, j in itertools.combinations(range(low, high), 2)]
+    assert sorted(p for a, b in links.pairs_of(groups) for p in zip(a.tolist(), b.tolist(), strict=True)) == pairs
+    chosen = lambda: ((a[x], b[x]) for a, b in links.pairs_of(groups) for x in [(a + b) % 3 > 0])
+    got = {p for a, b in minhash.links_of(minhash.pa.array([s.tobytes() for s in sets], minhash.pa.binary()), chosen()) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i, j in pairs if (i + j) % 3 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert got == want and len(want) > 50
 
 
@@ -169,9 +172,9 @@ def distance(a, b):
     return p[-1]
 
 
-def test_similar_lines():
+def test_similar_lines(monkeypatch):
     r = random.Random(1)
-    pairs = [("", ""), ("", "a"), ("a" * 30, "a" * 27), ("a" * 30, "a" * 26), ("x" * 700, "x" * 350 + "y" + "x" * 349)]
+    pairs = [("", ""), ("", "a"), ("a" * 30, "a" * 27), ("a" * 30, "a" * 26), ("x" * 700, "x" * 350 + "y" + "x" * 349), ("q" * 5000, "q" * 4500)]
     for _ in range(1500):
         a = "".join(r.choice("abc é") for _ in range(r.randrange(150)))
         b = list(a)
@@ -179,18 +182,19 @@ def test_similar_lines():
             k = r.randrange(len(b) + 1)
             b[k : k + r.randrange(2)] = r.choice(["", "a", "d"])
         pairs.append((a, "".join(b)[r.randrange(3) :]))
-    held = {}
-    got = [lines.alike(a, b, held) for a, b in pairs]
-    assert got == [10 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
-    assert 300 < sum(got) < 1200
+    want = [10 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
+    for cells in (lines.CELLS, 500):
+        monkeypatch.setattr(lines, "CELLS", cells)
+        assert lines.alike(*map(list, zip(*pairs, strict=True))).tolist() == want
+    assert 300 < sum(want) < 1200 and not len(lines.alike([], []))
 
 
 def test_edits_are_counted_up_to_a_bound():
     r = random.Random(2)
-    for _ in range(400):
-        a, b = ("".join(r.choice("ab") for _ in range(r.randrange(30))) for _ in range(2))
-        for most in (0, 1, 3, 8, 40):
-            assert lines.within_edits(lines.codes_of(a), lines.codes_of(b), most) == (distance(a, b) <= most), (a, b, most)
+    a, b = (["".join(r.choice("ab") for _ in range(r.randrange(30))) for _ in range(600)] for _ in range(2))
+    x, y = lines.Texts(a, 0xFFFFFFFF), lines.Texts(b, 0xFFFFFFFE)
+    most = np.array([r.choice([0, 1, 3, 8, 40]) for _ in a])
+    assert lines.within_edits(x, y, np.arange(600), most).tolist() == [distance(*ab) <= k for *ab, k in zip(a, b, most, strict=True)]
 
 
 def normal(line):
