@@ -170,7 +170,7 @@ class Remembered(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
-        if len(key) > self.LONG:
+        if key.__class__ in (str, bytes) and len(key) > self.LONG:
             return self.compute(key)
         value = self.old.get(key)
         return self.put(key, self.compute(key) if value is None else value)
@@ -220,7 +220,45 @@ class Bloom:
                 part = at[low : low + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own[part].view(np.int64))], ["at", "word"])
 
-        got = ids.mapInArrow(words, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+        got = ids.mapInArrow(lean(words), "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
         out = np.zeros(cls.BITS // 64, np.uint64)
         out[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
         return cls(out)
+
+
+#: Bits of a table of marks, 64 to a row.
+MARKED = 1 << 24
+
+
+def marks(wanted: DataFrame) -> DataFrame:
+    """A filter of the values of a one-column frame as a table (at, word) of at most ``MARKED`` / 64 rows, so it may be broadcast.
+
+    It never misses a value. Beyond some ten million values it lets more and
+    more others through, which costs time but changes nothing.
+    """
+    bit = F.pmod(F.xxhash64(*wanted.columns), F.lit(MARKED))
+    words = wanted.select(F.floor(bit / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("word"))
+    return words.groupBy("at").agg(F.bit_or("word").alias("word"))
+
+
+def apart(df: DataFrame, wanted: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key may be among the values of the one-column frame ``wanted``, and those whose key is not.
+
+    Both are read from ``df`` anew, and neither is shuffled. Types must be equal.
+    """
+    words = materialize(marks(wanted), "marks")
+    at, word, bit = (fresh(df, n) for n in ("_at", "_word", "_bit"))
+    there = F.broadcast(words.select(F.col("at").alias(at), F.col("word").alias(word)))
+    split = df.withColumn(bit, F.pmod(F.xxhash64(key), F.lit(MARKED)))
+    split = split.join(there, F.floor(split[bit] / 64).cast("int") == there[at], "left")
+    hit = F.coalesce(F.getbit(F.col(word), F.pmod(F.col(bit), F.lit(64)).cast("int")) == 1, F.lit(False))
+    return split.where(hit).select(*df.columns), split.where(~hit).select(*df.columns)
+
+
+def without(df: DataFrame, ids: DataFrame, key) -> DataFrame:
+    """``df`` without the rows whose key is among ``ids`` (one column); only rows that may be are shuffled."""
+    ids = materialize(ids.distinct(), "ids")
+    name = fresh(df, "_gone")
+    maybe, others = apart(df, ids, key)
+    gone = ids.toDF(name)
+    return maybe.join(gone, key.eqNullSafe(F.col(name)), "left_anti").select(*df.columns).unionByName(others)

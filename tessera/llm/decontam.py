@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Remembered, materialize
+from .common import Remembered, kept, lean, materialize, scope
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW, SEGMENT, GAP, BLOCK = 13, 1_500_000, 256, 4 << 20
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, text: str = "text", segment_words: int = SEGMEN
     def row(values):
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, SEGMENT_KINDS, strict=True)], SEGMENTS.names)
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(build, SEGMENTS), "positional-index")
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(lean(build), SEGMENTS), "positional-index")
 
 
 class Segment:
@@ -219,7 +219,7 @@ def document_hits(index: DataFrame, items: list, size: int = WINDOW) -> DataFram
                 [pa.array([segment.name] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array([segment.ids[i] for i in own], pa.int64()), pa.array(segment.lengths[own.start : own.stop], pa.int64()),
                  pa.array([runs.get(i, b"") for i in own], pa.binary()), pa.array([sorted(windows.names[k] for k in met.get(i, ())) for i in own], pa.list_(pa.string()))], HITS.names)
 
-    return index.mapInArrow(search, HITS)
+    return index.mapInArrow(lean(search), HITS)
 
 
 def merged(runs: list[bytes]) -> np.ndarray:
@@ -242,8 +242,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, te
     A document is contaminated if it has hit words and they make up at least
     ``share`` of its words.
     """
+    with scope(docs.sparkSession):
+        return kept(judged(build_index(docs, text), benchmark, share, size, block_bytes), "contamination")
+
+
+def judged(index: DataFrame, benchmark: DataFrame, share: float, size: int, block_bytes: int) -> DataFrame:
     per_hundred_thousand = round(share * 100_000)
-    index = build_index(docs, text)
     found = [document_hits(index, items, size) for items in blocks(benchmark, block_bytes=block_bytes)] or [document_hits(index, [], size)]
     if len(found) == 1:
         hits = found[0].select("doc_id", "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
@@ -264,7 +268,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, te
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), JUDGED, strict=True)], [c.split()[0] for c in CONTAMINATION.split(", ")])
 
-    return hits.mapInArrow(judge, CONTAMINATION)
+    return hits.mapInArrow(lean(judge), CONTAMINATION)
 
 
 JUDGED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
@@ -277,12 +281,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, text: str = "t
     off its place relative to the first, and matches that are no exact phrase
     are of kind "proximity"; ``start`` is where the phrase would begin.
     """
-    index = build_index(docs, text)
-    found = [search_block(index, items, slop, size) for items in blocks(benchmark)] or [search_block(index, [], slop, size)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return every
+    with scope(docs.sparkSession):
+        index = build_index(docs, text)
+        found = [search_block(index, items, slop, size) for items in blocks(benchmark)] or [search_block(index, [], slop, size)]
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        return kept(every, "matches")
 
 
 def search_block(index: DataFrame, items: list, slop: int, size: int) -> DataFrame:
@@ -303,7 +308,7 @@ def search_block(index: DataFrame, items: list, slop: int, size: int) -> DataFra
                     for i in windows.items[w]:
                         yield pa.RecordBatch.from_arrays([pa.array([segment.ids[d] for d in doc], pa.int64()), pa.array([windows.names[i]] * len(doc)), pa.array(["phrase" if p else "proximity" for p in phrase]), pa.array(starts - segment.bases[doc], pa.int64()), pa.array(np.full(len(doc), len(windows.windows[w])), pa.int64())], names)
 
-    return index.mapInArrow(search, "doc_id long, item_id string, kind string, start long, length long")
+    return index.mapInArrow(lean(search), "doc_id long, item_id string, kind string, start long, length long")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

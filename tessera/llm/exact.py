@@ -24,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import apart, kept, materialize, scope, scratch
 
 #: A key is hot from this share of all rows on; so at most 1/HOT keys are.
 HOT = 1 / 500
-SALTS = 64
+#: Rows that one copy of a text is compared with.
+SHARE = 2000
 
 
 def sha256(text: Column) -> Column:
@@ -99,6 +100,11 @@ def deduplicate(spark: SparkSession, path: str, batches: int = 3, digest=sha256)
 
     The files present are taken in about ``batches`` micro-batches.
     """
+    with scope(spark):
+        return kept(deduplicated(spark, path, batches, digest), "exact")
+
+
+def deduplicated(spark: SparkSession, path: str, batches: int, digest) -> DataFrame:
     where, found = scratch(spark, "exact"), spark.read.parquet(path)
     schema, files = found.schema, len(found.inputFiles())
     locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -117,10 +123,11 @@ def deduplicate(spark: SparkSession, path: str, batches: int = 3, digest=sha256)
     total = rows.count()
     placed = joined_by_digest(rows, state.drop("locator"), total)
 
-    # Full bytes of every hit against those at the locator of the row that stays.
-    # Hot groups are spread over SALTS copies of the text they are compared with.
-    repeated = state.where("group_size > 1").withColumn("salts", F.when(F.col("group_size") >= 1000, SALTS).otherwise(1)).withColumnRenamed("locator", "at").drop("keep_id")
-    texts = docs.select("locator", "text", digest(F.col("text")).alias("digest"))
+    # Full bytes of every hit against those at the locator of the row that stays. Texts
+    # whose digest is met once are left out where they are read; groups are spread over
+    # copies of the text they are compared with, one for every SHARE rows.
+    repeated = state.where("group_size > 1").withColumn("salts", F.ceil(F.col("group_size") / SHARE).cast("int")).withColumnRenamed("locator", "at").drop("keep_id")
+    texts, _ = apart(docs.select("locator", "text", digest(F.col("text")).alias("digest")), repeated.select("digest"), F.col("digest"))
     hits = materialize(joined_by_digest(texts, repeated, total), "exact-hits")
     stays = hits.where(F.col("locator") == F.col("at")).select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     compared = hits.where(F.col("locator") != F.col("at")).withColumn("salt", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int")).join(stays, ["digest", "salt"])

@@ -26,8 +26,8 @@ from .common import kept, lean, materialize, scope
 
 #: Members of a block, and the bytes of what they are compared by.
 MEMBERS, BYTES = 256, 8 << 20
-#: Rows of blocks that are compared at once.
-ROWS = 20_000
+#: Rows and bytes of blocks that are compared at once.
+ROWS, HELD = 20_000, 8 << 20
 #: Entries that a task packs at once.
 PACKED = 1 << 20
 
@@ -288,19 +288,19 @@ def block_pairs(left: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
 def whole_groups(batches):
     """Tables of some ``ROWS`` rows that hold all rows of each value of their first column; rows come sorted by it."""
-    held, n = [], 0
+    held, n, size = [], 0, 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            n += batch.num_rows
-        if n >= ROWS:
+            n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= ROWS or size >= HELD:
             table = pa.Table.from_batches(held).combine_chunks()
             key = table.column(0).to_numpy()
             last = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])
             if last:
                 yield table.slice(0, last)
-            held = table.slice(last).to_batches()
-            n = table.num_rows - last
+            table = table.slice(last)
+            held, n, size = table.to_batches(), table.num_rows, table.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Remembered, crc_mod, extended
+from .common import Remembered, crc_mod, extended, lean
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 4, 2
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
@@ -103,7 +103,7 @@ def corpus_vectors(docs: DataFrame, text: str = "text", buckets: int = BUCKETS,
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own]), *(pa.array(np.ascontiguousarray(total[own, i])) for i in range(dim))], ["bucket", "n", *columns])
 
     schema = ", ".join(f"{c} long" for c in ["bucket", "n", *columns])
-    sums = docs.select(F.col(text).cast("string")).mapInArrow(partial, schema).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ["n", *columns])).toArrow()
+    sums = docs.select(F.col(text).cast("string")).mapInArrow(lean(partial), schema).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ["n", *columns])).toArrow()
     vectors, counts = np.zeros((buckets, dim), np.float64), np.zeros(buckets, np.float64)
     at = sums.column("bucket").to_numpy()
     counts[at] = sums.column("n").to_numpy()
@@ -214,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=
             x = pooled(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([row.tobytes() for row in x], pa.binary())], ["y", "x"])
 
-    got = train.mapInArrow(features, "y int, x binary").toArrow()
+    got = train.mapInArrow(lean(features), "y int, x binary").toArrow()
     y = got.column("y").to_numpy()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), 2 * vectors.shape[1])
     order = np.lexsort((*x.T[:4], y))  # the same model, however the rows arrive
@@ -228,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=
             p = model.value.score(pooled(batch.column(0).to_pylist(), shared.value)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "held_out", "score", "predicted"])
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(lean(score), schema)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import literals, materialize
+from .common import apart, kept, literals, materialize, scope
 
 MOST = 16  # strings followed at once
 
@@ -120,7 +120,7 @@ def build_index(docs: DataFrame, rules, text: str = "text") -> DataFrame:
     """Postings (trigram, doc_id) of every trigram that a rule asks for."""
     asked = sorted({t for r in rules for c in trigram_query(r.pattern) for a in c for t in a})
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("low"))
-    met = F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked)), lambda t: t.isNotNull())
+    met = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked)))
     return materialize(low.select("doc_id", met.alias("met")).select(F.explode("met").alias("trigram"), "doc_id").distinct(), "trigrams")
 
 
@@ -163,21 +163,34 @@ def named(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules=BASE + MORE, text: str = "text") -> DataFrame:
-    """``docs``' doc_id and text, with ``found``: all spans by start, then by the order of the rules."""
+    """``docs``' doc_id and text, with ``found``: all spans by start, then by the order of the rules.
+
+    Documents that are no candidate of any rule have no spans, and their texts are
+    not shuffled: a fixed-size filter of the candidates is broadcast, and only what
+    passes it is joined with them and verified.
+    """
     rules = tuple(rules)
     indexed = [r for r in rules if trigram_query(r.pattern)]
     rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    if indexed:
-        chosen = candidates(build_index(docs, indexed, text), indexed).withColumnRenamed("doc_id", "_id")
-        rows = rows.join(chosen, rows["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left").drop("_id")
-    else:
-        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
     none = F.from_json(F.lit("[]"), SPAN)
-    each = []
-    for rank, rule in enumerate(rules):
-        ask = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
-        each.append(F.when(ask & F.col("text").rlike(rule.pattern), found(F.col("text"), rule, rank)).otherwise(none))
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("found"))
+
+    def verified(df: DataFrame) -> DataFrame:
+        each = []
+        for rank, rule in enumerate(rules):
+            ask = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
+            each.append(F.when(ask & F.col("text").rlike(rule.pattern), found(F.col("text"), rule, rank)).otherwise(none))
+        return df.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("found"))
+
+    if not indexed:
+        return verified(rows.withColumn("kinds", F.lit(None).cast("array<string>")))
+    with scope(docs.sparkSession):
+        chosen = kept(candidates(build_index(docs, indexed, text), indexed).withColumnRenamed("doc_id", "_id"), "secret-candidates")
+    key = F.col("doc_id").cast("long")
+    asked = lambda df: verified(df.join(chosen, key.eqNullSafe(F.col("_id")), "left"))
+    if len(indexed) < len(rules):  # a rule without trigrams asks every text
+        return asked(rows)
+    maybe, others = apart(rows, chosen.select("_id"), key)
+    return asked(maybe).unionByName(others.select("doc_id", "text", none.alias("found")))
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, extended
+from .common import crc_mod, extended, lean
 from .quality import Buckets, training_ids
 
 BUCKETS = 1 << 18
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([zlib.crc32((t or "").encode("utf-8", "replace")) for t in texts], pa.int64()), pa.array([parts(t, lookup).tobytes() for t in texts], pa.binary())], ["y", "h", "x"])
 
-    got = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(chosen, "doc_id").select("_label", "_text").mapInArrow(buckets, "y int, h long, x binary").toArrow()
+    got = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(chosen, "doc_id").select("_label", "_text").mapInArrow(lean(buckets), "y int, h long, x binary").toArrow()
     rows = sorted({(h, x): y for y, h, x in zip(*(got.column(c).to_pylist() for c in "yhx"), strict=True)}.items())
     return NoisyOr().fit([np.frombuffer(x, np.int32) for (_, x), _ in rows], np.array([y for _, y in rows], np.int32))
 
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: NoisyOr, held_out=None, threshold: float = 0.7
             where = [shared.value.offending(t, threshold) if q >= threshold else [] for t, q in zip(texts, p, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(where, kind)], [*keep, "held_out", "score", "predicted", "offending"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

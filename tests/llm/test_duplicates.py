@@ -185,8 +185,13 @@ def test_similar_lines(monkeypatch):
     want = [10 * distance(a, b) <= max(len(a), len(b)) for a, b in pairs]
     for cells in (lines.CELLS, 500):
         monkeypatch.setattr(lines, "CELLS", cells)
-        assert lines.alike(*map(list, zip(*pairs, strict=True))).tolist() == want
-    assert 300 < sum(want) < 1200 and not len(lines.alike([], []))
+        x, y = (lines.Texts(list(t), mark) for t, mark in zip(zip(*pairs, strict=True), (0xFFFFFFFF, 0xFFFFFFFE), strict=True))
+        assert lines.alike(x, y, np.arange(len(pairs)), np.arange(len(pairs))).tolist() == want
+    assert 300 < sum(want) < 1200
+    both = lines.Texts([t for p in pairs for t in p])
+    rows = np.arange(len(pairs))
+    assert lines.alike(both, both.other(), 2 * rows, 2 * rows + 1).tolist() == want
+    assert [p.tobytes() for p in both.profiles()] == [lines.profile(t) for p in pairs for t in p]
 
 
 def test_edits_are_counted_up_to_a_bound():
@@ -194,7 +199,7 @@ def test_edits_are_counted_up_to_a_bound():
     a, b = (["".join(r.choice("ab") for _ in range(r.randrange(30))) for _ in range(600)] for _ in range(2))
     x, y = lines.Texts(a, 0xFFFFFFFF), lines.Texts(b, 0xFFFFFFFE)
     most = np.array([r.choice([0, 1, 3, 8, 40]) for _ in a])
-    assert lines.within_edits(x, y, np.arange(600), most).tolist() == [distance(*ab) <= k for *ab, k in zip(a, b, most, strict=True)]
+    assert lines.within_edits(x, y, np.arange(600), np.arange(600), most).tolist() == [distance(*ab) <= k for *ab, k in zip(a, b, most, strict=True)]
 
 
 def normal(line):
