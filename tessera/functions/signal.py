@@ -82,3 +82,71 @@ def mfcc_statistics(samples: np.ndarray, rate: int, n_mfcc: int = 40, n_fft: int
 def mfcc(samples: pd.Series, rate: pd.Series) -> pd.Series:
     """80 numbers per waveform; an empty one has none."""
     return pd.Series([mfcc_statistics(s, int(r)) if s is not None and len(s) else np.zeros(0, np.float32) for s, r in zip(samples, rate, strict=True)])
+
+
+def quiet_runs(samples: np.ndarray, rate: int, noise_db: float, least: float) -> list[tuple[float, float]]:
+    """(start, stop) in seconds of runs below the noise level that last ``least`` seconds."""
+    quiet = np.abs(np.asarray(samples, np.float64)) < 10 ** (noise_db / 20)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], quiet.astype(np.int8), [0]])))
+    return [(a / rate, b / rate) for a, b in edges.reshape(-1, 2).tolist() if b - a >= least * rate]
+
+
+INTERVALS = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("stop", T.DoubleType())]))
+
+
+def silences(samples: Column, rate: Column, noise_db: float = -40.0, least: float = 2.0) -> Column:
+    """Ordered silences (start, stop) of a waveform."""
+
+    @F.pandas_udf(INTERVALS)
+    def found(s: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "stop": b} for a, b in quiet_runs(x, int(n), noise_db, least)] for x, n in zip(s, r, strict=True)])
+
+    return found(samples, rate)
+
+
+def extracted(samples: Column, rate: Column, start: Column, stop: Column) -> Column:
+    """The samples from ``start`` to ``stop`` seconds."""
+    first = F.round(start * rate).cast("int")
+    return F.slice(samples, first + 1, F.greatest(F.lit(0), F.least(F.round(stop * rate).cast("int"), F.size(samples)) - first))
+
+
+def at_rate(samples: np.ndarray, rate: int, target: int, zeros: int = 64, beta: float = 14.0) -> np.ndarray:
+    """A waveform at another rate, by a Kaiser-windowed sinc whose band ends at the lower rate's half.
+
+    Without a resampling library this is the engine's own; results differ from
+    such a library's by rounding and at the ends.
+    """
+    x = np.asarray(samples, np.float64)
+    if rate == target or not len(x):
+        return x.astype(np.float32)
+    scale = min(1.0, target / rate)
+    half = int(np.ceil(zeros / scale))
+    n = -(-len(x) * target // rate)
+    out = np.empty(n)
+    padded = np.concatenate([np.zeros(half), x, np.zeros(half + 1)])
+    taps = np.arange(-half + 1, half + 1)
+    for at in range(0, n, 4096):  # some MB at once
+        place = np.arange(at, min(n, at + 4096)) * (rate / target)
+        base = np.floor(place).astype(np.int64)
+        t = (place - base)[:, None] - taps
+        window = np.i0(beta * np.sqrt(np.maximum(0, 1 - (t / half) ** 2))) / np.i0(beta)
+        out[at : at + 4096] = (padded[base[:, None] + half + taps] * np.sinc(t * scale) * window).sum(1) * scale
+    return out.astype(np.float32)
+
+
+def resampled(samples: Column, rate: Column, target: int) -> Column:
+    """Waveforms at the rate ``target``; resample a record once, then join it to its seeds."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(s: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([at_rate(x, int(n), target) for x, n in zip(s, r, strict=True)])
+
+    return run(samples, rate)
+
+
+def pooled(frames: Column, mask: Column | None = None) -> Column:
+    """The mean over time of an array of vectors; with a mask of 0 and 1, over the frames that it keeps (none: zeros)."""
+    kept = frames if mask is None else F.transform(F.filter(F.arrays_zip(frames.alias("v"), mask.alias("m")), lambda x: x["m"] > 0), lambda x: x["v"])
+    width = F.size(F.element_at(frames, 1))
+    sums = F.aggregate(kept, F.array_repeat(F.lit(0.0), width), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    return F.transform(sums, lambda x: x / F.greatest(F.lit(1), F.size(kept)))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 #: White space as Unicode has it, spelled out so that every engine agrees.
 SPACE = r"[\s\x{3000}\x{00A0}]"
 #: Fixed value: the suffix that marks a repeated take.
-TAKE = "第[一二三]遍$"
+TAKE = f"{SPACE}*第[一二三]遍{SPACE}*$"
 #: Keywords that tell a recording's kind, by priority.
-CONTENT = (("phrase", ("乐句", "phrase")), ("technique", ("技法", "technique")), ("controlled", ("音阶", "controlled")))
+CONTENT = (("phrase", ("乐曲片段", "选段", "节选")), ("technique", ("演奏技法", "演奏技巧", "技法", "技巧")), ("controlled", ("音阶", "音程", "筒音", "空弦音")))
 
 
 def normalized_name(name: Column) -> Column:

@@ -153,3 +153,28 @@ def merged_in_order(groups: dict[str, str], pairs: list[tuple[str, str]]) -> dic
         goes, to = now[peer], now[record]
         now = {r: to if g == goes else g for r, g in now.items()}
     return now
+
+
+def merged_by_decisions(df: DataFrame, pairs: DataFrame, order: list[str], method: str, group: str = "recording_group_id", record: str = "record_id", most: int = 100_000) -> DataFrame:
+    """Groups after decisions (record_id, peer_record_id) in their order: each moves the peer's whole group to the record's.
+
+    People decide, so the list is short: groups are renamed on the driver by
+    ``merged_in_order`` over the groups that pairs name, at most ``most`` pairs.
+    """
+    own = df.select(F.col(record).alias("_r"), F.col(group).alias("_g"))
+    ends = pairs.join(own.withColumnsRenamed({"_r": "record_id", "_g": "_a"}), "record_id").join(own.withColumnsRenamed({"_r": "peer_record_id", "_g": "_b"}), "peer_record_id")
+    rows = ends.where("_a <> '' and _b <> ''").orderBy(*order).select("_a", "_b").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} merge decisions")
+    named = [(r["_a"], r["_b"]) for r in rows]
+    after = merged_in_order({g: g for pair in named for g in pair}, named)
+    moves = [(g, to) for g, to in sorted(after.items()) if g != to]
+    if not moves:
+        return df
+    moved = df.sparkSession.createDataFrame(moves, "_from string, _to string")
+    out = df.join(F.broadcast(moved), df[group] == moved["_from"], "left")
+    for c in (c for c in (group, "performer_or_recording_id") if c in df.columns):
+        out = out.withColumn(c, F.coalesce("_to", c))
+    if "grouping_method" in df.columns:
+        out = out.withColumn("grouping_method", F.when(F.col("_to").isNotNull(), method).otherwise(F.col("grouping_method")))
+    return out.select(*df.columns)

@@ -27,7 +27,7 @@ def audio_rules(min_duration: float = 3.0) -> list[QcRule]:
         QcRule("D03", ~ok, "decode_failure"),
         QcRule("D04", ok & (F.col("duration_sec") < min_duration), "too_short"),
         QcRule("D05a", ok & (F.col("silence_ratio") > F.col("silence_threshold")), "excessive_silence"),
-        QcRule("D06a", ok & (F.col("clipping_ratio") > F.col("clipping_threshold")), "excessive_clipping"),
+        QcRule("D06a", ok & (F.col("clipping_ratio") > F.col("clipping_threshold")), "severe_distortion"),
     ]
 
 

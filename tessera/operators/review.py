@@ -48,7 +48,7 @@ def applied(df: DataFrame, decisions: DataFrame, record: str = "record_id") -> D
     ).withColumnRenamed("record_id", "_record")
     out = df.join(held, df[record] == held["_record"], "left")
     rejected = F.coalesce(F.col("_no_depth") | F.col("_no_kind"), F.lit(False))
-    reason = F.when(F.col("_no_kind"), "content_type_rejected").when(F.col("_no_depth"), "bit_depth_rejected").otherwise(F.col("drop_reason"))
+    reason = F.when(F.col("_no_kind"), "label_requires_guess").when(F.col("_no_depth"), "unrecognized_encoding").otherwise(F.col("drop_reason"))
     return (
         out.withColumn("bit_depth", F.coalesce(F.col("_depth").try_cast("int"), F.col("bit_depth")))
         .withColumn("content_type", F.coalesce("_kind", "content_type"))

@@ -123,3 +123,23 @@ def extremes(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """The worst and the best label of every group, the least on ties."""
     key = lambda s: F.struct((s * F.col(score)).alias("s"), F.col(label).alias("l"))
     return df.groupBy(*by).agg(F.min(key(F.lit(1.0))).alias("w"), F.min(key(F.lit(-1.0))).alias("b")).select(*by, F.col("w.l").alias("worst"), F.col("b.l").alias("best"))
+
+
+def run_costs(runs: DataFrame, epochs: DataFrame, steps: DataFrame, by: list[str]) -> DataFrame:
+    """Cost rows of runs from their timings, rounded as cost files are.
+
+    ``runs``: by, total_params, trainable_params, feature_prep_time_sec,
+    train_wall_time_sec, peak_memory_mb (null: not measured), best_epoch,
+    stopped_epoch. ``epochs(by, seconds)``, ``steps(by, ms)``; without any, 0.
+    """
+    three = lambda c: F.round(c, 3)
+    mean = lambda df, c, out: df.groupBy(*by).agg(F.avg(c).alias(out))
+    held = runs.join(mean(epochs, "seconds", "_epoch"), by, "left").join(mean(steps, "ms", "_step"), by, "left")
+    return held.select(
+        *by, "total_params", "trainable_params",
+        F.coalesce(F.try_divide(F.col("trainable_params").cast("double"), F.col("total_params").cast("double")), F.lit(0.0)).alias("trainable_ratio"),
+        three(F.col("feature_prep_time_sec")).alias("feature_prep_time_sec"), three(F.col("train_wall_time_sec")).alias("train_wall_time_sec"),
+        three(F.col("feature_prep_time_sec") + F.col("train_wall_time_sec")).alias("total_method_time_sec"),
+        three(F.coalesce("_epoch", F.lit(0.0))).alias("mean_epoch_time_sec"), three(F.coalesce("_step", F.lit(0.0))).alias("mean_train_step_time_ms"),
+        F.round("peak_memory_mb", 2).alias("peak_device_memory_mb"), F.col("peak_memory_mb").isNotNull().alias("memory_metric_available"), "best_epoch", "stopped_epoch",
+    )

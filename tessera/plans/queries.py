@@ -76,7 +76,7 @@ _TRIM = r"regexp_replace({}, '^[\s\x{{3000}}\x{{00A0}}]+|[\s\x{{3000}}\x{{00A0}}
 
 
 @query(
-    "SELECT doc_id, " + _TRIM.format(rf"regexp_replace(regexp_replace(regexp_replace({NAME}, '\.[^.]*$', ''), '第[一二三]遍$', ''), '[\s\x{{3000}}\x{{00A0}}]+', ' ', 'g')") + rf" AS normalized, regexp_replace({NAME}, '[\s\x{{3000}}\x{{00A0}}]+', '', 'g') AS bare FROM documents"
+    "SELECT doc_id, " + _TRIM.format(rf"regexp_replace(regexp_replace(regexp_replace({NAME}, '\.[^.]*$', ''), '[\s\x{{3000}}\x{{00A0}}]*第[一二三]遍[\s\x{{3000}}\x{{00A0}}]*$', ''), '[\s\x{{3000}}\x{{00A0}}]+', ' ', 'g')") + rf" AS normalized, regexp_replace({NAME}, '[\s\x{{3000}}\x{{00A0}}]+', '', 'g') AS bare FROM documents"
 )
 def normalize_text(spark, d):
     return documents(spark, d).select("doc_id", text.normalized_name(F.col("name")).alias("normalized"), text.merge_key(F.col("name")).alias("bare"))
@@ -112,12 +112,12 @@ def _rules(limit=None):
         qc.QcRule("D03", F.col("chars") == 0, "decode_failure"),
         qc.QcRule("D04", (F.col("chars") > 0) & (F.col("chars") < 200), "too_short"),
         qc.QcRule("D05a", F.col("space_share") > (F.lit(0.16) if limit is None else F.col(limit)), "excessive_silence"),
-        qc.QcRule("D06a", F.col("repeat_share") > 0.05, "excessive_clipping"),
+        qc.QcRule("D06a", F.col("repeat_share") > 0.05, "severe_distortion"),
     ]
 
 
 _TRAIL = """concat_ws(',', CASE WHEN chars = 0 THEN 'D03' END, CASE WHEN chars > 0 AND chars < 200 THEN 'D04' END, CASE WHEN space_share > {limit} THEN 'D05a' END, CASE WHEN repeat_share > 0.05 THEN 'D06a' END) AS trail,
-  CASE WHEN chars = 0 THEN 'decode_failure' WHEN chars > 0 AND chars < 200 THEN 'too_short' WHEN space_share > {limit} THEN 'excessive_silence' WHEN repeat_share > 0.05 THEN 'excessive_clipping' ELSE '' END AS drop_reason"""
+  CASE WHEN chars = 0 THEN 'decode_failure' WHEN chars > 0 AND chars < 200 THEN 'too_short' WHEN space_share > {limit} THEN 'excessive_silence' WHEN repeat_share > 0.05 THEN 'severe_distortion' ELSE '' END AS drop_reason"""
 
 
 @query(f"WITH {_PROFILE}, q AS (SELECT *, {_TRAIL.format(limit='CAST(0.16 AS DOUBLE)')} FROM p) SELECT doc_id, trail, drop_reason, CASE WHEN drop_reason = '' THEN 'keep' ELSE 'drop' END AS sample_status FROM q")
@@ -293,7 +293,7 @@ def _decisions(spark, d) -> DataFrame:
 
 @query(
     """SELECT d.doc_id AS record_id, CASE WHEN d.doc_id % 4 = 0 AND quality = 1 THEN 24 WHEN d.doc_id % 4 = 0 THEN -1 ELSE 16 END AS bit_depth, CASE WHEN d.doc_id % 5 = 0 AND toxic = 0 THEN 'technique' WHEN d.doc_id % 5 <> 0 THEN 'phrase' END AS content_type,
-    CASE WHEN d.doc_id % 5 = 0 AND toxic <> 0 THEN 'content_type_rejected' WHEN d.doc_id % 4 = 0 AND quality <> 1 THEN 'bit_depth_rejected' ELSE '' END AS drop_reason,
+    CASE WHEN d.doc_id % 5 = 0 AND toxic <> 0 THEN 'label_requires_guess' WHEN d.doc_id % 4 = 0 AND quality <> 1 THEN 'unrecognized_encoding' ELSE '' END AS drop_reason,
     CASE WHEN (d.doc_id % 5 = 0 AND toxic <> 0) OR (d.doc_id % 4 = 0 AND quality <> 1) THEN 'drop' ELSE 'keep' END AS sample_status,
     CASE WHEN (d.doc_id % 5 = 0 AND toxic <> 0) OR (d.doc_id % 4 = 0 AND quality <> 1) THEN 'rejected' WHEN l.doc_id IS NOT NULL AND (d.doc_id % 4 = 0 OR d.doc_id % 5 = 0) THEN 'approved' ELSE '' END AS review_status FROM documents d LEFT JOIN labels l USING (doc_id)"""
 )

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
+#: Bounds of the batches that Python functions get: rows, and bytes, as texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -24,9 +26,23 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ``BATCHES``; lower ones stay."""
+    for key, most in BATCHES.items():
+        now = spark.conf.get(key)  # the default may be spelled with a unit
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``, computed once: a checkpoint in the session's shared folder cuts its plan.
 
-    A session without a checkpoint folder caches it instead.
+    The folder is the context's, or else the one that ``spark.checkpoint.dir`` names.
     """
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where)
+    return df.checkpoint()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +79,3 @@ def train_subset(table: DataFrame, listed: DataFrame, expected_rows: int | None
         raise GateError(f"listed segments are no train rows: {[r['segment_id'] for r in bad]}")
     train = table.where("split = 'train'").join(listed.select("segment_id", "position"), "segment_id")
     return train.unionByName(table.where("split <> 'train'").withColumn("position", F.lit(None).cast(dict(listed.dtypes)["position"])))
-
-
-def write_predictions(df: DataFrame, path: str) -> None:
-    """The ten columns of a prediction file."""
-    columns = ["segment_id", "sample_id", "record_id", "split", "true_label", "true_label_id", "pred_label", "pred_label_id", "score", "model"]
-    write_manifest(df, path, columns)
-
-
-def summary_json(**parts: DataFrame) -> str:
-    """Small result frames as one JSON document of lists of rows."""
-    return json.dumps({k: [r.asDict(recursive=True) for r in v.collect()] for k, v in parts.items()}, ensure_ascii=False, sort_keys=True, default=str)

@@ -14,7 +14,7 @@ def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("audio")
     for family, abbr in (("bells", "bl"), ("drums", "dr")):
         for i in range(12):
-            p = root / "ccm" / family / f"乐句{i} take.wav" if i < 2 else root / "ccm" / family / f"技法{i}.wav"
+            p = root / "ccm" / family / f"选段{i} take.wav" if i < 2 else root / "ccm" / family / f"技法{i}.wav"
             p.parent.mkdir(parents=True, exist_ok=True)
             x = np.sin(np.arange(int(400 * (3.5 + i))) * (0.1 + 0.01 * i + (0.2 if abbr == "dr" else 0)))
             p.write_bytes(audio.wave_bytes(x * 0.5, 400))
@@ -49,7 +49,7 @@ def test_curation(spark, tree):
         curation.run(rows, profile, none, curation.Config({}))
     out = curation.run(rows, profile, none, config)
     audit = out["audit"].cache()
-    assert {r["drop_reason"] for r in audit.select("drop_reason").distinct().collect()} >= {"", "exact_duplicate", "quota_downsample"}
+    assert {r["drop_reason"] for r in audit.select("drop_reason").distinct().collect()} >= {"", "exact_duplicate", "phrase_quota_downsampled"}
     assert audit.where("duplicate_of is not null").count() == 1
     frozen = out["frozen"].cache()
     assert frozen.select("sample_id").distinct().count() == frozen.count()

@@ -16,7 +16,7 @@ def test_names(spark):
     assert column(spark, ["a b　c"], text.merge_key) == ["abc"]
     assert column(spark, ["x第一遍.wav", "x第三遍.wav", "x.wav"], text.take_id) == [1, 3, 0]
     assert column(spark, ["12.3.wav", "x.3.wav", "7.wav"], text.class_id) == [12, None, None]
-    assert column(spark, ["乐句一.wav", "scale.wav"], text.first_keyword) == ["phrase", None]
+    assert column(spark, ["乐曲片段一.wav", "scale.wav"], text.first_keyword) == ["phrase", None]
     assert column(spark, ["Label - Song", "A—Song"], text.without_prefix) == ["Song", "Song"]
 
 
