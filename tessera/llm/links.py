@@ -26,8 +26,8 @@ from .common import kept, lean, materialize, scope
 
 #: Members of a block, and the bytes of what they are compared by.
 MEMBERS, BYTES = 256, 8 << 20
-#: Rows and bytes of blocks that are compared at once.
-ROWS, HELD = 20_000, 8 << 20
+#: Rows and bytes of blocks that are held, and pairs that are compared at once.
+ROWS, HELD, PAIRS = 20_000, 3 << 20, 30_000
 #: Entries that a task packs at once.
 PACKED = 1 << 20
 
@@ -158,16 +158,25 @@ def set_keys(part: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.repeat(spread(sums + sizes.astype(np.uint64)), sizes)
 
 
+#: What is known of a shared key: an id, the key, the least id that has it, and how many have it.
+SHARED = "id long, key long, hub long, n int"
+
+
 def keyed(bucket: int, rows: list):
-    """Batches (id, key) of a bucket's shared entries."""
+    """Batches (id, key, hub, n) of a bucket's shared entries."""
     part, ids = entries_of(rows)
+    if not len(part):
+        return
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    sizes = np.diff(np.concatenate([first, [len(part)]]))
+    hub, n = np.repeat(ids[first], sizes), np.repeat(sizes, sizes).astype(np.int32)
+    key = part.astype(np.int64) | (bucket << 32)
     for at in range(0, len(part), 100_000):
-        own = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(part[own].astype(np.int64) | (bucket << 32))], ["id", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in (ids, key, hub, n)], ["id", "key", "hub", "n"])
 
 
 def shared_keys(dealt: DataFrame) -> DataFrame:
-    """The entries (id, key) of keys that several ids share, from a Dealer's rows.
+    """The entries (id, key, hub, n) of keys that several ids share, from a Dealer's rows.
 
     Near ids share many keys. Keys that the same ids share are told by these ids
     from here on, in a second deal, so each set of ids is kept once.
@@ -185,7 +194,7 @@ def shared_keys(dealt: DataFrame) -> DataFrame:
         for bucket, rows in gathered(batches):
             yield from keyed(bucket, rows)
 
-    return by_bucket(by_bucket(dealt).mapInArrow(lean(sets), Dealer.SCHEMA)).mapInArrow(lean(find), "id long, key long")
+    return by_bucket(by_bucket(dealt).mapInArrow(lean(sets), Dealer.SCHEMA)).mapInArrow(lean(find), SHARED)
 
 
 def by_bucket(dealt: DataFrame) -> DataFrame:
@@ -221,7 +230,7 @@ def joined(comp: DataFrame, won: DataFrame) -> DataFrame:
 def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], within: Callable[[DataFrame], DataFrame], weights: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """Components of the graph whose edges are verified pairs sharing a key.
 
-    ``keys(id, key)``: a table of the keys that several ids share. ``verify`` takes
+    ``keys(id, key, hub, n)``: a table of the keys that several ids share. ``verify`` takes
     pairs(a, b) and gives back those that are links. ``within`` takes members of
     blocks (see ``block_pairs``) and gives the links (a, b) across components.
     ``weights(id, weight)`` has the bytes a member is compared by. Returns (id,
@@ -240,24 +249,26 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
             pairs = pairs.distinct()
             return materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
 
-        def labelled() -> DataFrame:
-            return keys.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        def labelled(least: int) -> DataFrame:
+            """The entries of buckets of at least so many ids, with components."""
+            return keys.where(F.col("n") >= least).join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
 
         for turn in range(rounds):
+            # A bucket of so many ids has met all its hubs by now.
             if turn == 0:
-                hubs = keys.groupBy("key").agg(F.min("id").alias("hub"))
-                found = keys.join(hubs, "key").where("id <> hub")
+                found = keys.where("id <> hub")
             else:
-                hubs = labelled().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
-                found = labelled().join(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
+                open_ = labelled(turn + 2)
+                hubs = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
+                found = open_.join(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
             pairs = across(found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tested if turn else None)
             won = materialize(verify(pairs), "links")
             tested = tested.union(pairs)
             if not won.isEmpty():
                 comp = joined(comp, won)
-        # Buckets of up to ``rounds`` + 1 ids have met all their hubs: nothing is left of them.
-        spans = labelled().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(f"lo <> hi and n > {rounds + 1}").select("key", "n")
-        left = materialize(labelled().join(spans, "key"), "open")
+        last = labelled(rounds + 2)
+        spans = last.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        left = materialize(last.join(spans, "key", "left_semi"), "open")
         if not left.isEmpty():
             won = materialize(within(block_pairs(left, weights)), "links")
             if not won.isEmpty():
@@ -266,24 +277,26 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
 
 
 def block_pairs(left: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Members of buckets dealt to pairs of blocks: (pair, side, id, comp).
+    """Members of buckets dealt to pairs of blocks: (pair, side, id, comp, key, keys).
 
     ``left(key, id, comp, n)``. The ids of a bucket are dealt to blocks of some
     ``MEMBERS`` ids and ``BYTES`` bytes; every two blocks of a bucket meet in one
     ``pair``. ``side`` tells the blocks apart (0 and 1; a block that meets itself
     is side 2). A bucket of n ids makes n rows, or n * n / MEMBERS if it is large,
-    and no task holds more than two blocks at once.
+    and no task holds more than two blocks at once. ``keys`` are all buckets of the id.
     """
+    own = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # as many as an id has keys
+    left = left.join(own, "id")
     blocks = F.ceil(F.col("n") / MEMBERS)
     if weights is not None:
         heavy = left.join(weights, "id").groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") > BYTES)
         left = left.join(heavy, "key", "left")
         blocks = F.greatest(blocks, F.ceil(F.coalesce("weight", F.lit(0)) / BYTES))
     each = left.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = each.select("key", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("key", "keys", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low == high, 2).when(F.col("block") == low, 0).otherwise(1)
-    return each.select(F.xxhash64("key", low, high).alias("pair"), side.alias("side"), "id", "comp")
+    return each.select(F.xxhash64("key", low, high).alias("pair"), side.alias("side"), "id", "comp", "key", "keys")
 
 
 def whole_groups(batches):
@@ -311,7 +324,7 @@ def pairs_of(groups: np.ndarray):
     for m in np.unique(size[size > 1]).tolist():
         i, j = np.triu_indices(m, 1)
         own = first[size == m]
-        step = max(1, 200_000 // len(i))
+        step = max(1, PAIRS // len(i))
         for at in range(0, len(own), step):
             yield (own[at : at + step, None] + i).ravel(), (own[at : at + step, None] + j).ravel()
 
@@ -320,17 +333,19 @@ def compared(members: DataFrame, payload: DataFrame, links: Callable, out: str =
     """The links (a, b) that ``links`` finds in pairs of blocks.
 
     ``members``: as ``block_pairs`` gives them, ``payload(id, payload)`` what ids are
-    compared by. ``links`` takes the payloads of some rows and a generator of the
-    pairs (left, right) of row numbers to be compared; it gives those that are
-    links, as two arrays at a time.
+    compared by. ``links`` takes the payloads of some rows, a generator of the pairs
+    (left, right) of row numbers to be compared, and a function that tells which
+    pairs are for this bucket: of the buckets that a pair shares, the least. It gives
+    those that are links, as two arrays at a time.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(payload, "id").select("pair", "side", "id", "comp", "payload").repartition(n, "pair").sortWithinPartitions("pair")
+    dealt = members.join(payload, "id").select("pair", "side", "id", "comp", "key", "keys", "payload").repartition(n, "pair").sortWithinPartitions("pair")
 
     def run(batches):
         for table in whole_groups(batches):
-            pair, side, ids, comp = (table.column(c).to_numpy() for c in ("pair", "side", "id", "comp"))
+            pair, side, ids, comp, key = (table.column(c).to_numpy() for c in ("pair", "side", "id", "comp", "key"))
             groups = np.concatenate([np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), [len(pair)]])
+            keys, sets = table.column("keys"), {}
 
             def wanted(groups=groups, side=side, ids=ids, comp=comp):
                 for a, b in pairs_of(groups):
@@ -338,7 +353,13 @@ def compared(members: DataFrame, payload: DataFrame, links: Callable, out: str =
                     if own.any():
                         yield a[own], b[own]
 
-            for a, b in links(table.column("payload"), wanted()):
+            def here(a, b, key=key, keys=keys, sets=sets):
+                for i in np.union1d(a, b).tolist():
+                    if i not in sets:
+                        sets[i] = frozenset(keys[i].as_py())
+                return np.fromiter((min(sets[i] & sets[j]) == k for i, j, k in zip(a.tolist(), b.tolist(), key[a].tolist(), strict=True)), bool, len(a))
+
+            for a, b in links(table.column("payload"), wanted(), here):
                 if len(a):
                     low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
                     both = np.unique(np.stack([low, high], 1), axis=0)

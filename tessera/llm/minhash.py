@@ -161,7 +161,7 @@ def verified(sets: DataFrame):
     return verify
 
 
-def links_of(payloads, wanted):
+def links_of(payloads, wanted, here):
     """The wanted pairs whose sets are similar enough. Many pairs of the same rows are counted at once: sets as rows of a matrix of shingles."""
     sets = {}
 
@@ -174,6 +174,7 @@ def links_of(payloads, wanted):
         size = {i: len(of(i)) for i in np.union1d(a, b).tolist()}
         na, nb = (np.fromiter(map(size.__getitem__, x.tolist()), np.int64, len(x)) for x in (a, b))
         near = 100 * np.minimum(na, nb) >= LIMIT * np.maximum(na, nb)
+        near[near] = here(a[near], b[near])
         a, b, na, nb = a[near], b[near], na[near], nb[near]
         if not len(a):
             continue

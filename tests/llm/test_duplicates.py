@@ -37,10 +37,11 @@ def numbers_within(near):
     def within(members):
         payload = members.select("id").distinct().selectExpr("id", "cast(cast(id as string) as binary) as payload")
 
-        def found(payloads, wanted):
+        def found(payloads, wanted, here):
             ids = np.array([int(x) for x in payloads.to_pylist()])
             for a, b in wanted:
                 own = near(ids[a], ids[b])
+                own[own] = here(a[own], b[own])
                 yield a[own], b[own]
 
         return links.compared(members, payload, found)
@@ -55,7 +56,9 @@ def test_linked_groups_lose_no_link(spark, monkeypatch, members):
     monkeypatch.setattr(links, "ROWS", 50)
     keys = [(i, 1) for i in range(40)] + [(i, 2) for i in range(30, 60)] + [(200 + i, 3) for i in range(6)] + [(99, 4), (100, 4), (98, 5)]
     near = lambda a, b: np.isin(np.abs(a - b), (1, 13))
-    frame = spark.createDataFrame(keys, "id long, key long")
+    rows = {k: sorted(i for i, key in keys if key == k) for _, k in keys}
+    keys = [(i, k) for i, k in keys if len(rows[k]) > 1]
+    frame = spark.createDataFrame([(i, k, rows[k][0], len(rows[k])) for i, k in keys], links.SHARED)
     got = {x: y for x, y in links.linked_groups(frame, lambda p: p.where("abs(a - b) in (1, 13)"), numbers_within(near)).collect()}
     edges = [(a, b) for k in (1, 2, 3, 4) for a, b in itertools.combinations([i for i, key in keys if key == k], 2) if near(a, b)]
     assert got == union_find({x for e in edges for x in e}, edges)
@@ -85,7 +88,7 @@ def test_many_sets_at_once():
     pairs = [(i, j) for low, high in itertools.pairwise(groups.tolist()) for i, j in itertools.combinations(range(low, high), 2)]
     assert sorted(p for a, b in links.pairs_of(groups) for p in zip(a.tolist(), b.tolist(), strict=True)) == pairs
     chosen = lambda: ((a[x], b[x]) for a, b in links.pairs_of(groups) for x in [(a + b) % 3 > 0])
-    got = {p for a, b in minhash.links_of(minhash.pa.array([s.tobytes() for s in sets], minhash.pa.binary()), chosen()) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    got = {p for a, b in minhash.links_of(minhash.pa.array([s.tobytes() for s in sets], minhash.pa.binary()), chosen(), lambda a, b: np.ones(len(a), bool)) for p in zip(a.tolist(), b.tolist(), strict=True)}
     want = {(i, j) for i, j in pairs if (i + j) % 3 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert got == want and len(want) > 50
 
