@@ -216,14 +216,14 @@ def near_dup_thin(spark, d):
 
 
 def _fingerprints(spark, d) -> DataFrame:
-    return read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("family"), (F.col("vec_id") % 2).alias("subtype"), arrays.sign_bits(F.col("embedding"), 2, 16).alias("fp"))
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("family"), (F.col("vec_id") % 2).alias("subtype"), arrays.sign_bits(F.col("embedding"), 2, 32).alias("fp"))
 
 
-_BITS = "list_reduce(list_transform(embedding[{a}:{b}], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END), lambda s, x: s * 2 + x, 0)"
+_BITS = "list_reduce(list_transform(embedding[{a}:{b}], lambda x: CAST(x > 0 AS BIGINT)), lambda s, x: s * 2 + x, CAST(0 AS BIGINT))"
 
 
 @query(
-    f"""WITH f AS (SELECT vec_id, label, vec_id % 2 AS subtype, CAST({_BITS.format(a=1, b=16)} AS BIGINT) AS p, CAST({_BITS.format(a=17, b=32)} AS BIGINT) AS q FROM embeddings)
+    f"""WITH f AS (SELECT vec_id, label, vec_id % 2 AS subtype, CAST({_BITS.format(a=1, b=32)} AS BIGINT) AS p, CAST({_BITS.format(a=33, b=64)} AS BIGINT) AS q FROM embeddings)
     SELECT x.label AS family, least(x.vec_id, y.vec_id) AS a, greatest(x.vec_id, y.vec_id) AS b, round(1 - (bit_count(xor(x.p, y.p)) + bit_count(xor(x.q, y.q))) / 64, 6) AS hamming_sim FROM f x JOIN f y ON x.label = y.label AND x.subtype < y.subtype
     WHERE 1 - (bit_count(xor(x.p, y.p)) + bit_count(xor(x.q, y.q))) / 64 >= 0.85"""
 )
@@ -265,14 +265,14 @@ def containment_pairs(spark, d):
 
 @query(
     """WITH RECURSIVE t AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents), n AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS name, lang FROM documents),
-    k AS (SELECT doc_id, 's' || sha AS key FROM t UNION ALL SELECT doc_id, 'n' || lang || name FROM n WHERE length(name) > 60),
+    k AS (SELECT doc_id, 's' || sha AS key FROM t UNION ALL SELECT doc_id, 'n' || lang || name FROM n),
     l AS (SELECT key, min(doc_id) AS m FROM k GROUP BY key HAVING count(DISTINCT doc_id) > 1), e AS (SELECT DISTINCT k.doc_id AS a, l.m AS b FROM k JOIN l USING (key) WHERE k.doc_id <> l.m),
     s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
     SELECT node, min(seen) AS component FROM r GROUP BY node"""
 )
 def merge_components(spark, d):
     docs = documents(spark, d)
-    keys = docs.select("doc_id", F.concat(F.lit("s"), F.sha2("text", 256)).alias("key")).union(docs.where(F.length("name") > 60).select("doc_id", F.concat(F.lit("n"), "lang", "name")))
+    keys = docs.select("doc_id", F.concat(F.lit("s"), F.sha2("text", 256)).alias("key")).union(docs.select("doc_id", F.concat(F.lit("n"), "lang", "name")))
     least = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("hi")).where("b <> hi").select("key", "b")
     return dedup.components(keys.join(least, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
 
@@ -445,7 +445,16 @@ def gap_islands(spark, d):
     return segments.islands(events, ["user_id"], "t", 3600.0, "event_id").withColumn("start", six(F.col("start"))).withColumn("stop", six(F.col("stop")))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS t FROM events), m AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m), s AS (SELECT user_id, round(min(t), 6) AS a, round(max(t), 6) AS b FROM g GROUP BY user_id, island),
+    k AS (SELECT user_id, (a + b) / 2.0 AS mid, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS i FROM s), u AS (SELECT user_id, max(b) AS total, count(*) AS n FROM s GROUP BY user_id),
+    p AS (SELECT u.user_id, x.i, coalesce(l.mid, 0.0) AS start, coalesce(r.mid, u.total) AS stop FROM u, unnest(range(0, u.n + 1)) AS x(i) LEFT JOIN k l ON l.user_id = u.user_id AND l.i = x.i LEFT JOIN k r ON r.user_id = u.user_id AND r.i = x.i + 1),
+    j AS (SELECT *, sum(CASE WHEN i = 0 OR stop - start >= 7200.0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS piece FROM p),
+    q AS (SELECT user_id, piece, min_by(start, i) AS start, max_by(stop, i) AS stop FROM j GROUP BY user_id, piece), f AS (SELECT user_id, stop - start < 7200.0 AS short FROM q WHERE piece = 1),
+    z AS (SELECT q.user_id, CASE WHEN short AND piece = 2 THEN 1 ELSE piece END AS piece, start, stop FROM q JOIN f USING (user_id))
+    SELECT user_id, min(start) AS start, max(stop) AS stop FROM z GROUP BY user_id, piece"""
+)
 def merge_short_islands(spark, d):
     runs_ = gap_islands(spark, d).groupBy("user_id").agg(F.max("stop").alias("total"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
     return runs_.select("user_id", F.explode(segments.pieces_between(F.col("total"), F.col("s"), 7200.0)).alias("p")).select("user_id", "p.start", "p.stop")
@@ -696,10 +705,10 @@ def status_rollup(spark, d):
     return rollup.status_rollup(read(spark, d, "events").select("user_id", status.alias("status")), "user_id")
 
 
-@query("SELECT n AS run_id, coalesce(s, 'missing') AS problem FROM (SELECT unnest(range(0, 400)) AS n) LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'completed' ELSE 'failed' END AS s FROM labels) ON n = doc_id WHERE s IS DISTINCT FROM 'completed'")
+@query("SELECT n AS run_id, coalesce(s, 'missing') AS problem FROM (SELECT doc_id AS n FROM documents) LEFT JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'completed' ELSE 'failed' END AS s FROM labels) ON n = doc_id WHERE s IS DISTINCT FROM 'completed'")
 def registry_gaps(spark, d):
     have = read(spark, d, "labels").select(F.col("doc_id").alias("run_id"), F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"))
-    return registry.not_completed(have, spark.range(400).withColumnRenamed("id", "run_id"))
+    return registry.not_completed(have, read(spark, d, "documents").select(F.col("doc_id").alias("run_id")))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")

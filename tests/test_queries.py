@@ -16,12 +16,13 @@ def tables(spark, tmp_path_factory):
     day = lambda: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=r.randrange(900))
     texts = ["one  line\nsecond line of it " + "x y z " * n for n in range(0, 90, 3)] + ["", None, "Copyright me", "a@b", "hey!! " * 60, "one line\ntail " + "t" * 300]
     docs = [(i, r.choice(texts), r.choice(["en", "de", "fr"]), f"src{r.randrange(4)}", r.randrange(5000)) for i in range(150)]
+    bases = [[r.gauss(0, 0.2) for _ in range(64)] for _ in range(10)]
     made = {
         "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
         "labels": ([(i, int(r.random() < 0.8), int(r.random() < 0.2)) for i in range(0, 150, 2)], "doc_id long, quality int, toxic int"),
         "benchmark": ([(i, "x y z " * 5) for i in range(5)], "item_id long, text string"),
         "pages": ([(i, "u", r.choice(["<table>", "<a href>", "<p>"])) for i in range(20)], "page_id long, url string, html string"),
-        "embeddings": ([(i, [r.gauss(0, 0.2) for _ in range(32)], i % 4) for i in range(80)], "vec_id long, embedding array<float>, label int"),
+        "embeddings": ([(i, [x + r.gauss(0, 0.03) for x in bases[i % 10]], i % 4) for i in range(80)], "vec_id long, embedding array<float>, label int"),
         "events": ([(i, day(), r.randrange(12), r.choice(["view", "click", "purchase"]), r.random() * 60, '{"k": "v%d"}' % (i % 3)) for i in range(300)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"),
         "nation": ([(i, f"n{i}", i % 3) for i in range(6)], "n_nationkey long, n_name string, n_regionkey long"),
         "customer": ([(i, f"c{i}", i % 6, r.randrange(0, 10_000) / 1.0, r.choice(["A", "B"])) for i in range(30)], "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string"),
