@@ -90,6 +90,8 @@ def scope(spark: SparkSession):
     finally:
         for path in _SCOPES.pop():
             delete(spark, path)
+        if not _SCOPES:
+            release()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -251,14 +251,14 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
 
         def labelled(least: int) -> DataFrame:
             """The entries of buckets of at least so many ids, with components."""
-            return keys.where(F.col("n") >= least).join(comp, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+            return keys.where(F.col("n") >= least).select("key", "id", "hub").join(comp, "id", "left").select("key", "id", "hub", F.coalesce("comp", "id").alias("comp"))
 
         for turn in range(rounds):
             # A bucket of so many ids has met all its hubs by now.
             if turn == 0:
                 found = keys.where("id <> hub")
             else:
-                open_ = labelled(turn + 2)
+                open_ = labelled(turn + 2).drop("hub")
                 hubs = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
                 found = open_.join(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
             pairs = across(found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tested if turn else None)
@@ -277,26 +277,28 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
 
 
 def block_pairs(left: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Members of buckets dealt to pairs of blocks: (pair, side, id, comp, key, keys).
-
-    ``left(key, id, comp, n)``. The ids of a bucket are dealt to blocks of some
-    ``MEMBERS`` ids and ``BYTES`` bytes; every two blocks of a bucket meet in one
-    ``pair``. ``side`` tells the blocks apart (0 and 1; a block that meets itself
-    is side 2). A bucket of n ids makes n rows, or n * n / MEMBERS if it is large,
-    and no task holds more than two blocks at once. ``keys`` are all buckets of the id.
+    """Members of buckets dealt to pairs of blocks: (pair, side, id, comp, hub, keys).
+
+    ``left(key, id, hub, comp)``: the entries of buckets that span components. Near
+    ids share many buckets, which mostly have the same least id, their hub: so the
+    buckets of a hub are dealt together, each of their ids once. Their ids come in
+    blocks of some ``MEMBERS`` ids and ``BYTES`` bytes; every two blocks meet in one
+    ``pair``. ``side`` tells the blocks apart (0 and 1; a block that meets itself is
+    side 2). n ids make n rows, or n * n / MEMBERS if they are many, and no task
+    holds more than two blocks at once. ``keys`` are all buckets of the id, with
+    their hubs.
     """
-    own = left.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # as many as an id has keys
-    left = left.join(own, "id")
-    blocks = F.ceil(F.col("n") / MEMBERS)
+    keys = left.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", "hub"))).alias("keys"))  # as many as an id has keys
+    members = left.select("hub", "id", "comp").distinct()
     if weights is not None:
-        heavy = left.join(weights, "id").groupBy("key").agg(F.sum("weight").alias("weight")).where(F.col("weight") > BYTES)
-        left = left.join(heavy, "key", "left")
-        blocks = F.greatest(blocks, F.ceil(F.coalesce("weight", F.lit(0)) / BYTES))
-    each = left.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    each = each.select("key", "keys", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        members = members.join(weights, "id", "left")
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if weights is None else F.coalesce("weight", F.lit(0))).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / BYTES)).cast("int")
+    each = members.join(sizes.select("hub", blocks.alias("blocks")), "hub").join(keys, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = each.select("hub", "keys", "id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low == high, 2).when(F.col("block") == low, 0).otherwise(1)
-    return each.select(F.xxhash64("key", low, high).alias("pair"), side.alias("side"), "id", "comp", "key", "keys")
+    return each.select(F.xxhash64("hub", low, high).alias("pair"), side.alias("side"), "id", "comp", "hub", "keys")
 
 
 def whole_groups(batches):
@@ -334,18 +336,18 @@ def compared(members: DataFrame, payload: DataFrame, links: Callable, out: str =
 
     ``members``: as ``block_pairs`` gives them, ``payload(id, payload)`` what ids are
     compared by. ``links`` takes the payloads of some rows, a generator of the pairs
-    (left, right) of row numbers to be compared, and a function that tells which
-    pairs are for this bucket: of the buckets that a pair shares, the least. It gives
-    those that are links, as two arrays at a time.
+    (left, right) of row numbers that may be compared, and a function that tells
+    which of them are to be compared here: those that share a bucket, the least of
+    which has this hub. It gives those that are links, as two arrays at a time.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(payload, "id").select("pair", "side", "id", "comp", "key", "keys", "payload").repartition(n, "pair").sortWithinPartitions("pair")
+    dealt = members.join(payload, "id").select("pair", "side", "id", "comp", "hub", "keys", "payload").repartition(n, "pair").sortWithinPartitions("pair")
 
     def run(batches):
         for table in whole_groups(batches):
-            pair, side, ids, comp, key = (table.column(c).to_numpy() for c in ("pair", "side", "id", "comp", "key"))
+            pair, side, ids, comp, hub = (table.column(c).to_numpy() for c in ("pair", "side", "id", "comp", "hub"))
             groups = np.concatenate([np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), [len(pair)]])
-            keys, sets = table.column("keys"), {}
+            keys, held = table.column("keys"), {}
 
             def wanted(groups=groups, side=side, ids=ids, comp=comp):
                 for a, b in pairs_of(groups):
@@ -353,11 +355,15 @@ def compared(members: DataFrame, payload: DataFrame, links: Callable, out: str =
                     if own.any():
                         yield a[own], b[own]
 
-            def here(a, b, key=key, keys=keys, sets=sets):
+            def here(a, b, hub=hub, keys=keys, held=held):
                 for i in np.union1d(a, b).tolist():
-                    if i not in sets:
-                        sets[i] = frozenset(keys[i].as_py())
-                return np.fromiter((min(sets[i] & sets[j]) == k for i, j, k in zip(a.tolist(), b.tolist(), key[a].tolist(), strict=True)), bool, len(a))
+                    if i not in held:
+                        held[i] = {x["key"]: x["hub"] for x in keys[i].as_py()}
+                out = np.zeros(len(a), bool)
+                for n, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                    common = held[i].keys() & held[j].keys()
+                    out[n] = bool(common) and held[i][min(common)] == hub[i]
+                return out
 
             for a, b in links(table.column("payload"), wanted(), here):
                 if len(a):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, extended, lean
+from .common import crc_mod, extended, lean, release
 from .quality import Buckets, training_ids
 
 BUCKETS = 1 << 18
@@ -178,7 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", max_
 
     got = docs.select("doc_id", F.col(text).cast("string").alias("_text")).join(chosen, "doc_id").select("_label", "_text").mapInArrow(lean(buckets), "y int, h long, x binary").toArrow()
     rows = sorted({(h, x): y for y, h, x in zip(*(got.column(c).to_pylist() for c in "yhx"), strict=True)}.items())
-    return NoisyOr().fit([np.frombuffer(x, np.int32) for (_, x), _ in rows], np.array([y for _, y in rows], np.int32))
+    del got
+    model = NoisyOr().fit([np.frombuffer(x, np.int32) for (_, x), _ in rows], np.array([y for _, y in rows], np.int32))
+    del rows
+    release()  # the driver gives back what the training took
+    return model
 
 
 OFFENDING = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
