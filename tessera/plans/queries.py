@@ -432,7 +432,7 @@ def segment_blocks(spark, d):
     return docs.select("doc_id", F.col("s.index").alias("segment_position"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.col("s.padded").alias("is_padded"))
 
 
-@query("SELECT l_orderkey, l_linenumber, i AS segment_index FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, l_returnflag FROM lineitem) JOIN (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag) USING (l_returnflag) WHERE i < greatest(2, ceil(n * CAST(0.0001 AS DOUBLE)))")
+@query("SELECT l_orderkey, l_linenumber, i AS segment_index FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS i, l_returnflag FROM lineitem) JOIN (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag) USING (l_returnflag) WHERE i < greatest(2, ceil(n * CAST(0.0001 AS DOUBLE)))")
 def concentration_cap(spark, d):
     items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     out = segments.capped(items, "l_orderkey", "l_returnflag", "l_linenumber", items.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows")), 2, 0.0001, tie=["l_returnflag"])
