@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 #: While a table is written: Arrow batches of bounded size, and shuffle files go with the query that made them.
 WRITING = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 

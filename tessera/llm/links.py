@@ -29,7 +29,7 @@ MEMBERS, BYTES = 256, 8 << 20
 #: Rows and bytes of blocks that are held, and pairs that are compared at once.
 ROWS, HELD, PAIRS = 20_000, 3 << 20, 30_000
 #: Entries that a task packs at once.
-PACKED = 1 << 20
+PACKED = 1 << 18
 
 
 def components(edges: DataFrame) -> DataFrame:
