@@ -13,7 +13,7 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 #: Bounds of the batches that Python functions get: rows, and bytes, as texts may be long.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
