@@ -243,11 +243,7 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
     """
     spark = keys.sparkSession
     with scope(spark):
-        comp, tested = spark.createDataFrame([], "id long, comp long"), spark.createDataFrame([], "a long, b long")
-
-        def across(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-            pairs = pairs.distinct()
-            return materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        comp = spark.createDataFrame([], "id long, comp long")
 
         def labelled(least: int) -> DataFrame:
             """The entries of buckets of at least so many ids, with components."""
@@ -261,9 +257,8 @@ def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], wit
                 open_ = labelled(turn + 2).drop("hub")
                 hubs = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)), "id", "comp")).alias("h")).where("lo <> hi")
                 found = open_.join(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "key").where("comp <> hub_comp")
-            pairs = across(found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tested if turn else None)
+            pairs = materialize(found.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
             won = materialize(verify(pairs), "links")
-            tested = tested.union(pairs)
             if not won.isEmpty():
                 comp = joined(comp, won)
         last = labelled(rounds + 2)
