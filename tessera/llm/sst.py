@@ -91,8 +91,20 @@ class Units(Remembered):
         return b"".join(map(self.__getitem__, cut.findall(text)))
 
 
+#: A worker keeps the encoder of its last task and what it remembers (at most some 110 MB), as most cuts come again.
+_LAST: dict[str | int, Units] = {}
+
+
 def units_of(model: bytes | str) -> Units:
     """An encoder from the tokenizer's file: its path, or its bytes for executors that need not see it."""
+    name = model if isinstance(model, str) else zlib.crc32(model)
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = read_units(model)
+    return _LAST[name]
+
+
+def read_units(model: bytes | str) -> Units:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
