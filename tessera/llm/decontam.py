@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .common import Remembered, kept, lean, materialize, scope
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-WINDOW, SEGMENT, GAP, BLOCK = 13, 1_000_000, 256, 4 << 20
+WINDOW, SEGMENT, GAP, BLOCK = 13, 500_000, 256, 4 << 20
 
 
 class Terms(Remembered):
