@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact, lines, minhash, pieces, quality, secrets, sst, toxicity
+from . import bpe, chat, decontam, exact, lines, minhash, pieces, quality, secrets, sst, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
+    "op13_bpe": bpe.op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
