@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, exact, lines, minhash, pieces, quality, secrets, sst, toxicity
+from . import bpe, chat, decontam, exact, lines, minhash, pieces, quality, secrets, sst, toxicity, trie
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
+    "op11_trie": trie.op11_trie,
     "op13_bpe": bpe.op13_bpe,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": exact.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
     "op10_secrets": secrets.ORACLE_SQL,
+    "op11_trie": trie.ORACLE_SQL,
 }
