@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, exact, lines, minhash, pieces, quality, secrets, sst, toxicity, trie
+from . import bpe, chat, decontam, exact, lines, minhash, pieces, quality, ranked, secrets, sst, toxicity, trie
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontam.op9_decontamination,
     "op10_secrets": secrets.op10_secrets,
     "op11_trie": trie.op11_trie,
+    "op12_search": ranked.op12_search,
     "op13_bpe": bpe.op13_bpe,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": decontam.ORACLE_SQL,
     "op10_secrets": secrets.ORACLE_SQL,
     "op11_trie": trie.ORACLE_SQL,
+    "op12_search": ranked.ORACLE_SQL,
 }
