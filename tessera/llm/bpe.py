@@ -24,6 +24,8 @@ but for those named like a new one.
 
 from __future__ import annotations
 
+import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +41,8 @@ BLOCK, BATCH_BYTES = 1 << 20, 4 << 20
 #: White space of one byte, and of more.
 SPACE = b"\t\n\x0b\x0c\r "
 LONG_SPACE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+#: Fragments that are one word to any tokenizer of this kind: letters in every version of Unicode.
+ONE_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u0481]+")
 LONG_ENDS = np.isin(np.arange(256), [c.encode()[-1] for c in LONG_SPACE])
 
 
@@ -78,7 +82,8 @@ class Fragments(Remembered):
 
     def __init__(self, tokenizer):
         super().__init__(300_000)
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = byte_letters()
         self.tokens = token_bytes(tokenizer)
         self.cut = certain_cuts(self.tokens.values())
         shape = tokenizer.pre_tokenizer
@@ -86,7 +91,12 @@ class Fragments(Remembered):
             raise ValueError("certain cuts are known for byte-level tokenizers without a normaliser or a prefix")
 
     def compute(self, fragment: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(fragment.decode("utf-8", "replace"), add_special_tokens=False).ids, "<i4").tobytes()
+        text = fragment.decode("utf-8", "replace")
+        if ONE_WORD.fullmatch(text):  # only to be merged
+            ids = [t.id for t in self.model.tokenize(fragment.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("i", ids).tobytes()
 
     def cuts(self, data: bytes):
         """The places of the cuts, block by block."""
