@@ -298,7 +298,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 50, text: str = "t
         for more in found[1:]:
             every = every.union(more)
         best = every.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))).where(F.col("rank") <= k)
-        return kept(best.select("item_id", "rank", "doc_id", "score"), "ranked")
+        return kept(best.select(F.col("item_id").cast(items.schema["item_id"].dataType).alias("item_id"), "rank", "doc_id", "score"), "ranked")
 
 
 def op12_search(spark, sf_dir: str) -> DataFrame:
