@@ -23,11 +23,12 @@ def mean_std(df: DataFrame, by: list[str], metrics=METRICS, seed: str | None = "
     return df.groupBy(*by).agg(*aggregates)
 
 
-def cost_summary(df: DataFrame, by: list[str], fields: list[str], memory: str, available: str, constant: str | None = None) -> DataFrame:
+def cost_summary(df: DataFrame, by: list[str], fields: list[str], memory: str, available: str, constant: str | None = None, seed: str | None = None) -> DataFrame:
     """Mean and deviation of costs; memory over rows that have it: deviation 0 for one, null for none."""
     held = F.when(F.col(available), F.col(memory))
     n = F.count_if(F.col(available))
     extra = [F.min(constant).alias(constant)] if constant else []
+    extra += [F.count_distinct(seed).alias("seed_count")] if seed else []
     return df.groupBy(*by).agg(
         *(f(c).alias(f"{c}_{s}") for c in fields for f, s in ((F.avg, "mean"), (F.stddev_samp, "std"))),
         F.avg(held).alias(f"{memory}_mean"), F.when(n == 1, F.lit(0.0)).when(n > 1, F.stddev_samp(held)).alias(f"{memory}_std"), n.alias(f"{memory}_runs"), *extra)

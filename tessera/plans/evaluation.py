@@ -48,11 +48,10 @@ def rolled_up(spark: SparkSession, root: str, methods: list[str], seeds: int = 3
         "classes": rollup.mean_std(classes, [*by, "split", "label_id", "label"], ("f1", "precision", "recall")),
     }
     if costs:
-        cost = runs.cost_metrics(spark, root, list(names))
+        cost = runs.cost_metrics(spark, root, list(names), with_meta=bool(ratios))
         if ratios:
             cost = runs.with_ratio(cost, ratios)
-        fields = [c for c in runs.COST_FIELDS if c not in ("total_params", "peak_memory_mb")]
-        out["costs"] = rollup.cost_summary(cost, by, fields, "peak_memory_mb", "peak_memory_available", "total_params")
+        out["costs"] = rollup.cost_summary(cost, by, runs.COST_MEANS, "peak_device_memory_mb", "memory_metric_available", "total_params", "seed")
         out["curve"] = rollup.curve_points(metrics, cost, by, ("macro_f1", "accuracy"), ("total_method_time_sec",))
     return out
 

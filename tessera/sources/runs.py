@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators.gates import GateError
 
-COST_FIELDS = ["total_params", "trainable_params", "trainable_ratio", "feature_prep_time_sec", "train_wall_time_sec", "total_method_time_sec", "mean_epoch_time_sec", "mean_step_time_ms", "peak_memory_mb", "best_epoch", "stopped_epoch"]
+#: The fields of a cost file, those whose mean and deviation are reported, and the counts a run's metadata adds.
+COST_FIELDS = {
+    "model": "string", "device_type": "string", "total_params": "long", "trainable_params": "long", "trainable_ratio": "double", "feature_prep_time_sec": "double", "train_wall_time_sec": "double", "total_method_time_sec": "double",
+    "mean_epoch_time_sec": "double", "mean_train_step_time_ms": "double", "peak_device_memory_mb": "double", "memory_metric_available": "boolean", "best_epoch": "long", "stopped_epoch": "long",
+}
+COST_MEANS = ["trainable_params", "trainable_ratio", "feature_prep_time_sec", "train_wall_time_sec", "total_method_time_sec", "mean_epoch_time_sec", "mean_train_step_time_ms"]
+META_COUNTS = ("subset_train_group_count", "subset_train_segment_count")
 
 
 def metrics_file(split: Column) -> Column:
@@ -47,7 +53,7 @@ def with_ratio(df: DataFrame, ratios: dict[str, float]) -> DataFrame:
 def with_layer(df: DataFrame, column: str = "layer") -> DataFrame:
     """layer_index from a folder's name, and its name; layer 0 is the embedding output."""
     index = F.regexp_extract(column, r"(\d+)$", 1).cast("int")
-    return df.withColumn("layer_index", index).withColumn("layer_name", F.when(index == 0, "embedding_output").otherwise(F.format_string("layer_%d", index)))
+    return df.withColumn("layer_index", index).withColumn("layer_name", F.when(index == 0, "embedding_output").otherwise(F.format_string("transformer_layer_%d", index)))
 
 
 def class_metrics(spark: SparkSession, root: str, names: list[str] = ("method", "seed")) -> DataFrame:
@@ -58,18 +64,25 @@ def class_metrics(spark: SparkSession, root: str, names: list[str] = ("method",
 
 def cost_metrics(spark: SparkSession, root: str, names: list[str] = ("method", "seed"), with_meta: bool = False) -> DataFrame:
     """Cost files, with group and segment counts of the run's metadata where there are any."""
-    kinds = ", ".join(f"{c} {'long' if c in ('total_params', 'trainable_params', 'best_epoch', 'stopped_epoch') else 'double'}" for c in COST_FIELDS)
-    costs = path_columns(spark.read.schema(kinds + ", peak_memory_available boolean").option("multiLine", True).json("/".join([root, *["*"] * len(names), "cost_metrics.json"])), list(names)).drop("split")
+    schema = ", ".join(f"{c} {kind}" for c, kind in COST_FIELDS.items())
+    costs = path_columns(spark.read.schema(schema).option("multiLine", True).json("/".join([root, *["*"] * len(names), "cost_metrics.json"])), list(names)).drop("split")
     if not with_meta:
         return costs
-    meta = spark.read.schema("train_groups long, train_segments long").option("multiLine", True).json("/".join([root, *["*"] * len(names), "run_meta.json"]))
+    meta = spark.read.schema(", ".join(f"{c} long" for c in META_COUNTS)).option("multiLine", True).json("/".join([root, *["*"] * len(names), "run_meta.json"]))
     return costs.join(path_columns(meta, list(names)).drop("split"), list(names), "left")
 
 
-def confusion_cells(spark: SparkSession, root: str, labels: list[str], names: list[str] = ("method", "seed")) -> DataFrame:
-    """Wide confusion files as cells (names..., split, true_label, pred_label, n)."""
+def confusion_cells(spark: SparkSession, root: str, labels: list[str], names: list[str] = ("method", "seed"), expected: DataFrame | None = None) -> DataFrame:
+    """Wide confusion files as cells (names..., split, true_label, pred_label, n).
+
+    ``expected(names..., split)`` lists the files there must be; one that is
+    missing is an error.
+    """
     schema = ", ".join(["true_label string", *(f"`{c}` long" for c in labels)])
     rows = path_columns(spark.read.schema(schema).option("header", True).csv("/".join([root, *["*"] * len(names), "*_confusion_matrix.csv"])), list(names))
+    if expected is not None:
+        keys = [*names, "split"]
+        require_files(expected.join(rows.select(*keys).distinct(), keys, "left_anti").select(F.concat_ws("/", *keys).alias("path")))
     return rows.unpivot([*names, "split", "true_label"], list(labels), "pred_label", "n")
 
 

@@ -103,12 +103,12 @@ def test_evaluation(spark, tmp_path):
                 (run / name).write_text(json.dumps({"accuracy": base + s / 100, "macro_f1": base, "num_samples": 10 + s, "model": "k"}, indent=1))
                 file = "val_per_class_metrics_best.csv" if split == "val" else f"{split}_per_class_metrics.csv"
                 (run / file).write_text("label_id,label,precision,recall,f1,support\n0,a,0.5,0.5,0.5,10\n")
-            (run / "cost_metrics.json").write_text(json.dumps({"total_params": 9, "trainable_params": 5 if m == "one" else 3, "total_method_time_sec": 2.0 + s, "peak_memory_available": False}))
+            (run / "cost_metrics.json").write_text(json.dumps({"total_params": 9, "trainable_params": 5 if m == "one" else 3, "total_method_time_sec": 2.0 + s, "memory_metric_available": False}))
     out = evaluation.rolled_up(spark, str(tmp_path / "runs"), ["one", "two"], costs=True)
     rows = {(r["method"], r["split"]): r for r in out["summary"].collect()}
     assert len(rows) == 6 and rows[("one", "val")]["accuracy_mean"] == pytest.approx(0.51) and rows[("one", "val")]["num_samples_per_seed"] == 11
     assert out["classes"].count() == 6
-    assert {r["total_method_time_sec_mean"] for r in out["costs"].collect()} == {3.0} and {r["peak_memory_mb_mean"] for r in out["costs"].collect()} == {None}
+    assert {r["total_method_time_sec_mean"] for r in out["costs"].collect()} == {3.0} and {r["peak_device_memory_mb_mean"] for r in out["costs"].collect()} == {None}
     with pytest.raises(GateError):
         evaluation.rolled_up(spark, str(tmp_path / "runs"), ["one", "two", "three"])
     best = evaluation.selected(out["summary"].where("split = 'val'"), out["costs"].select("method", F.col("trainable_params_mean").alias("trainable_params")), ["one", "two"])
