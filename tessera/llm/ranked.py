@@ -42,8 +42,6 @@ from pyspark.sql import functions as F
 from .common import kept, lean, materialize, scope, table
 
 WORD, GAP = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[^0-9a-z\x80-\xff]")
-#: The same words for the engine, before lower-casing.
-PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD, TEXT_BLOCK, BLOCK, OPENED = 1_000_000, 1 << 20, 4 << 20, 64
 #: Fixed values of the score.
 IMPACT, TF, LENGTH, FLAT, WEIGHT = 1_000_000_000, 1000, 20, 50, 1000
@@ -111,8 +109,17 @@ def shard_of(ids: list, texts: list[np.ndarray], numbers: Numbers, n_docs: int,
 def build_index(docs: DataFrame, text: str = "text", shard_words: int = SHARD) -> Index:
     """The stored index of ``docs(doc_id, text)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = F.regexp_count("text", F.lit(PATTERN))
-    n_docs, n_words = rows.agg(F.count_if(n > 0), F.coalesce(F.sum(n.cast("long")), F.lit(0))).first()
+
+    def count(batches):
+        docs = words = 0
+        for batch in batches:
+            for text in batch.column(0):
+                n = sum(map(len, word_blocks(text.as_py())))
+                docs, words = docs + (n > 0), words + n
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([words], pa.int64())], ["docs", "words"])
+
+    totals = rows.select("text").mapInArrow(lean(count), "docs long, words long").agg(F.sum("docs"), F.sum("words")).first()
+    n_docs, n_words = (n or 0 for n in totals)
 
     def build(batches):
         numbers, ids, texts, size = Numbers(), [], [], 0
