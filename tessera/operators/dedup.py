@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import containment, hamming_similarity
 from ..functions.text import numbered
 from ..session import settled
+from .numbering import numbers
 
 
 def exact_duplicates(df: DataFrame, digest: str, order: list[str], same: list[str], record: str = "record_id") -> DataFrame:
@@ -78,7 +79,7 @@ def group_numbers(df: DataFrame, family: list[str], keys: list[str], prefix: Col
     Only distinct groups are numbered; rows get theirs by a join.
     """
     columns = [*family, *keys]
-    groups = df.select(*columns).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*family).orderBy(*keys))).withColumnsRenamed({c: f"_own_{c}" for c in columns})
+    groups = numbers(df.select(*columns).distinct(), family, keys, "_n").withColumnsRenamed({c: f"_own_{c}" for c in columns})
     same = [F.col(c).eqNullSafe(F.col(f"_own_{c}")) for c in columns]
     return df.join(groups, same, "left").select(*df.columns, "_n").withColumn(out, numbered(F.concat(prefix, F.lit("_G")), F.col("_n"), digits)).drop("_n")
 

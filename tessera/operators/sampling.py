@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import first_rows, numbers
+
 
 def hash_order(seed: Column, key: Column) -> Column:
     return F.sha2(F.concat_ws(":", seed.cast("string"), key.cast("string")), 256)
@@ -27,8 +29,8 @@ def quota_drops(df: DataFrame, family: str, over: Column, record: str, cap: floa
     """
     counts = df.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.count_if(over).alias("p"))
     goes = counts.select(family, surplus(F.col("n").cast("double"), F.col("p").cast("double"), cap).alias("k")).where("k > 0")
-    rank = F.row_number().over(Window.partitionBy(family).orderBy(hash_order(F.lit(seed), F.col(record)), record))
-    return df.where(over).join(goes, family).withColumn("_r", rank).where("_r <= k").select(family, record)
+    ranks = numbers(df.where(over).select(family, record), [family], [hash_order(F.lit(seed), F.col(record)), record], "_r")
+    return ranks.join(goes, family).where("_r <= k").select(family, record)
 
 
 def python_sample(df: DataFrame, family: str, record: str, order: list[str], seed: int, counts: DataFrame) -> DataFrame:
@@ -49,8 +51,8 @@ def python_sample(df: DataFrame, family: str, record: str, order: list[str], see
 def group_subset(df: DataFrame, label: str, group: str, ratio: float, seed: int) -> DataFrame:
     """(label, group, selection_rank): of every label's groups the first max(1, ceil(n * ratio)) by hash."""
     groups = df.select(label, group).distinct()
-    w = Window.partitionBy(label)
-    ranked = groups.withColumn("selection_rank", F.row_number().over(w.orderBy(hash_order(F.lit(seed), F.col(group)), group)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = numbers(groups, [label], [hash_order(F.lit(seed), F.col(group)), group], "selection_rank").withColumn("selection_rank", F.col("selection_rank") - 1)
+    ranked = ranked.join(ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), label)
     return ranked.where(F.col("selection_rank") < F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(ratio))))).drop("_n")
 
 
@@ -75,7 +77,7 @@ def weighted_draw(df: DataFrame, label: str, record: str, k: int, seed: int) ->
     Each draw, by hash, takes a label, all alike, then one of the label's rows,
     numbered by hash; only counts by label and drawn places are shuffled with it.
     """
-    rows = df.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.lit(seed), F.col(record)), record)) - 1)
+    rows = numbers(df, [label], [hash_order(F.lit(seed), F.col(record)), record], "_place").withColumn("_place", F.col("_place") - 1)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n_labels = counts.count()
     labels = counts.withColumn("_label", F.row_number().over(Window.orderBy(label)) - 1)  # one row a label
@@ -88,7 +90,7 @@ def weighted_draw(df: DataFrame, label: str, record: str, k: int, seed: int) ->
 
 def first_per(df: DataFrame, by: str, order: list[str], limits: DataFrame, limit: str = "limit") -> DataFrame:
     """The first rows of every group, as many as its limit says."""
-    return df.join(limits, by).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= F.col(limit)).drop("_n", limit)
+    return first_rows(df, by, order, limits, limit)
 
 
 def subset_statistics(df: DataFrame, by: list[str], group: str, record: str, segment: str, chosen: str) -> DataFrame:

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..operators import dedup, gates, qc, review, sampling, segments, split
 from ..operators.gates import GateError
+from ..operators.numbering import numbers
 from ..session import settled
 
 PREFIX = {"CCMusic": "ccm", "ChMusic": "chm", "External": "ext"}
@@ -216,10 +217,11 @@ def families(df: DataFrame, config: Config) -> DataFrame:
 
 def frozen(rows: DataFrame, config: Config) -> DataFrame:
     """Stable sample identifiers over all rows, gates, and the rows that stay."""
-    order = Window.partitionBy("source_dataset", "family_label").orderBy("source_subtype_dir", "recording_group_id", "file_name", "record_id")
+    order = ["source_subtype_dir", "recording_group_id", "file_name", "record_id"]
+    placed = numbers(rows.select("record_id", "source_dataset", "family_label", *order[:3]), ["source_dataset", "family_label"], order, "_n").select("record_id", "_n")
     prefix = F.coalesce(*(F.when(F.col("source_dataset") == k, v) for k, v in PREFIX.items()), F.lit("oth"))
     short = F.coalesce(*(F.when(F.col("family_label") == k, v) for k, v in config.families.items()), F.col("family_label"))
-    named = rows.withColumn("sample_id", text.numbered(F.concat(prefix, F.lit("_"), short, F.lit("_")), F.row_number().over(order), 4))
+    named = rows.join(placed, "record_id", "left").withColumn("sample_id", text.numbered(F.concat(prefix, F.lit("_"), short, F.lit("_")), F.col("_n"), 4)).drop("_n")
     all_ = families(rows, config)
     gates.require(gates.freeze_gates(named, all_, "family_label", "source_dataset", all_.where(F.col("family_label").isin(*config.accepted_external)), least=config.min_external), "freeze gates")
     return named.where("sample_status = 'keep'").orderBy("sample_id")

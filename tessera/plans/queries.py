@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, signal, text
-from ..operators import dedup, gates, joins, metrics, qc, registry, review, rollup, sampling, segments, split
+from ..operators import dedup, gates, joins, metrics, numbering, qc, registry, review, rollup, sampling, segments, split
 from ..session import settled
 from ..sources import runs
 
@@ -68,8 +68,8 @@ def scan_profile(spark, d):
 
 @query("SELECT doc_id, 'rec_' || source || '_' || printf('%06d', row_number() OVER (PARTITION BY source ORDER BY lang, doc_id)) AS record_id FROM documents")
 def assign_record_id(spark, d):
-    order = Window.partitionBy("source").orderBy("lang", "doc_id")
-    return read(spark, d, "documents").select("doc_id", text.numbered(F.concat(F.lit("rec_"), "source", F.lit("_")), F.row_number().over(order)).alias("record_id"))
+    rows = numbering.numbers(read(spark, d, "documents").select("doc_id", "source", "lang"), ["source"], ["lang", "doc_id"])
+    return rows.select("doc_id", text.numbered(F.concat(F.lit("rec_"), "source", F.lit("_")), F.col("n")).alias("record_id"))
 
 
 _TRIM = r"regexp_replace({}, '^[\s\x{{3000}}\x{{00A0}}]+|[\s\x{{3000}}\x{{00A0}}]+$', '', 'g')"
@@ -156,7 +156,7 @@ def format_cells(spark, d):
 @query("SELECT p_partkey, CAST(p_partkey % 13 AS VARCHAR) || '.' || CAST(p_partkey % 101 AS VARCHAR) || '.wav' AS file_name, row_number() OVER (ORDER BY p_partkey % 13, p_partkey % 101, p_partkey) AS place FROM part")
 def dotted_order(spark, d):
     part = read(spark, d, "part").select("p_partkey", F.concat((F.col("p_partkey") % 13).cast("string"), F.lit("."), (F.col("p_partkey") % 101).cast("string"), F.lit(".wav")).alias("file_name"))
-    return part.withColumn("place", F.row_number().over(Window.orderBy(text.dotted_key(F.col("file_name")), "p_partkey")))
+    return numbering.numbers(part, [], [text.dotted_key(F.col("file_name")), "p_partkey"], "place")
 
 
 # ---- duplicates and groups ------------------------------------------------------------------
@@ -362,8 +362,8 @@ def balance_monitors(spark, d):
 
 @query("SELECT doc_id, 'ext_' || lang || '_' || printf('%04d', row_number() OVER (PARTITION BY lang ORDER BY source, doc_id)) AS sample_id FROM documents")
 def freeze_ids(spark, d):
-    order = Window.partitionBy("lang").orderBy("source", "doc_id")
-    return read(spark, d, "documents").select("doc_id", text.numbered(F.concat(F.lit("ext_"), "lang", F.lit("_")), F.row_number().over(order), 4).alias("sample_id"))
+    rows = numbering.numbers(read(spark, d, "documents").select("doc_id", "lang", "source"), ["lang"], ["source", "doc_id"])
+    return rows.select("doc_id", text.numbered(F.concat(F.lit("ext_"), "lang", F.lit("_")), F.col("n"), 4).alias("sample_id"))
 
 
 _HASH_SPLIT = """s AS (SELECT lang, source, n, CASE WHEN share <= CAST(0.7 AS DOUBLE) THEN 'train' WHEN share <= CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE) THEN 'val' ELSE 'test' END AS split FROM
@@ -516,7 +516,8 @@ def orders_without_items(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, c.place FROM orders JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer WHERE c_acctbal > 5000) c ON o_custkey = c_custkey")
 def semi_ordered(spark, d):
-    listed = read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
+    rich = read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    listed = numbering.numbers(rich, [], [-F.col("c_acctbal"), "o_custkey"], "place").drop("c_acctbal")
     return joins.in_listed_order(read(spark, d, "orders").select("o_orderkey", "o_custkey"), listed, "o_custkey", "place")
 
 

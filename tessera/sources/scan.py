@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import class_id, dotted_key
+from ..operators.numbering import numbers
 
 COLUMNS = ["record_id", "source_dataset", "source_path", "file_name", "file_ext", "raw_dir_label", "scan_status", "mapped_family_label", "drop_reason"]
 
@@ -66,8 +67,8 @@ def scanned(frames: dict[str, DataFrame]) -> DataFrame:
     """All sources, each numbered in its order: ``<prefix>_000001``."""
     out = None
     for prefix, rows in frames.items():
-        order = F.row_number().over(Window.partitionBy("source_dataset").orderBy("raw_dir_label", dotted_key(F.col("file_name")) if prefix == "chm" else F.col("file_name"), "file_name"))
-        rows = rows.withColumn("record_id", F.format_string(f"{prefix}_%06d", order)).select(*COLUMNS)
+        order = ["raw_dir_label", dotted_key(F.col("file_name")) if prefix == "chm" else "file_name", "file_name"]
+        rows = numbers(rows, ["source_dataset"], order, "_n").withColumn("record_id", F.format_string(f"{prefix}_%06d", "_n")).select(*COLUMNS)
         out = rows if out is None else out.unionByName(rows)
     return out.orderBy("source_dataset", "raw_dir_label", "file_name")
 
