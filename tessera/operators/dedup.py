@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import containment, hamming_similarity
+from ..functions.arrays import hamming_similarity
 from ..functions.text import numbered
 from ..session import settled
+from . import similar
 from .numbering import numbers
 
 
@@ -101,17 +102,20 @@ def fingerprint_candidates(df: DataFrame, family: str, subtype: str, fingerprint
     """Pairs of one family and different subtypes whose fingerprints agree.
 
     Skipped if one is less than ``ratio`` of the other; a hit by hamming
-    similarity over the common prefix, or else by sliding containment, which
-    only pairs that fail the first are asked for.
+    similarity over the common prefix, or else by sliding containment. Both are
+    joined on parts that such pairs must share (``similar``), never all with all
+    of a family; equal fingerprints are compared once. A threshold above 1 leaves containment out.
     """
-    a = df.select(F.col(family).alias("family"), F.col(subtype).alias("sa"), F.col(record).alias("a"), F.col(fingerprint).alias("fa"))
-    b = df.select(F.col(family).alias("family"), F.col(subtype).alias("sb"), F.col(record).alias("b"), F.col(fingerprint).alias("fb"))
-    sizes = F.least(F.size("fa"), F.size("fb")) / F.greatest(F.size("fa"), F.size("fb"))
-    pairs = a.join(b, "family").where((F.col("sa") < F.col("sb")) & (F.size("fa") > 0) & (F.size("fb") > 0) & (sizes >= ratio))
-    pairs = pairs.withColumn("hamming_sim", hamming_similarity(F.col("fa"), F.col("fb")))
-    near = pairs.where(F.col("hamming_sim") >= hamming).withColumn("containment_sim", F.lit(None).cast("double"))
-    rest = pairs.where(F.col("hamming_sim") < hamming).withColumn("containment_sim", containment("fa", "fb")).where(F.col("containment_sim") >= contained)
-    return near.unionByName(rest).select("family", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hamming_sim", "containment_sim")
+    near = similar.prefix_pairs(df, family, subtype, fingerprint, record, hamming, ratio).withColumnRenamed("sim", "hamming_sim").withColumn("containment_sim", F.lit(None).cast("double"))
+    if contained <= 1:
+        one, members = similar.classes(df, [family, subtype], fingerprint, record)
+        side = one.select(F.col(family).alias("group"), F.col(subtype).alias("tag"), "name", "words")
+        held = similar.contained_pairs(side.withColumnRenamed("name", "short"), side.withColumnRenamed("name", "long"), contained, ratio)
+        words = one.select("name", "words")
+        both = held.join(words.toDF("short", "a_words"), "short").join(words.toDF("long", "b_words"), "long").withColumn("hamming_sim", hamming_similarity(F.col("a_words"), F.col("b_words"))).where(F.col("hamming_sim") < hamming)
+        rest = both.join(members.toDF("short", "a"), "short").join(members.toDF("long", "b"), "long").select(F.col("group").alias("family"), "a", "b", "hamming_sim", F.col("sim").alias("containment_sim"))
+        near = near.unionByName(rest)
+    return near.select("family", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hamming_sim", "containment_sim")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

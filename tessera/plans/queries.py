@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, signal, text
-from ..operators import dedup, gates, joins, metrics, numbering, qc, registry, review, rollup, sampling, segments, split
+from ..operators import dedup, gates, joins, metrics, numbering, qc, registry, review, rollup, sampling, segments, similar, split
 from ..session import settled
 from ..sources import runs
 
@@ -216,14 +216,18 @@ def near_dup_thin(spark, d):
 
 
 def _fingerprints(spark, d) -> DataFrame:
-    return read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("family"), (F.col("vec_id") % 2).alias("subtype"), arrays.sign_bits(F.col("embedding"), 2, 32).alias("fp"))
+    """The signs of every vector as two words, and again with the last 0 to 12 signs of the first word turned, as by another take."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("family"), (F.col("vec_id") % 2).alias("subtype"), arrays.sign_bits(F.col("embedding"), 2, 32).alias("fp"))
+    turned = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("record_id") % 13).cast("int")) - 1
+    return rows.unionByName(rows.select((-F.col("record_id") - 1).alias("record_id"), "family", (F.col("subtype") + 2).alias("subtype"), F.array(F.col("fp")[0].bitwiseXOR(turned), F.col("fp")[1]).alias("fp")))
 
 
 _BITS = "list_reduce(list_transform(embedding[{a}:{b}], lambda x: CAST(x > 0 AS BIGINT)), lambda s, x: s * 2 + x, CAST(0 AS BIGINT))"
 
 
 @query(
-    f"""WITH f AS (SELECT vec_id, label, vec_id % 2 AS subtype, CAST({_BITS.format(a=1, b=32)} AS BIGINT) AS p, CAST({_BITS.format(a=33, b=64)} AS BIGINT) AS q FROM embeddings)
+    f"""WITH e AS (SELECT vec_id, label, vec_id % 2 AS subtype, CAST({_BITS.format(a=1, b=32)} AS BIGINT) AS p, CAST({_BITS.format(a=33, b=64)} AS BIGINT) AS q FROM embeddings),
+    f AS (SELECT * FROM e UNION ALL SELECT -vec_id - 1, label, subtype + 2, xor(p, (CAST(1 AS BIGINT) << CAST(vec_id % 13 AS INTEGER)) - 1), q FROM e)
     SELECT x.label AS family, least(x.vec_id, y.vec_id) AS a, greatest(x.vec_id, y.vec_id) AS b, round(1 - (bit_count(xor(x.p, y.p)) + bit_count(xor(x.q, y.q))) / 64, 6) AS hamming_sim FROM f x JOIN f y ON x.label = y.label AND x.subtype < y.subtype
     WHERE 1 - (bit_count(xor(x.p, y.p)) + bit_count(xor(x.q, y.q))) / 64 >= 0.85"""
 )
@@ -232,35 +236,32 @@ def hamming_pairs(spark, d):
     return found.select("family", "a", "b", six(F.col("hamming_sim")).alias("hamming_sim"))
 
 
-#: Word hashes with at most so many different bits are near; candidates need some near words in place.
-NEAR_BITS, HITS = 5, 3
-
-
-@query()
+@query(
+    r"""WITH crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+    ), d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+') AS w FROM documents
+    ), i AS (SELECT item_id, regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+') AS w FROM benchmark
+    ), v AS (SELECT DISTINCT unnest(w) AS t FROM (SELECT w FROM d UNION ALL SELECT w FROM i)
+    ), h AS (
+      SELECT t, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(t), 2), lambda k: CAST('0x' || substr(hex(encode(t)), CAST(k AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS x FROM v, crc
+    ), dw AS (SELECT doc_id, u.n AS pos, x FROM (SELECT doc_id, w, unnest(range(len(w))) AS n FROM d) u JOIN h ON h.t = u.w[u.n + 1]
+    ), iw AS (SELECT item_id, u.n AS pos, x FROM (SELECT item_id, w, unnest(range(len(w))) AS n FROM i) u JOIN h ON h.t = u.w[u.n + 1]
+    ), ds AS (SELECT doc_id, list(x ORDER BY pos) AS f FROM dw GROUP BY doc_id), es AS (SELECT item_id, list(x ORDER BY pos) AS f FROM iw GROUP BY item_id
+    ), near AS (SELECT a.x AS p, b.x AS q FROM (SELECT DISTINCT x FROM dw) a JOIN (SELECT DISTINCT x FROM iw) b ON bit_count(xor(a.x, b.x)) <= 3
+    ), c AS (SELECT DISTINCT doc_id, item_id, dw.pos - iw.pos AS o FROM dw JOIN near ON dw.x = p JOIN iw ON iw.x = q
+    ), s AS (
+      SELECT doc_id, item_id, CASE WHEN len(ds.f) >= len(es.f) THEN o ELSE -o END AS o, CASE WHEN len(ds.f) >= len(es.f) THEN ds.f ELSE es.f END AS l, CASE WHEN len(ds.f) >= len(es.f) THEN es.f ELSE ds.f END AS s FROM c JOIN ds USING (doc_id) JOIN es USING (item_id)
+    ), r AS (
+      SELECT doc_id, item_id, 1 - list_sum(list_transform(range(len(s)), lambda k: bit_count(xor(s[k + 1], l[k + 1 + o])))) / (32 * len(s)) AS sim FROM s WHERE o >= 0 AND o + len(s) <= len(l))
+    SELECT doc_id, item_id, round(max(sim), 6) AS containment_sim FROM r WHERE sim >= CAST(0.90 AS DOUBLE) GROUP BY doc_id, item_id"""
+)
 def containment_pairs(spark, d):
-    """Documents and benchmark items, as sequences of word hashes, one of which holds the other with at most a tenth of the bits different.
-
-    Of n words then at most 3.2 n bits differ, so at most 3.2 n / 6 words are
-    further than ``NEAR_BITS``: of that many words and ``HITS`` more, the rarest
-    of the item, ``HITS`` are near in place. Documents shorter than an item are
-    compared with it as they are.
-    """
-    words = lambda df, id_: df.select(id_, F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.crc32(w)).alias("fp"))
-    items = words(read(spark, d, "benchmark"), "item_id").withColumnRenamed("fp", "item").withColumn("n", F.size("item"))
-    docs = words(read(spark, d, "documents"), "doc_id").withColumn("m", F.size("fp"))
-    placed = docs.select("doc_id", "m", F.posexplode("fp").alias("pos", "w"))
-    known = settled(placed.groupBy("w").agg(F.count(F.lit(1)).alias("df")))
-    far = F.floor(F.floor(F.col("n") * 16 / 5) / (NEAR_BITS + 1))
-    item_words = items.select("item_id", "n", F.posexplode("item").alias("at", "iw")).join(known.withColumnRenamed("w", "iw"), "iw", "left")
-    ranked = item_words.withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "at")))
-    anchors = settled(ranked.withColumn("hits", F.least(F.lit(HITS), F.col("n") - far)).where(F.col("k") <= far + F.col("hits")).select("item_id", "n", "at", "iw", "hits"))
-    near = known.select("w").join(F.broadcast(anchors.select("iw").distinct()), F.bit_count(F.col("w").bitwiseXOR(F.col("iw"))) <= NEAR_BITS)
-    met = placed.join(near.join(anchors, "iw"), "w").withColumn("offset", F.col("pos") - F.col("at")).where("offset >= 0 and offset + n <= m")
-    met = met.groupBy("doc_id", "item_id", "offset").agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits")).where("found >= hits")
-    found = met.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", arrays.hamming_similarity(F.slice("fp", F.col("offset") + 1, F.col("n")), F.col("item")).alias("sim"))
-    short = docs.join(F.broadcast(items), F.col("m") < F.col("n")).select("doc_id", "item_id", arrays.containment("fp", "item").alias("sim"))
-    pairs = found.union(short).where("sim >= 0.90").groupBy("doc_id", "item_id").agg(F.max("sim").alias("sim"))
-    return pairs.select("doc_id", "item_id", six(F.col("sim")).alias("containment_sim"))
+    """Documents and benchmark items, as sequences of word hashes, one of which holds the other with at most a tenth of the bits different."""
+    words = lambda table, id_: read(spark, d, table).select(F.lit(0).alias("group"), F.lit(table).alias("tag"), id_, F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: F.crc32(w)).alias("words"))
+    items, docs = words("benchmark", "item_id"), words("documents", "doc_id")
+    inside = similar.contained_pairs(items.withColumnRenamed("item_id", "short"), docs.withColumnRenamed("doc_id", "long"), 0.90).select(F.col("long").alias("doc_id"), F.col("short").alias("item_id"), "sim")
+    around = similar.contained_pairs(docs.withColumnRenamed("doc_id", "short"), items.withColumnRenamed("item_id", "long"), 0.90).select(F.col("short").alias("doc_id"), F.col("long").alias("item_id"), "sim")
+    return inside.union(around).groupBy("doc_id", "item_id").agg(six(F.max("sim")).alias("containment_sim"))
 
 
 @query(
