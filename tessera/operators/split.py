@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 import random
 
 import pandas as pd
@@ -24,43 +27,92 @@ def placed_groups(names: list[str], sizes: list[int], targets=TARGETS) -> list[i
 
     A group goes where the largest deviation from the targets is least, the
     earlier split on ties, as long as enough groups are left for empty splits.
+    Only the split that takes a group changes its deviation, so a group costs a
+    few operations, however many there are.
     """
-    total, counts, out = sum(sizes), [0] * len(targets), []
+    total, splits = sum(sizes), range(len(targets))
+    counts, out = [0] * len(targets), []
+    off = [abs(0 / total - t) if total else 0.0 for t in targets]
     for i, size in enumerate(sizes):
-        left = len(sizes) - i - 1
-        choices = []
-        for s in range(len(targets)):
-            after = [c + size * (k == s) for k, c in enumerate(counts)]
-            if sum(c == 0 for c in after) <= left:
-                choices.append((max(abs(c / total - t) for c, t in zip(after, targets, strict=True)), s))
-        s = min(choices)[1] if choices else counts.index(min(counts))
+        left, empty = len(sizes) - i - 1, counts.count(0)
+        best = None
+        for s in splits:
+            if empty - (counts[s] == 0 and size != 0) > left:
+                continue
+            now = abs((counts[s] + size) / total - targets[s]) if total else 0.0
+            worst = max(now, *(off[k] for k in splits if k != s))
+            if best is None or worst < best[0]:
+                best = worst, s, now
+        if best is None:
+            s = counts.index(min(counts))
+            best = None, s, abs((counts[s] + size) / total - targets[s]) if total else 0.0
+        _, s, off[s] = best
         counts[s] += size
         out.append(s)
     return out
 
 
 def repaired(sizes: list[int], where: list[int], targets=TARGETS, enough: float = 0.01) -> list[int]:
-    """Single moves that lower the largest deviation most, until none does; no split is emptied."""
-    where = list(where)
-    counts = [sum(z for z, w in zip(sizes, where, strict=True) if w == s) for s in range(len(targets))]
+    """Single moves that lower the largest deviation most, until none does; no split is emptied.
+
+    What a move gives depends on the two splits and the size only, so groups are
+    a sorted multiset by (split, size). As the size grows, both splits come
+    nearer to their targets and then leave them, so the best size between two
+    splits is found by bisection, with all sizes that are as good because a third split
+    is worse. Of the best moves that of the first group is made, to the earlier
+    split on ties. A move costs a few bisections, however many groups there are.
+    """
+    where, splits = list(where), range(len(targets))
+    counts, held = [0] * len(targets), [{} for _ in splits]  # by split and size: a heap of the groups' places
+    for i, (size, s) in enumerate(zip(sizes, where, strict=True)):
+        counts[s] += size
+        held[s].setdefault(size, []).append(i)
     if deviation(counts, targets) <= enough:
         return where
+    total, distinct = sum(counts), [sorted(h) for h in held]
+    firsts = [[h[z][0] for z in d] for h, d in zip(held, distinct, strict=True)]  # beside the sizes
+
+    def best_between(old: int, new: int):
+        """(deviation, first group, size) of the best move of a group of ``old`` to ``new``; no move if it would be emptied."""
+        own, end = distinct[old], bisect.bisect_left(distinct[old], counts[old])
+        if not end:
+            return None
+        others = max((abs(counts[k] / total - targets[k]) for k in splits if k not in (old, new)), default=0.0)
+
+        def worst(at: int) -> float:
+            return max(abs((counts[old] - own[at]) / total - targets[old]), abs((counts[new] + own[at]) / total - targets[new]))
+
+        low = bisect.bisect_left(range(end - 1), True, key=lambda at: worst(at) <= worst(at + 1))
+        least = max(worst(low), others)
+        first = bisect.bisect_left(range(low), True, key=lambda at: worst(at) <= least)
+        last = low + bisect.bisect_left(range(low, end), True, key=lambda at: worst(at) > least)
+        group = min(firsts[old][first:last])
+        return least, group, own[firsts[old].index(group, first, last)]
+
     while True:
         now, best = deviation(counts, targets), None
-        for i, (size, old) in enumerate(zip(sizes, where, strict=True)):
-            if counts[old] - size <= 0:
-                continue
-            for new in range(len(targets)):
-                if new != old:
-                    after = list(counts)
-                    after[old] -= size
-                    after[new] += size
-                    d = deviation(after, targets)
-                    if d < now - 1e-12 and (best is None or d < best[0]):
-                        best = (d, i, new, after)
+        for old in splits:
+            for new in splits:
+                if old != new and (found := best_between(old, new)) and found[0] < now - 1e-12:
+                    least, group, size = found
+                    best = min(best or (math.inf,), (least, group, new, old, size))
         if best is None:
             return where
-        _, i, where[i], counts = best
+        _, group, new, old, size = best
+        at = bisect.bisect_left(distinct[old], size)
+        heapq.heappop(held[old][size])
+        if held[old][size]:
+            firsts[old][at] = held[old][size][0]
+        else:
+            del held[old][size], distinct[old][at], firsts[old][at]
+        at = bisect.bisect_left(distinct[new], size)
+        if size not in held[new]:
+            held[new][size] = []
+            distinct[new].insert(at, size)
+            firsts[new].insert(at, group)
+        heapq.heappush(held[new][size], group)
+        firsts[new][at] = held[new][size][0]
+        counts[old], counts[new], where[group] = counts[old] - size, counts[new] + size, new
 
 
 def group_split(df: DataFrame, family: str, group: str, seed: int, targets=TARGETS, compatible: bool = False) -> DataFrame:
