@@ -86,6 +86,11 @@ class Fragments(Remembered):
         self.letters = byte_letters()
         self.tokens = token_bytes(tokenizer)
         self.cut = certain_cuts(self.tokens.values())
+        #: The tokens' bytes end to end, and by id where they begin and how many they are.
+        self.laid = np.frombuffer(b"".join(self.tokens.values()), np.uint8)
+        self.places, at = np.zeros((max(self.tokens, default=0) + 1, 2), np.int64), 0
+        for i, token in self.tokens.items():
+            self.places[i], at = (at, len(token)), at + len(token)
         shape = tokenizer.pre_tokenizer
         if tokenizer.normalizer is not None or type(shape).__name__ != "ByteLevel" or shape.add_prefix_space:
             raise ValueError("certain cuts are known for byte-level tokenizers without a normaliser or a prefix")
@@ -119,8 +124,14 @@ class Fragments(Remembered):
             out.append(self[data[start:]])
         return b"".join(out)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The bytes of the tokens, laid end to end a stretch of ids at a time."""
+        out = []
+        for low in range(0, len(ids), BLOCK >> 2):
+            first, size = self.places[ids[low : low + (BLOCK >> 2)]].T
+            ends = np.cumsum(size)
+            out.append(self.laid[np.arange(ends[-1]) + np.repeat(first - ends + size, size)].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 #: A worker keeps the tokenizer of its last task and what it remembers.
@@ -186,7 +197,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", into: str = "de
     """``encoded`` with the text of its ids, special tokens as they are written."""
 
     def convert(own, value):
-        out = own.decode(value.values.to_pylist()) if value.is_valid else ""
+        out = own.decode(value.values.to_numpy()) if value.is_valid else ""
         return out, len(out)
 
     return changed(encoded, tokenizer, ids, T.StructField(into, T.StringType()), pa.string(), True, convert)
