@@ -376,7 +376,30 @@ def hash_split(spark, d):
     return split.hash_split(read(spark, d, "documents"), "lang", "source", 7)
 
 
-@query()
+_AFTER = "list_transform([1, 2, 3], lambda k: counts[k] + CASE WHEN k = s THEN size ELSE 0 END)"
+_MOVED = "list_transform([1, 2, 3], lambda k: counts[k] + CASE WHEN k = w THEN sizes[i] WHEN k = place[i] THEN -sizes[i] ELSE 0 END)"
+_OFF = "list_max(list_transform([1, 2, 3], lambda j: abs({}[j] / total - targets[j])))"
+
+
+@query(
+    f"""WITH RECURSIVE g AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source
+    ), o AS (SELECT lang, list(source ORDER BY sha256('7:' || source), source) AS names, list(n ORDER BY sha256('7:' || source), source) AS sizes, CAST(sum(n) AS BIGINT) AS total, [CAST(0.70 AS DOUBLE), CAST(0.15 AS DOUBLE), CAST(0.15 AS DOUBLE)] AS targets FROM g GROUP BY lang
+    ), p AS (
+      SELECT lang, sizes, total, targets, 0 AS i, [CAST(0 AS BIGINT), 0, 0] AS counts, CAST([] AS INTEGER[]) AS place FROM o
+      UNION ALL
+      SELECT lang, sizes, total, targets, i + 1, list_transform([1, 2, 3], lambda k: counts[k] + CASE WHEN k = best.s THEN sizes[i + 1] ELSE 0 END), list_append(place, CAST(best.s AS INTEGER)) FROM (
+        SELECT *, list_min(list_transform(list_filter([1, 2, 3], lambda s: len(list_filter({_AFTER.replace('size', 'sizes[i + 1]')}, lambda c: c = 0)) <= len(sizes) - i - 1),
+          lambda s: {{'d': {_OFF.format(_AFTER.replace('size', 'sizes[i + 1]'))}, 's': s}})) AS best FROM p WHERE i < len(sizes))
+    ), r AS (
+      SELECT lang, sizes, total, targets, counts, place, 0 AS step, {_OFF.format('counts')} AS d FROM p WHERE i = len(sizes)
+      UNION ALL
+      SELECT lang, sizes, total, targets, list_transform([1, 2, 3], lambda k: counts[k] + CASE WHEN k = best.w THEN sizes[best.i] WHEN k = place[best.i] THEN -sizes[best.i] ELSE 0 END),
+        list_transform(range(1, len(place) + 1), lambda k: CASE WHEN k = best.i THEN CAST(best.w AS INTEGER) ELSE place[k] END), step + 1, best.d FROM (
+        SELECT *, list_min(list_filter(flatten(list_transform(list_filter(range(1, len(sizes) + 1), lambda i: counts[place[i]] > sizes[i]), lambda i: list_transform(list_filter([1, 2, 3], lambda w: w <> place[i]),
+          lambda w: {{'d': {_OFF.format(_MOVED)}, 'i': i, 'w': w}}))), lambda m: m.d < d - CAST(1e-12 AS DOUBLE))) AS best FROM r WHERE step > 0 OR d > CAST(0.01 AS DOUBLE)) WHERE best IS NOT NULL
+    ), f AS (SELECT lang, arg_max(place, step) AS place FROM r GROUP BY lang)
+    SELECT lang, names[k] AS source, sizes[k] AS n, ['train', 'val', 'test'][place[k]] AS split FROM f JOIN o USING (lang), unnest(range(1, len(sizes) + 1)) AS u(k)"""
+)
 def group_split(spark, d):
     return split.group_split(read(spark, d, "documents"), "lang", "source", 7)
 
