@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, signal, text
-from ..operators import dedup, gates, joins, metrics, numbering, qc, registry, review, rollup, sampling, segments, similar, split
+from ..operators import dedup, gates, joins, learning, metrics, numbering, qc, registry, review, rollup, sampling, segments, similar, split
 from ..session import settled
 from ..sources import runs
 
@@ -436,6 +436,60 @@ def subset_statistics(spark, d):
     return sampling.subset_statistics(rows, ["lang"], "source", "doc_id", "doc_id", "chosen").select("lang", "full_groups", "subset_groups", "full_records", "subset_records", "groups_ratio", "records_ratio")
 
 
+# ---- models over vectors ---------------------------------------------------------------------
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(avg(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)), 6) AS moment FROM embeddings, unnest(range(64)) AS u(i), unnest(range(64)) AS w(j) WHERE len(embedding) = 64 AND i <= j GROUP BY i, j")
+def second_moments(spark, d):
+    m = learning.moments(read(spark, d, "embeddings"), "embedding").second
+    cells = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(i, len(m))]  # by dimensions, not by rows
+    return spark.createDataFrame(cells, "i int, j int, moment double").select("i", "j", six(F.col("moment")).alias("moment"))
+
+
+def _unit(spark, d) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", "label", arrays.l2_normalized(F.col("embedding")).alias("x"))
+
+
+@query()
+def pca_projection(spark, d):
+    """Normalised vectors in two dimensions, the linear stand-in for a neighbour embedding."""
+    rows = _unit(spark, d)
+    return learning.projected(rows, "x", learning.principal_components(rows, "x"), ["x0", "x1"]).select("vec_id", "label", six(F.col("x0")).alias("x0"), six(F.col("x1")).alias("x1"))
+
+
+def _parts(spark, d) -> DataFrame:
+    """Vectors with a part by number: six in ten to learn from, two to choose by, two to test."""
+    part = F.col("vec_id") % 10
+    return read(spark, d, "embeddings").select("vec_id", "label", "embedding", F.when(part < 6, "train").when(part < 8, "val").otherwise("test").alias("split"))
+
+
+def _classified(spark, d, **how) -> DataFrame:
+    rows = _parts(spark, d)
+    labels = sorted(r["label"] for r in rows.select("label").distinct().where("label is not null").limit(1000).collect())
+    seen = rows.where("split <> 'test'").withColumn("validation", F.col("split") == "val")
+    features = learning.kernel_features(seen.where("not validation"), "embedding") if how.get("loss") == "squared_hinge" else None
+    head = learning.train_head(seen, "embedding", "label", "validation", labels, features=features, **how)
+    return learning.predictions(rows, "embedding", head).select("vec_id", "split", "label", "pred_label", F.round("top1_score", 6).alias("top1_score"))
+
+
+@query()
+def linear_head(spark, d):
+    """Predictions of a linear head that gradients summed over the tasks have trained."""
+    return _classified(spark, d, lr=0.05, epochs=30, patience=8)
+
+
+@query()
+def kernel_head(spark, d):
+    """Predictions of a margin classifier over random features of a kernel: another model than an exact kernel machine, for the same use."""
+    return _classified(spark, d, loss="squared_hinge", lr=0.05, weight_decay=0.001, epochs=30, patience=8)
+
+
+@query()
+def head_metrics(spark, d):
+    """The linear head's predictions of the test part through the evaluation's metrics."""
+    return metrics.macro(metrics.confusion(linear_head(spark, d).where("split = 'test'"), "label", "pred_label"))
+
+
 @query("SELECT label, count(*) AS n, round(1 / count(*), 9) AS weight FROM embeddings GROUP BY label")
 def class_weights(spark, d):
     return sampling.class_weights(read(spark, d, "embeddings"), "label").select("label", "n", F.round("weight", 9).alias("weight"))
