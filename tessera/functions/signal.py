@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -110,30 +112,100 @@ def extracted(samples: Column, rate: Column, start: Column, stop: Column) -> Col
     return F.slice(samples, first + 1, F.greatest(F.lit(0), F.least(F.round(stop * rate).cast("int"), F.size(samples)) - first))
 
 
-def at_rate(samples: np.ndarray, rate: int, target: int, zeros: int = 64, beta: float = 14.0) -> np.ndarray:
-    """A waveform at another rate, by a Kaiser-windowed sinc whose band ends at the lower rate's half.
+#: Zero crossings of the resampling filter on each side, its window's shape, and the most numbers that a bank of filters holds.
+ZEROS, BETA, BANK = 64, 14.0, 1 << 22
+
+
+def filter_at(t: np.ndarray, half: int, scale: float) -> np.ndarray:
+    """The Kaiser-windowed sinc at distances ``t`` in samples, its band ``scale`` of the input's."""
+    window = np.i0(BETA * np.sqrt(np.maximum(0, 1 - (t / half) ** 2))) / np.i0(BETA)
+    return np.sinc(t * scale) * window * scale
+
 
-    Without a resampling library this is the engine's own; results differ from
-    such a library's by rounding and at the ends.
+def at_rate(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """A waveform at another rate, by a windowed sinc whose band ends at the lower rate's half.
+
+    Output samples lie between input samples in as many ways as the target rate
+    has over the rates' common divisor. Each way is a phase with one filter, made
+    once, and its outputs are a fixed number of input samples apart. Rates with
+    so many phases that their filters would not fit ``BANK`` are interpolated sample
+    by sample. Without a resampling library this is the engine's own; results
+    differ from such a library's by rounding and at the ends.
     """
     x = np.asarray(samples, np.float64)
     if rate == target or not len(x):
         return x.astype(np.float32)
     scale = min(1.0, target / rate)
-    half = int(np.ceil(zeros / scale))
+    half = int(np.ceil(ZEROS / scale))
+    common = math.gcd(rate, target)
+    phases, step = target // common, rate // common
+    if phases * 2 * half > BANK:
+        return between(x, rate, target, half, scale)
+    n = -(-len(x) * target // rate)
+    out, taps = np.empty(n), np.arange(-half + 1, half + 1)
+    padded = np.concatenate([np.zeros(half - 1), x, np.zeros(half + 1)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half)
+    first, part = np.divmod(np.arange(phases) * step, phases)
+    bank = filter_at((part / phases)[:, None] - taps, half, scale)
+    for p in range(min(phases, n)):
+        own = windows[first[p] :: step]
+        for at in range(0, len(range(p, n, phases)), 4096):  # some MB at once
+            piece = out[p + at * phases : p + (at + 4096) * phases : phases]
+            piece[:] = own[at : at + len(piece)] @ bank[p]
+    return out.astype(np.float32)
+
+
+def between(x: np.ndarray, rate: int, target: int, half: int, scale: float) -> np.ndarray:
+    """As ``at_rate``, with a filter made for every output sample."""
     n = -(-len(x) * target // rate)
-    out = np.empty(n)
+    out, taps = np.empty(n), np.arange(-half + 1, half + 1)
     padded = np.concatenate([np.zeros(half), x, np.zeros(half + 1)])
-    taps = np.arange(-half + 1, half + 1)
-    for at in range(0, n, 4096):  # some MB at once
+    for at in range(0, n, 4096):
         place = np.arange(at, min(n, at + 4096)) * (rate / target)
         base = np.floor(place).astype(np.int64)
-        t = (place - base)[:, None] - taps
-        window = np.i0(beta * np.sqrt(np.maximum(0, 1 - (t / half) ** 2))) / np.i0(beta)
-        out[at : at + 4096] = (padded[base[:, None] + half + taps] * np.sinc(t * scale) * window).sum(1) * scale
+        out[at : at + 4096] = (padded[base[:, None] + half + taps] * filter_at((place - base)[:, None] - taps, half, scale)).sum(1)
     return out.astype(np.float32)
 
 
+#: A fingerprint's rate, window and hop, its lowest band in Hz, and the bands, twelve to an octave; a word has a bit for each two neighbours.
+PRINT_RATE, PRINT_WINDOW, PRINT_HOP, PRINT_LOW, PRINT_BANDS = 11025, 4096, 512, 220.0, 33
+
+
+def spectral_words(samples: np.ndarray, rate: int, seconds: float = 120.0) -> np.ndarray:
+    """The fingerprint of the first seconds of a waveform: a word of 32 bits for each hop.
+
+    Energies in bands of a semitone are compared with their upper neighbour and
+    with the frame before; the sign of the difference of differences is a bit.
+    Neither level nor rate moves the signs of bands with sound in them. A
+    waveform shorter than two windows' hops has no words.
+    """
+    x = at_rate(np.asarray(samples, np.float64)[: int(seconds * rate)], rate, PRINT_RATE).astype(np.float64)
+    if len(x) < PRINT_WINDOW + PRINT_HOP:
+        return np.zeros(0, np.int64)
+    edges = np.round(PRINT_LOW * 2 ** (np.arange(PRINT_BANDS + 1) / 12) * PRINT_WINDOW / PRINT_RATE).astype(int)
+    shape, words, last = np.hanning(PRINT_WINDOW + 1)[:-1], [], None
+    frames = np.lib.stride_tricks.sliding_window_view(x, PRINT_WINDOW)[::PRINT_HOP]
+    for at in range(0, len(frames), 256):  # some MB at once
+        power = np.abs(np.fft.rfft(frames[at : at + 256] * shape, axis=1)) ** 2
+        bands = np.add.reduceat(power[:, : edges[-1]], edges[:-1], axis=1)
+        steps = np.diff(np.log(bands + 1e-12 * max(power.max(), 1e-30)), axis=1)
+        if last is not None:
+            steps = np.concatenate([last, steps])
+        words.append((np.diff(steps, axis=0) > 0) @ (1 << np.arange(PRINT_BANDS - 1, dtype=np.int64)))
+        last = steps[-1:]
+    return np.concatenate(words)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def fingerprint(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """Words of 32 bits for ``dedup.fingerprint_candidates``.
+
+    The engine's own fingerprint, not that of an external program: its words can
+    only be compared with each other. Any column of such words can stand in its place.
+    """
+    return pd.Series([spectral_words(s, int(r)) if s is not None and r is not None and len(s) else np.zeros(0, np.int64) for s, r in zip(samples, rate, strict=True)])
+
+
 def resampled(samples: Column, rate: Column, target: int) -> Column:
     """Waveforms at the rate ``target``; resample a record once, then join it to its seeds."""
 
