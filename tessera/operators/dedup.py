@@ -30,16 +30,31 @@ def exact_duplicates(df: DataFrame, digest: str, order: list[str], same: list[st
     return out.select(*df.columns, "duplicate_of")
 
 
+def mixed_digests(df: DataFrame, digest: str, differ: list[str]) -> DataFrame:
+    """The digests whose rows differ on one of ``differ``, nulls included."""
+    mixed = F.lit(False)
+    for c in differ:
+        mixed |= ~F.col(f"_lo_{c}").eqNullSafe(F.col(f"_hi_{c}")) | (F.col(f"_n_{c}") > 0) & (F.col(f"_n_{c}") < F.col("_n"))
+    ends = [f(c).alias(f"_{n}_{c}") for c in differ for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    return df.groupBy(digest).agg(F.count(F.lit(1)).alias("_n"), *ends).where(mixed).select(digest)
+
+
+def cross_members(df: DataFrame, digest: str, differ: list[str], record: str = "record_id") -> DataFrame:
+    """(record, representative, digest) of all rows in groups that differ on one of ``differ``: the least record stands for its group.
+
+    A row a record, however large a group is; every pair of members is a pair of equal contents.
+    """
+    rows = df.select(record, digest).join(mixed_digests(df, digest, differ), digest, "left_semi")
+    return rows.join(rows.groupBy(digest).agg(F.min(record).alias("representative")), digest).select(record, "representative", digest)
+
+
 def cross_pairs(df: DataFrame, digest: str, differ: list[str], record: str = "record_id") -> DataFrame:
     """All pairs (a < b) of equal digests in groups whose rows differ on one of ``differ``.
 
-    Every pair needs a decision of its own, so the pairs are the result.
+    Reviewers decide every pair by itself, so the pairs are the result; for
+    anything else ``cross_members`` says the same in a row a record.
     """
-    mixed = F.lit(False)
-    for c in differ:
-        mixed |= ~F.col(f"_lo_{c}").eqNullSafe(F.col(f"_hi_{c}"))
-    groups = df.groupBy(digest).agg(*(F.min(c).alias(f"_lo_{c}") for c in differ), *(F.max(c).alias(f"_hi_{c}") for c in differ)).where(mixed).select(digest)
-    rows = df.select(digest, F.col(record).alias("a")).join(groups, digest, "left_semi")
+    rows = df.select(digest, F.col(record).alias("a")).join(mixed_digests(df, digest, differ), digest, "left_semi")
     return rows.join(rows.withColumnRenamed("a", "b"), digest).where("a < b").select("a", "b", digest)
 
 
@@ -51,20 +66,19 @@ def resolved_clusters(members: DataFrame, votes: DataFrame) -> DataFrame:
     votes, or one that is also rejected, are problems; without a vote the sole
     member that is not rejected wins, and none or several are a problem.
     """
-    held = members.join(votes, "record_id", "left").groupBy("cluster").agg(
-        F.collect_set(F.when(F.col("vote") == "canonical", F.col("record_id"))).alias("voted"),
-        F.collect_set(F.when(F.col("vote") == "rejected", F.col("record_id"))).alias("rejected"),
-        F.collect_set("record_id").alias("all"),
-    )
-    left = F.array_except("all", "rejected")
+    own = members.join(votes, "record_id", "left").groupBy("cluster", "record_id").agg(*(F.coalesce(F.bool_or(F.col("vote") == v), F.lit(False)).alias(v) for v in ("canonical", "rejected")))
+    left = ~F.col("rejected")
+    held = own.groupBy("cluster").agg(
+        F.count_if("canonical").alias("n_voted"), F.count_if(left).alias("n_left"), F.count_if(F.col("canonical") & F.col("rejected")).alias("n_both"),
+        F.min(F.when(F.col("canonical"), F.col("record_id"))).alias("voted"), F.min(F.when(left, F.col("record_id"))).alias("survivor"),
+    )
     problem = (
-        F.when(F.size("voted") > 1, "several_canonical")
-        .when(F.arrays_overlap("voted", "rejected"), "canonical_rejected")
-        .when((F.size("voted") == 0) & (F.size(left) == 0), "no_survivor")
-        .when((F.size("voted") == 0) & (F.size(left) > 1), "several_survivors")
+        F.when(F.col("n_voted") > 1, "several_canonical")
+        .when(F.col("n_both") > 0, "canonical_rejected")
+        .when((F.col("n_voted") == 0) & (F.col("n_left") == 0), "no_survivor")
+        .when((F.col("n_voted") == 0) & (F.col("n_left") > 1), "several_survivors")
     )
-    winner = F.when(F.size("voted") == 1, F.element_at("voted", 1)).otherwise(F.element_at(left, 1))
-    return held.select("cluster", problem.alias("problem"), F.when(F.size(left) + F.size("voted") > 0, winner).alias("winner")).select("cluster", F.when(F.col("problem").isNull(), F.col("winner")).alias("winner"), "problem")
+    return held.select("cluster", F.when(problem.isNull(), F.coalesce("voted", "survivor")).alias("winner"), problem.alias("problem"))
 
 
 def variant_groups(df: DataFrame, within: list[str], name: str, bare: str) -> DataFrame:
