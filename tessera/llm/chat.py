@@ -5,7 +5,11 @@ tokens choose the spans: the system turn and the repeated history take their
 share of ``budget`` off, half of the rest is the stride, and a turn belongs to
 the window its prefix sum falls into. So a window of turns no longer than a
 stride keeps within the budget; a longer turn is never cut, and the window that
-it ends may exceed the budget by it. Every window begins with the leading system
+it ends may exceed the budget by it. A system turn is never cut either: the
+stride is an eighth of the budget at least, so after a system turn that leaves
+less than two of them (and history) a window holds up to an eighth of turns beyond it, and the budget
+bounds what a window has besides its system turn. What is written then grows with
+system turn x turns / stride, not with system turn x turns. Every window begins with the leading system
 turn, if there is one, and repeats up to ``history`` turns before it (of at most
 ``history_tokens`` together). The loss covers assistant turns; repeated ones are
 masked, so each is a target once.
@@ -35,6 +39,8 @@ START, TEXT, END = "<|start|>", "<|text|>", "<|end|>"
 #: Strings that chat templates give a meaning to.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 CHUNK = 512
+#: A window packs at least this share of the budget with turns of its own.
+FLOOR = 8
 
 
 def escape(text: Column) -> Column:
@@ -78,7 +84,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_toke
         "conv_id", "key", "role", "text", "n", "has_system",
         (F.col("i") + F.col("turns_before")).alias("i"),
         (F.col("upto") - F.col("n") + F.col("sum_before") - F.col("system_n")).alias("at"),
-        F.greatest(F.lit(1), F.floor((budget - F.col("system_n") - history_tokens) / 2)).alias("stride"),
+        F.greatest(F.lit(max(1, budget // FLOOR)), F.floor((budget - F.col("system_n") - history_tokens) / 2)).alias("stride"),
     )
     leads = F.col("has_system") & (F.col("i") == 1)
     placed = materialize(placed.withColumn("w", F.when(leads, 0).otherwise(F.floor(F.col("at") / F.col("stride")))), "placed")
@@ -88,8 +94,10 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_toke
     part = lambda df, kind: df.select("key", "w", F.struct(F.lit(kind).alias("kind"), F.col("i").cast("long").alias("i"), "role", "text").alias("t"))
     system = lifted.where("has_system").groupBy("key").agg(F.min("system").alias("text"))
     again = opened.where("has_system and w > 0").join(system, "key").withColumn("i", F.lit(1)).withColumn("role", F.lit("system"))
-    near = placed.where(~leads).select("key", "i", "at", "role", "text", F.explode(F.sequence(F.lit(1), F.lit(max(1, history)))).alias("step")).withColumn("open_i", F.col("i") + F.col("step"))
+    # Places are joined first; texts follow only for the few turns that are repeated.
+    near = placed.where(~leads).select("key", "i", "at", F.explode(F.sequence(F.lit(1), F.lit(max(1, history)))).alias("step")).withColumn("open_i", F.col("i") + F.col("step"))
     near = near.join(opened.where("w > 0").select("key", "w", "open_i", "open_at"), ["key", "open_i"]).where((F.col("open_at") - F.col("at") <= history_tokens) & F.lit(history > 0))
+    near = near.select("key", "i", "w").join(placed.select("key", "i", "role", "text"), ["key", "i"])
     parts = part(again, 0).union(part(near, 1)).union(part(placed, 2))
 
     gathered = parts.groupBy("key", "w").agg(F.array_sort(F.collect_list("t")).alias("t"))
@@ -153,7 +161,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 a AS (SELECT *, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) + 4 AS n, length({role}) + length({text}) + {len(START + TEXT + END)} AS size,
   row_number() OVER o AS i, first_value(role) OVER o = 'system' AS led FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 b AS (SELECT *, CASE WHEN led THEN first_value(n) OVER o ELSE 0 END AS sys_n, first_value(size) OVER o AS sys_size, sum(n) OVER o - n - CASE WHEN led THEN first_value(n) OVER o ELSE 0 END AS pre FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
-c AS (SELECT *, CASE WHEN led AND i = 1 THEN 0 ELSE CAST(floor(pre / greatest(1, floor((1024 - sys_n - 256) / 2.0))) AS BIGINT) END AS w FROM b),
+c AS (SELECT *, CASE WHEN led AND i = 1 THEN 0 ELSE CAST(floor(pre / greatest(128, floor((1024 - sys_n - 256) / 2.0))) AS BIGINT) END AS w FROM b),
 w AS (SELECT conv_id, w, min(i) AS i, min(pre) AS pre, min(sys_size) AS sys_size, bool_or(led) AS led FROM c WHERE NOT (led AND i = 1) GROUP BY conv_id, w),
 h AS (SELECT w.conv_id, sum(c.size) AS size FROM w JOIN c ON c.conv_id = w.conv_id AND c.i < w.i AND c.i >= w.i - 2 AND NOT (c.led AND c.i = 1) AND w.pre - c.pre <= 256 WHERE w.w > 0 GROUP BY w.conv_id),
 s AS (SELECT conv_id, sum(sys_size) AS size FROM w WHERE w > 0 AND led GROUP BY conv_id),

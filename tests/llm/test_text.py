@@ -204,3 +204,19 @@ def test_matches_by_place_and_proximity(spark):
     assert [tuple(r) for r in decontam.matches(docs, bench).collect()] == [(1, "7", "phrase", 1, 4)]
     near = {(r["doc_id"], r["kind"]) for r in decontam.matches(docs, bench, slop=1).collect()}
     assert near == {(1, "phrase"), (2, "proximity")}
+
+
+def test_chat_after_a_long_system_turn(spark):
+    """A system turn over the budget does not make a window of every turn."""
+    rows = [(1, 0, "system", "s" * 8000)] + [(1, t, "assistant" if t % 2 == 0 else "user", f"turn {t}") for t in range(1, 101)]
+    rows += [(2, 0, "system", "s" * 3000)] + [(2, t, "user", "u" * 60) for t in range(1, 60)]
+    shown = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {x["conv_id"]: (x["n_turns"], x["turns_sha256"], x["loss_chars"], x["loss_sha256"]) for x in chat.digests(chat.read_back(shown)).collect()}
+    assert got == brute_chat(rows)
+    size = lambda text: -(-len(text.encode()) // 4) + 4
+    total = {c: sum(size(t) for i, n, r, t in rows if i == c and n) for c in (1, 2)}
+    for x in shown.collect():
+        bodies = re.findall(r"<\|start\|>.*?<\|text\|>(.*?)<\|end\|>", x["formatted"], re.S)
+        assert bodies[0] == "s" * len(bodies[0]) and sum(map(size, bodies[1:])) <= 1024
+    for c in (1, 2):
+        assert shown.where(f"conv_id = {c}").count() <= total[c] / (1024 / chat.FLOOR) + 1
