@@ -10,7 +10,8 @@ shuffled and nothing is gathered by term, however common a word or passage is.
 
 Each test window is answered in every segment from its rarest term: that list,
 adjusted by the term's offset, is intersected with the others in ascending
-order of length. Windows with a term that the segment lacks end at once.
+order of length. Windows with a term that the segment lacks are left out by array
+operations over all windows, so only those that may occur are visited.
 Proximity matches let every term lie up to ``slop`` words off its place.
 
 Test items travel in blocks of at most ``BLOCK`` bytes of text; each block is
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from .common import Remembered, kept, lean, materialize, scope
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-WINDOW, SEGMENT, GAP, BLOCK = 13, 500_000, 256, 4 << 20
+WINDOW, SEGMENT, GAP, BLOCK, ROWS = 13, 500_000, 256, 4 << 20, 1 << 16
 
 
 class Terms(Remembered):
@@ -152,6 +153,15 @@ class Windows:
         self.items = [sorted(x) for x in seen.values()]
         self.terms = np.unique(np.array([t for w in seen for t in w], np.uint64))
         self.windows = [np.searchsorted(self.terms, np.array(w, np.uint64)) for w in seen]
+        #: The windows of each length as rows, and their numbers.
+        lengths = np.array([len(w) for w in self.windows], np.int64)
+        self.rows = [(own, np.stack([self.windows[n] for n in own])) for k in np.unique(lengths) for own in [np.flatnonzero(lengths == k)]]
+
+    def possible(self, sizes: np.ndarray):
+        """Numbers of the windows all of whose terms have postings, found by array operations over some rows at once."""
+        for own, rows in self.rows:
+            for low in range(0, len(own), ROWS):
+                yield from own[low : low + ROWS][(sizes[rows[low : low + ROWS]] > 0).all(axis=1)].tolist()
 
     def search(self, segment: Segment, slop: int = 0):
         """(window number, starts) of those that occur."""
@@ -159,12 +169,11 @@ class Windows:
             return
         first, last = segment.lists(self.terms)
         sizes = last - first
-        for n, w in enumerate(self.windows):
-            own = sizes[w]
-            if own.min() > 0:
-                found = segment.starts(w, first[w], last[w], np.argsort(own, kind="stable"), slop)
-                if len(found):
-                    yield n, found
+        for n in self.possible(sizes):
+            w = self.windows[n]
+            found = segment.starts(w, first[w], last[w], np.argsort(sizes[w], kind="stable"), slop)
+            if len(found):
+                yield n, found
 
 
 def blocks(benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK):
