@@ -15,6 +15,7 @@ from ..functions import arrays, signal, text
 from ..operators import dedup, gates, joins, learning, metrics, numbering, qc, registry, review, rollup, sampling, segments, similar, split
 from ..session import settled
 from ..sources import runs
+from . import analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -807,6 +808,64 @@ def json_props(spark, d):
     return events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.json_object_keys("props").alias("keys")).select("event_id", "k", F.size("keys").cast("long").alias("n_keys"))
 
 
+# ---- analysis tables -------------------------------------------------------------------------
+
+#: A line's method, the split of its status, and its return flag as the class.
+_CLASSES = "SELECT l_method AS method, CASE WHEN l_linestatus = 'F' THEN 'test' ELSE 'external_test' END AS split, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label_id, round(avg(l_tax), 6) AS f1_mean FROM lineitem GROUP BY ALL"
+
+
+@query(
+    f"""WITH c AS ({_CLASSES}), t AS (SELECT *, CASE WHEN method IN ('m0', 'm1') THEN 1 ELSE 2 END AS source_phase, CASE method WHEN 'm1' THEN 'one' WHEN 'm2' THEN 'two' WHEN 'm0' THEN 'zero' END AS method_short FROM c), p AS (SELECT *, CASE method_short WHEN 'two' THEN 0 WHEN 'zero' THEN 1 WHEN 'one' THEN 2 ELSE 99 END AS place FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY split, label_id ORDER BY f1_mean DESC, source_phase, place, method) AS rank FROM p)
+    SELECT method, split, label_id, f1_mean, source_phase, method_short, method = 'm3' AS is_best_phase2, method = 'm2' AS is_best_lora, rank AS rank_in_split_class_by_f1_mean, rank = 1 AS is_best_in_class FROM r"""
+)
+def class_table(spark, d):
+    """Classes of two phases' methods in one table, ranked within split and class."""
+    items = read(spark, d, "lineitem")
+    split_ = F.when(F.col("l_linestatus") == "F", "test").otherwise("external_test")
+    label = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    classes = items.groupBy(F.col("l_method").alias("method"), split_.alias("split"), label.alias("label_id")).agg(six(F.avg("l_tax")).alias("f1_mean"))
+    first, second = classes.where("method in ('m0', 'm1')"), classes.where("method not in ('m0', 'm1')")
+    return analysis.class_tables(first, second, {"m1": "one", "m2": "two", "m0": "zero"}, ["two", "zero", "one"], "m3", "m2")
+
+
+_CELLS = "SELECT l_method AS method, 's' || CAST(l_linenumber % 3 AS VARCHAR) AS seed, l_returnflag AS true_label, CASE l_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS pred_label, count(*) AS n FROM lineitem GROUP BY ALL"
+
+
+@query(
+    f"""WITH c AS ({_CELLS}), r AS (SELECT *, n / sum(n) OVER (PARTITION BY method, seed, true_label) AS rate FROM c)
+    SELECT method, true_label, pred_label, round(avg(n), 6) AS count_mean, round(stddev_samp(n), 6) AS count_std, round(avg(rate), 6) AS rate_mean, round(stddev_samp(rate), 6) AS rate_std, count(DISTINCT seed) AS n_seeds FROM r GROUP BY ALL"""
+)
+def confusion_table(spark, d):
+    """Confusion counts and row rates over seeds, as mean and deviation."""
+    pred = F.when(F.col("l_partkey") % 3 == 0, "A").when(F.col("l_partkey") % 3 == 1, "N").otherwise("R")
+    cells = read(spark, d, "lineitem").groupBy(F.col("l_method").alias("method"), F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("seed"), F.col("l_returnflag").alias("true_label"), pred.alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
+    out = analysis.confusion_tables(cells, ["method"])
+    return out.select("method", "true_label", "pred_label", *(six(F.col(c)).alias(c) for c in ("count_mean", "count_std", "rate_mean", "rate_std")), "n_seeds")
+
+
+@query(
+    """WITH k(ratio_name, ratio, step) AS (VALUES ('train25', CAST(0.25 AS DOUBLE), 0), ('train100', CAST(1 AS DOUBLE), 1000)), s(seed_name, seed) AS (VALUES ('seed0', 5), ('seed1', 11)),
+    g AS (SELECT ratio_name, seed_name, lang, source, row_number() OVER (PARTITION BY ratio_name, seed_name, lang ORDER BY sha256(CAST(seed + step AS VARCHAR) || ':' || source), source) - 1 AS r, count(*) OVER (PARTITION BY ratio_name, seed_name, lang) AS n, ratio FROM (SELECT DISTINCT lang, source FROM documents), k, s),
+    c AS (SELECT ratio_name, seed_name, lang, source, r < greatest(1, ceil(n * ratio)) AS chosen FROM g)
+    SELECT ratio_name, seed_name, lang AS family_label, count(DISTINCT source) AS full_groups, count(DISTINCT source) FILTER (chosen) AS subset_groups, count(DISTINCT doc_id) AS full_records, count(DISTINCT doc_id) FILTER (chosen) AS subset_records, round(count(DISTINCT source) FILTER (chosen) / count(DISTINCT source), 4) AS groups_ratio, round(count(DISTINCT doc_id) FILTER (chosen) / count(DISTINCT doc_id), 4) AS records_ratio
+    FROM documents JOIN c USING (lang, source) GROUP BY ratio_name, seed_name, lang"""
+)
+def subset_table(spark, d):
+    """Every ratio's and seed's train subset by class: groups and records of all and of the subset."""
+    docs = read(spark, d, "documents").select(F.col("lang").alias("family_label"), F.col("source").alias("recording_group_id"), F.col("doc_id").alias("record_id"), F.col("doc_id").alias("segment_id"))
+    train = docs.withColumn("seed_name", F.explode(F.array(F.lit("seed0"), F.lit("seed1"))))
+    chosen = analysis.subsets(train, {"train25": 0.25, "train100": 1.0}, {"seed0": 5, "seed1": 11})
+    return analysis.subset_tables(train, chosen)[0].select("ratio_name", "seed_name", "family_label", "full_groups", "subset_groups", "full_records", "subset_records", "groups_ratio", "records_ratio")
+
+
+@query(f"WITH c AS ({_CLASSES}), l AS (SELECT split, label_id AS layer_index, round(avg(f1_mean), 6) AS macro_f1_mean FROM c GROUP BY split, label_id) SELECT split, layer_index, macro_f1_mean FROM l QUALIFY row_number() OVER (PARTITION BY split ORDER BY macro_f1_mean DESC, layer_index) = 1")
+def best_layers(spark, d):
+    """The best layer of each split, the class of a line standing for the layer."""
+    rows = class_table(spark, d).groupBy("split", F.col("label_id").alias("layer_index")).agg(six(F.avg("f1_mean")).alias("macro_f1_mean"))
+    return analysis.best_layers(rows)
+
+
 # ---- audits ----------------------------------------------------------------------------------
 
 
