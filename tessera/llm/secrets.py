@@ -165,32 +165,31 @@ def named(spans: Column) -> Column:
 def scan(docs: DataFrame, rules=BASE + MORE, text: str = "text") -> DataFrame:
     """``docs``' doc_id and text, with ``found``: all spans by start, then by the order of the rules.
 
-    Documents that are no candidate of any rule have no spans, and their texts are
-    not shuffled: a fixed-size filter of the candidates is broadcast, and only what
-    passes it is joined with them and verified.
+    Only candidates' texts are shuffled: a fixed-size filter of the candidates is
+    broadcast, and what passes it is joined with them and verified. Other texts are
+    scanned where they are read, for the rules without mandatory trigrams alone.
     """
     rules = tuple(rules)
     indexed = [r for r in rules if trigram_query(r.pattern)]
     rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     none = F.from_json(F.lit("[]"), SPAN)
 
-    def verified(df: DataFrame) -> DataFrame:
-        each = []
+    def verified(df: DataFrame, own) -> DataFrame:
+        each = [none]
         for rank, rule in enumerate(rules):
-            ask = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
-            each.append(F.when(ask & F.col("text").rlike(rule.pattern), found(F.col("text"), rule, rank)).otherwise(none))
+            if rule in own:
+                ask = F.array_contains("kinds", rule.kind) if rule in indexed else F.lit(True)
+                each.append(F.when(ask & F.col("text").rlike(rule.pattern), found(F.col("text"), rule, rank)).otherwise(none))
         return df.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("found"))
 
+    everywhere = [r for r in rules if r not in indexed]
     if not indexed:
-        return verified(rows.withColumn("kinds", F.lit(None).cast("array<string>")))
+        return verified(rows, everywhere)
     with scope(docs.sparkSession):
         chosen = kept(candidates(build_index(docs, indexed, text), indexed).withColumnRenamed("doc_id", "_id"), "secret-candidates")
     key = F.col("doc_id").cast("long")
-    asked = lambda df: verified(df.join(chosen, key.eqNullSafe(F.col("_id")), "left"))
-    if len(indexed) < len(rules):  # a rule without trigrams asks every text
-        return asked(rows)
     maybe, others = apart(rows, chosen.select("_id"), key)
-    return asked(maybe).unionByName(others.select("doc_id", "text", none.alias("found")))
+    return verified(maybe.join(chosen, key.eqNullSafe(F.col("_id")), "left"), rules).unionByName(verified(others, everywhere))
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

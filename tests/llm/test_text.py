@@ -220,3 +220,19 @@ def test_chat_after_a_long_system_turn(spark):
         assert bodies[0] == "s" * len(bodies[0]) and sum(map(size, bodies[1:])) <= 1024
     for c in (1, 2):
         assert shown.where(f"conv_id = {c}").count() <= total[c] / (1024 / chat.FLOOR) + 1
+
+
+def test_only_candidates_are_shuffled(spark):
+    """Without automatic broadcasts too, texts that no indexed rule asks for pass no exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, "plain text " + "0a" * (i % 30)) for i in range(50)] + [(99, "token=abcdefgh")], "doc_id long, text string")
+        out = secrets.scan(docs)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        union = plan[plan.index("Union") :]
+        branches = union.split("\n:- " if "\n:- " in union else "\n+- ")
+        assert any("Join LeftOuter, " in b and "strategy=broadcast" in b for b in branches)
+        assert out.count() == 51 and out.where("size(found) > 0").count() == 50 - sum(i % 30 < 12 for i in range(50)) + 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
