@@ -833,14 +833,19 @@ _CELLS = "SELECT l_method AS method, 's' || CAST(l_linenumber % 3 AS VARCHAR) AS
 
 
 @query(
-    f"""WITH c AS ({_CELLS}), r AS (SELECT *, n / sum(n) OVER (PARTITION BY method, seed, true_label) AS rate FROM c)
+    f"""WITH o AS ({_CELLS}), v(x) AS (VALUES ('A'), ('N'), ('R')), g AS (SELECT DISTINCT method, seed FROM (SELECT DISTINCT method FROM o), (VALUES ('s0'), ('s1'), ('s2')) w(seed)),
+    c AS (SELECT g.method, g.seed, a.x AS true_label, b.x AS pred_label, coalesce(n, 0) AS n FROM g, v a, v b LEFT JOIN o ON o.method = g.method AND o.seed = g.seed AND o.true_label = a.x AND o.pred_label = b.x),
+    r AS (SELECT *, coalesce(n / nullif(sum(n) OVER (PARTITION BY method, seed, true_label), 0), 0) AS rate FROM c)
     SELECT method, true_label, pred_label, round(avg(n), 6) AS count_mean, round(stddev_samp(n), 6) AS count_std, round(avg(rate), 6) AS rate_mean, round(stddev_samp(rate), 6) AS rate_std, count(DISTINCT seed) AS n_seeds FROM r GROUP BY ALL"""
 )
 def confusion_table(spark, d):
     """Confusion counts and row rates over seeds, as mean and deviation."""
     pred = F.when(F.col("l_partkey") % 3 == 0, "A").when(F.col("l_partkey") % 3 == 1, "N").otherwise("R")
     cells = read(spark, d, "lineitem").groupBy(F.col("l_method").alias("method"), F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("seed"), F.col("l_returnflag").alias("true_label"), pred.alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
-    out = analysis.confusion_tables(cells, ["method"])
+    labels = [small(spark, ["A", "N", "R"], c) for c in ("true_label", "pred_label")]
+    grid = cells.select("method").distinct().crossJoin(small(spark, ["s0", "s1", "s2"], "seed")).crossJoin(labels[0]).crossJoin(labels[1])  # a row a cell, as confusion files have it
+    dense = grid.join(cells, grid.columns, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = analysis.confusion_tables(dense, ["method"])
     return out.select("method", "true_label", "pred_label", *(six(F.col(c)).alias(c) for c in ("count_mean", "count_std", "rate_mean", "rate_std")), "n_seeds")
 
 
