@@ -600,12 +600,14 @@ def join_violations(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def orders_without_items(spark, d):
+    """All orders; only large lines count as items, so that some orders have none (the filter is the case)."""
     big = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
     return joins.unmatched(read(spark, d, "orders").select("o_orderkey"), big, ["o_orderkey"])
 
 
 @query("SELECT o_orderkey, o_custkey, c.place FROM orders JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer WHERE c_acctbal > 5000) c ON o_custkey = c_custkey")
 def semi_ordered(spark, d):
+    """All orders of the customers on a list; the list is of those above a balance (the filter is the case)."""
     rich = read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
     listed = numbering.numbers(rich, [], [-F.col("c_acctbal"), "o_custkey"], "place").drop("c_acctbal")
     return joins.in_listed_order(read(spark, d, "orders").select("o_orderkey", "o_custkey"), listed, "o_custkey", "place")
@@ -626,6 +628,7 @@ def incomplete_cells(spark, d):
 
 @query("SELECT key, source_rank, amount FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source_rank, amount) AS r FROM (SELECT c_nationkey AS key, 0 AS source_rank, round(max(c_acctbal), 6) AS amount FROM customer WHERE c_nationkey < 12 GROUP BY 1 UNION ALL SELECT s_nationkey, 1, round(max(s_acctbal), 6) FROM supplier GROUP BY 1)) WHERE r = 1")
 def union_keep_first(spark, d):
+    """Customers of some nations first, then all suppliers, so that either side has keys of its own (the filter is the case)."""
     a = read(spark, d, "customer").where("c_nationkey < 12").groupBy(F.col("c_nationkey").alias("key")).agg(six(F.max("c_acctbal")).alias("amount"))
     b = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(six(F.max("s_acctbal")).alias("amount"))
     return joins.keep_first([a, b], ["key"]).select("key", "source_rank", "amount")
@@ -633,6 +636,7 @@ def union_keep_first(spark, d):
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'missing_file' AS problem FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05) UNION ALL SELECT CAST(k AS VARCHAR), 'unlisted_file' FROM (SELECT DISTINCT l_partkey + 0 AS k FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05) WHERE k NOT IN (SELECT p_partkey FROM part)")
 def listing_differences(spark, d):
+    """All parts against a listing; the listing is of the parts of some lines, so that files are missing (the filter is the case)."""
     part = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"))
     return joins.listing_differences(part, read(spark, d, "lineitem").where("l_quantity > 49 and l_discount > 0.05").select(F.col("l_partkey").cast("string").alias("path")))
 
@@ -733,6 +737,7 @@ def select_best(spark, d):
 
 @query("WITH t AS (SELECT event_type AS kind, event_id, round(value, 6) AS score, row_number() OVER (PARTITION BY event_type ORDER BY round(value, 6) DESC, event_id) AS r FROM events WHERE value IS NOT NULL), o AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, score DESC, event_id) AS case_rank FROM t) SELECT kind, event_id, score, case_rank FROM o WHERE case_rank <= 20")
 def topk_diverse(spark, d):
+    """All events with a score; rows without one cannot be ranked."""
     events = read(spark, d, "events").where("value is not null").select(F.col("event_type").alias("kind"), "event_id", six(F.col("value")).alias("score"))
     return rollup.diverse_top_k(events, "kind", "score", "event_id", 20).select("kind", "event_id", "score", F.col("case_rank").cast("long"))
 
@@ -784,6 +789,7 @@ def size_by_all_groupings(spark, d):
 
 @query("WITH l AS (SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'purchase') WHERE r = 1) SELECT coalesce(c_custkey, user_id) AS run_id, CASE WHEN user_id IS NOT NULL THEN event_type ELSE 'new' END AS status, CASE WHEN user_id IS NOT NULL THEN event_id END AS event_id, CASE WHEN c_custkey IS NOT NULL THEN c_mktsegment END AS segment FROM customer FULL JOIN l ON c_custkey = user_id")
 def registry_upsert(spark, d):
+    """All customers as old rows; events but purchases as new ones, so that some rows stay as they were (the filter is the case)."""
     events = read(spark, d, "events").where("event_type <> 'purchase'")
     new = registry.latest(events, "user_id", [F.desc("ts"), F.desc("event_id")]).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("status"), "event_id")
     old = read(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("new").alias("status"), F.col("c_mktsegment").alias("segment"))
