@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import mean_std
 from ..operators import gates, joins, rollup, sampling
 from ..operators.gates import GateError
 
@@ -69,6 +70,21 @@ def best_layers(summary: DataFrame, splits=SPLITS) -> DataFrame:
     return summary.where(F.col("split").isin(*splits)).groupBy("split").agg(best.alias("b")).select("split", "b.*")
 
 
+def layer_report(summary: DataFrame, short: dict[str, str] | None = None, metrics=("macro_f1", "accuracy"), by: str = "macro_f1") -> DataFrame:
+    """A row per layer: its name, and each split's metrics as mean±std; "-" where a split lacks the layer.
+
+    ``short``: split -> prefix of its columns. Each split's best layer by the mean
+    of ``by`` (the first on ties) is bold in all its columns.
+    """
+    short = short or {"test": "test", "external_test": "ext"}
+    best = best_layers(summary.withColumn("macro_f1_mean", F.col(f"{by}_mean")), tuple(short)).select("split", F.col("layer_index").alias("_best"))
+    rows = summary.join(F.broadcast(best), "split", "left")  # a row a split
+    cell = lambda split, m: F.coalesce(F.max(F.when(F.col("split") == split, mean_std(F.col(f"{m}_mean"), F.col(f"{m}_std"), F.col("layer_index") == F.col("_best")))), F.lit("-"))
+    out = rows.groupBy("layer_index").agg(*(cell(split, m).alias(f"{prefix}_{m}") for split, prefix in short.items() for m in metrics))
+    named = F.when(F.col("layer_index") == 0, "embedding_output").otherwise(F.format_string("transformer_layer_%d", "layer_index"))
+    return out.select("layer_index", named.alias("layer_name"), *(c for c in out.columns if c != "layer_index")).orderBy("layer_index")
+
+
 def subsets(train: DataFrame, ratios: dict[str, float], seeds: dict[str, int], label: str = "family_label", group: str = "recording_group_id") -> DataFrame:
     """Every ratio's and seed's train rows: (ratio_name, seed_name, rows of ``train``, selection_rank); whole groups only.
 

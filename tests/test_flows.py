@@ -124,3 +124,23 @@ def test_streaming(spark, tmp_path):
     q = streaming.sessions(stream, "user_id").writeStream.format("memory").queryName("tessera_sessions").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["user_id"], r["n"]) for r in spark.table("tessera_sessions").collect()} <= {(1, 2), (1, 1), (2, 1)}
+
+
+def streamed(spark, tmp_path, frame, name):
+    """A stream's whole result, run to its end."""
+    where = str(tmp_path / name)
+    q = frame.writeStream.format("parquet").option("path", where).option("checkpointLocation", f"{where}-state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(where)
+
+
+def test_windows_and_duplicates_of_a_stream(spark, tmp_path):
+    from tessera import streaming
+
+    rows = [(1, "2024-01-01 00:00:10", 1.0), (1, "2024-01-01 00:04:59", 2.0), (2, "2024-01-01 00:05:00", 4.0), (1, "2024-01-01 00:00:10", 8.0), (2, "2024-01-01 00:12:00", 16.0), (3, "2024-01-01 03:00:00", 32.0)]
+    spark.createDataFrame(rows, "user_id int, ts string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema("user_id int, ts timestamp, value double").parquet(str(tmp_path / "events"))
+    closed = {(str(r["start"]), r["n"], r["total"]) for r in streamed(spark, tmp_path, streaming.tumbling(stream, "value"), "tumbling").collect()}
+    assert closed == {("2024-01-01 00:00:00", 3, 11.0), ("2024-01-01 00:05:00", 1, 4.0), ("2024-01-01 00:10:00", 1, 16.0)}  # the last window is still open
+    first = streamed(spark, tmp_path, streaming.distinct_within(stream, ["user_id"]), "distinct").collect()
+    assert sorted(r["user_id"] for r in first) == [1, 2, 3]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import rollup
 from tessera.operators.gates import GateError
-from tessera.plans import evaluation
+from tessera.plans import analysis, evaluation
 from tessera.sources import results, runs
 
 #: (method, seed, total, trainable, ratio, preparation, training, total, epoch, step) of published runs.
@@ -111,3 +111,26 @@ def test_a_missing_confusion_file_is_an_error(spark, tmp_path):
     assert runs.confusion_cells(spark, str(tmp_path), ["a", "b"], expected=need("seed0")).count() == 4
     with pytest.raises(GateError, match="m/seed1/test"):
         runs.confusion_cells(spark, str(tmp_path), ["a", "b"], expected=need("seed0", "seed1"))
+
+
+#: (layer, split, macro F1 mean and deviation, accuracy mean and deviation) of three published layers, and their rows of the published table.
+LAYERS = [
+    (0, "external_test", 0.29701103507770776, 0.01883507629400216, 0.3628415300546448, 0.020757835970735054), (0, "test", 0.9661312093489595, 0.010657730629403218, 0.9616996315545809, 0.015880155475367756),
+    (6, "external_test", 0.32378161581548387, 0.030794467799771325, 0.3879781420765027, 0.01658359661802569), (6, "test", 0.9802246731294165, 0.01514834100768753, 0.9747158880814294, 0.021549470350095783),
+    (11, "external_test", 0.45154568967667147, 0.061180376650465, 0.5207650273224044, 0.04520351225712252), (11, "test", 0.9538712433461037, 0.03450610602157123, 0.9409544945681366, 0.048316095210504374),
+]
+LAYER_TABLE = [
+    (0, "embedding_output", "0.9661±0.0107", "0.9617±0.0159", "0.2970±0.0188", "0.3628±0.0208"),
+    (6, "transformer_layer_6", "**0.9802±0.0151**", "**0.9747±0.0215**", "0.3238±0.0308", "0.3880±0.0166"),
+    (11, "transformer_layer_11", "0.9539±0.0345", "0.9410±0.0483", "**0.4515±0.0612**", "**0.5208±0.0452**"),
+]
+
+
+def test_the_published_layer_table(spark):
+    summary = spark.createDataFrame(LAYERS, "layer_index int, split string, macro_f1_mean double, macro_f1_std double, accuracy_mean double, accuracy_std double")
+    out = analysis.layer_report(summary)
+    assert out.columns == ["layer_index", "layer_name", "test_macro_f1", "test_accuracy", "ext_macro_f1", "ext_accuracy"]
+    assert [tuple(r) for r in out.collect()] == LAYER_TABLE
+    lacking = analysis.layer_report(summary.where("layer_index <> 11 or split = 'test'")).collect()
+    assert tuple(lacking[2])[4:] == ("-", "-") and lacking[1]["ext_macro_f1"] == "**0.3238±0.0308**"
+    assert analysis.layer_report(summary.limit(0)).collect() == []
