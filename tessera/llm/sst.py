@@ -54,7 +54,9 @@ ODD = "\x1c\x1d\x1e\x1f"
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts of ASCII and Latin letters, where the faster ``re`` has equal classes and cuts alike.
 LATIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ]*")
-LATIN_CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Classes are spelled as ranges, which ``re`` looks up; differences of classes take twice the time.
+LETTER, WHITE = "A-Za-zÀ-ÖØ-öø-ɏ", r" \t-\r"
+LATIN_CUT = re.compile(rf" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{WHITE}0-9{LETTER}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def byte_letters() -> dict[int, int]:
