@@ -2,8 +2,8 @@
 
 A sequence is an array of words of 32 bits. Two words of at most r different
 bits share a half with at most r / 2 of them, and two halves of at most q
-different bits meet if one is changed in at most q - q / 2 and the other in at most
-q / 2 places. So words are joined on equality of (half, changed half), never all
+different bits meet if the one is changed in at most p and the other in at most
+q - p places. So words are joined on equality of (half, changed half), never all
 with all, and the bits are counted where they meet.
 """
 
@@ -18,6 +18,8 @@ from ..functions.arrays import hamming_similarity
 from ..session import settled
 
 WORD, HALF = 32, 16
+#: Rows of lookup tables that are broadcast; larger ones are shuffled.
+LOOKUP = 200_000
 
 
 def changes(most: int) -> list[int]:
@@ -46,9 +48,20 @@ def different(a: Column, b: Column) -> Column:
     return F.bit_count(a.cast("long").bitwiseXOR(b.cast("long")))
 
 
+def cheapest_radii(bits: int, a: int, b: int) -> tuple[int, int]:
+    """Like ``radii``, for sides of ``a`` and ``b`` words: the split with the fewest keys, so the small side is changed more."""
+    within = bits // 2
+    return min(((within - r, r) for r in range(within + 1)), key=lambda s: a * len(changes(s[0])) + b * len(changes(s[1])))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled table, to be broadcast if it has at most ``LOOKUP`` rows."""
+    return F.broadcast(df) if df.count() <= LOOKUP else df
+
+
 def near_words(a: DataFrame, b: DataFrame, bits: int) -> DataFrame:
-    """(a, b): the words of two one-column frames of distinct words with at most ``bits`` different bits."""
-    left, right = radii(bits)
+    """(a, b): the words of two settled one-column frames of distinct words with at most ``bits`` different bits."""
+    left, right = cheapest_radii(bits, a.count(), b.count())
     x = a.toDF("a").select("a", F.explode(halves(F.col("a"), left)).alias("key"))
     y = b.toDF("b").select("b", F.explode(halves(F.col("b"), right)).alias("key"))
     return x.join(y, "key").where(different(F.col("a"), F.col("b")) <= bits).select("a", "b").distinct()
@@ -112,17 +125,22 @@ def contained_pairs(short: DataFrame, long: DataFrame, similarity: float, ratio:
     if far_bits >= near + 1:
         raise ValueError("near must allow for the bits that may differ in an average word")
     n = F.col("n")
-    items = settled(short.where(F.size("words") > 0).select("group", "tag", "short", "words", F.size("words").alias("n")))
     docs = long.where(F.size("words") > 0).select("group", F.col("tag").alias("long_tag"), "long", "words", F.size("words").alias("m"))
+    # Only sequences that some other one can hold, or be held by, are cut into words.
+    longest = settled(docs.groupBy("group").agg(F.max("m").alias("longest")))
+    items = short.where(F.size("words") > 0).select("group", "tag", "short", "words", F.size("words").alias("n"))
+    items = settled(items.join(small(longest), "group").where("n <= longest").drop("longest"))
+    shortest = settled(items.groupBy("group").agg(F.min("n").alias("shortest")))
+    docs = docs.join(small(shortest), "group").where("m >= shortest").drop("shortest")
     placed = docs.select("group", "long_tag", "long", "m", F.posexplode("words").alias("pos", "w"))
     known = settled(placed.groupBy("w").agg(F.count(F.lit(1)).alias("df")))
     far = F.floor(F.floor(F.lit(far_bits) * n + 1e-9) / (near + 1))
     words = items.select("group", "tag", "short", "n", F.posexplode("words").alias("at", "iw")).join(known.select(F.col("w").alias("iw"), "df"), "iw", "left")
     ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("group", "short").orderBy(F.coalesce("df", F.lit(0)), "at")))
     anchors = settled(ranked.withColumn("hits", F.least(F.lit(hits), n - far)).where(F.col("k") <= far + F.col("hits")).select("group", "tag", "short", "n", "at", "iw", "hits"))
-    alike = settled(near_words(known.select("w"), anchors.select("iw").distinct(), near))
-    met = placed.join(alike.toDF("w", "iw"), "w").join(anchors, ["group", "iw"]).withColumn("offset", F.col("pos") - F.col("at")).where("tag <> long_tag and offset >= 0 and offset + n <= m").where(n >= F.lit(float(ratio)) * F.col("m"))
-    votes = met.groupBy("group", "long", "short", "offset").agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits")).where("found >= hits")
-    full = votes.join(docs.select("group", "long", F.col("words").alias("body")), ["group", "long"]).join(items.drop("tag"), ["group", "short"])
+    alike = settled(near_words(known.select("w"), settled(anchors.select("iw").distinct()), near).toDF("w", "iw").join(anchors, "iw").drop("iw"))
+    met = placed.join(small(alike), ["group", "w"]).withColumn("offset", F.col("pos") - F.col("at")).where("tag <> long_tag and offset >= 0 and offset + n <= m").where(n >= F.lit(float(ratio)) * F.col("m"))
+    votes = settled(met.groupBy("group", "long", "short", "offset").agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits")).where("found >= hits"))
+    full = docs.select("group", "long", F.col("words").alias("body")).join(small(votes), ["group", "long"]).join(items.drop("tag"), ["group", "short"])
     sims = full.select("group", "short", "long", hamming_similarity(F.slice("body", F.col("offset") + 1, n), F.col("words")).alias("sim"))
     return sims.where(F.col("sim") >= similarity).groupBy("group", "short", "long").agg(F.max("sim").alias("sim"))

@@ -265,7 +265,7 @@ def hamming_pairs(spark, d):
 def containment_pairs(spark, d):
     """Documents and benchmark items, as sequences of word hashes, one of which holds the other with at most a tenth of the bits different."""
     words = lambda table, id_: read(spark, d, table).select(F.lit(0).alias("group"), F.lit(table).alias("tag"), id_, F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: F.crc32(w)).alias("words"))
-    items, docs = words("benchmark", "item_id"), words("documents", "doc_id")
+    items, docs = (settled(words(*x)) for x in (("benchmark", "item_id"), ("documents", "doc_id")))  # texts are cut once
     inside = similar.contained_pairs(items.withColumnRenamed("item_id", "short"), docs.withColumnRenamed("doc_id", "long"), 0.90).select(F.col("long").alias("doc_id"), F.col("short").alias("item_id"), "sim")
     around = similar.contained_pairs(docs.withColumnRenamed("doc_id", "short"), items.withColumnRenamed("item_id", "long"), 0.90).select(F.col("short").alias("doc_id"), F.col("long").alias("item_id"), "sim")
     return inside.union(around).groupBy("doc_id", "item_id").agg(six(F.max("sim")).alias("containment_sim"))

@@ -89,3 +89,27 @@ def test_empty(spark):
     assert dedup.fingerprint_candidates(frame(spark, []), "family", "subtype", "fp").collect() == []
     with pytest.raises(ValueError):
         similar.contained_pairs(frame(spark, []), frame(spark, []), 0.5)
+
+
+def test_small_sides_are_changed_in_more_places():
+    assert similar.cheapest_radii(5, 1000, 1000) == (1, 1) == similar.radii(5)
+    assert similar.cheapest_radii(5, 1_000_000, 1000) == (0, 2) and similar.cheapest_radii(5, 1000, 1_000_000) == (2, 0)
+
+
+def test_only_sequences_that_fit_are_cut_into_words(spark, monkeypatch):
+    """A sequence longer than all that could hold it is neither ranked nor searched."""
+    rng, rows, settled = random.Random(3), [], similar.settled
+
+    def counted(df):
+        out = settled(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "settled", counted)
+    held = [rng.getrandbits(32) for _ in range(4)]
+    short = [(0, "a", f"s{i}", [rng.getrandbits(32) for _ in range(200)]) for i in range(40)] + [(0, "a", "in", held)]
+    long = [(0, "b", "l0", [7, *held, 9]), (0, "b", "l1", [1, 2, 3])]
+    frames = [spark.createDataFrame(x, f"group int, tag string, {name} string, words array<bigint>") for x, name in ((short, "short"), (long, "long"))]
+    got = similar.contained_pairs(*frames, 0.9).collect()
+    assert [tuple(r) for r in got] == [(0, "in", "l0", 1.0)]
+    assert max(rows) <= 10
