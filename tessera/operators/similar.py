@@ -139,7 +139,7 @@ def contained_pairs(short: DataFrame, long: DataFrame, similarity: float, ratio:
     ranked = words.withColumn("k", F.row_number().over(Window.partitionBy("group", "short").orderBy(F.coalesce("df", F.lit(0)), "at")))
     anchors = settled(ranked.withColumn("hits", F.least(F.lit(hits), n - far)).where(F.col("k") <= far + F.col("hits")).select("group", "tag", "short", "n", "at", "iw", "hits"))
     alike = settled(near_words(known.select("w"), settled(anchors.select("iw").distinct()), near).toDF("w", "iw").join(anchors, "iw").drop("iw"))
-    met = placed.join(small(alike), ["group", "w"]).withColumn("offset", F.col("pos") - F.col("at")).where("tag <> long_tag and offset >= 0 and offset + n <= m").where(n >= F.lit(float(ratio)) * F.col("m"))
+    met = placed.join(small(alike.hint("shuffle_hash")), ["group", "w"]).withColumn("offset", F.col("pos") - F.col("at")).where("tag <> long_tag and offset >= 0 and offset + n <= m").where(n >= F.lit(float(ratio)) * F.col("m"))
     votes = settled(met.groupBy("group", "long", "short", "offset").agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits")).where("found >= hits"))
     full = docs.select("group", "long", F.col("words").alias("body")).join(small(votes), ["group", "long"]).join(items.drop("tag"), ["group", "short"])
     sims = full.select("group", "short", "long", hamming_similarity(F.slice("body", F.col("offset") + 1, n), F.col("words")).alias("sim"))
