@@ -192,8 +192,12 @@ def blocks(benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK):
 HITS = T.StructType([T.StructField("segment", T.StringType()), T.StructField("place", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("runs", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def document_hits(index: DataFrame, items: list, size: int = WINDOW) -> DataFrame:
-    """A row per document: its words, the runs of hit words, the items that occur."""
+def document_hits(index: DataFrame, items: list, size: int = WINDOW, then=None, schema=None) -> DataFrame:
+    """A row per document: its words, the runs of hit words, the items that occur.
+
+    ``then``, if given, makes batches of ``schema`` of these, in the same worker: two
+    Python functions in a row would hold a second worker for each task.
+    """
     shared = index.sparkSession.sparkContext.broadcast(Windows(items, size))
 
     def search(batches):
@@ -228,7 +232,7 @@ def document_hits(index: DataFrame, items: list, size: int = WINDOW) -> DataFram
                 [pa.array([segment.name] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array([segment.ids[i] for i in own], pa.int64()), pa.array(segment.lengths[own.start : own.stop], pa.int64()),
                  pa.array([runs.get(i, b"") for i in own], pa.binary()), pa.array([sorted(windows.names[k] for k in met.get(i, ())) for i in own], pa.list_(pa.string()))], HITS.names)
 
-    return index.mapInArrow(lean(search), HITS)
+    return index.mapInArrow(lean(search), HITS) if then is None else index.mapInArrow(lean(lambda batches: then(search(batches))), schema)
 
 
 def merged(runs: list[bytes]) -> np.ndarray:
@@ -257,26 +261,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, te
 
 def judged(index: DataFrame, benchmark: DataFrame, share: float, size: int, block_bytes: int) -> DataFrame:
     per_hundred_thousand = round(share * 100_000)
-    found = [document_hits(index, items, size) for items in blocks(benchmark, block_bytes=block_bytes)] or [document_hits(index, [], size)]
-    if len(found) == 1:
-        hits = found[0].select("doc_id", "n_words", F.array("runs").alias("runs"), F.array("items").alias("items"))
-    else:
-        # The blocks' answers for a document meet at its segment and its place there: a row a block.
-        every = found[0]
-        for more in found[1:]:
-            every = every.union(more)
-        hits = every.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items")).drop("segment", "place")
 
-    def judge(batches):
+    def judge(batches, single=False):
         for batch in batches:
             out = []
-            for doc_id, n, runs, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, n, runs, items in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "runs", "items")), strict=True):
+                if single:
+                    runs, items = [runs], [items]
                 runs, names = merged(runs), sorted({x for own in items for x in own})
                 hit = int((runs[:, 1] - runs[:, 0]).sum())
                 out.append((doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 100_000 * hit >= per_hundred_thousand * n, runs.tolist(), names))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), JUDGED, strict=True)], [c.split()[0] for c in CONTAMINATION.split(", ")])
 
+    items = list(blocks(benchmark, block_bytes=block_bytes)) or [[]]
+    if len(items) == 1:
+        return document_hits(index, items[0], size, lambda batches: judge(batches, True), CONTAMINATION)
+    # The blocks' answers for a document meet at its segment and its place there: a row a block.
+    every = document_hits(index, items[0], size)
+    for more in items[1:]:
+        every = every.union(document_hits(index, more, size))
+    hits = every.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items")).drop("segment", "place")
     return hits.mapInArrow(lean(judge), CONTAMINATION)
 
 

@@ -40,7 +40,7 @@ from .common import Remembered, extended, lean
 
 SPACE = "▁"
 #: At a space that follows another character, as far as no piece spans such a place.
-WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+WORDS = re.compile(" *[^ ]+| +")
 NONE = float("-inf")
 #: Characters of a text that the search is given at once.
 FEED = 256
@@ -82,10 +82,14 @@ class Model:
 
 
 class Encoder(Remembered):
-    """Packed ids of texts; those of stretches that no piece leaves are remembered."""
+    """Packed ids of texts; those of stretches that no piece leaves are remembered.
+
+    Stretches are keys with plain spaces, so most take a byte a character, and a
+    generation has as many as a dictionary of 2**18 places holds.
+    """
 
     def __init__(self, model: Model):
-        super().__init__(200_000)
+        super().__init__((1 << 18) * 2 // 3)
         self.model = model
 
     def stream(self, chars, own: str | None = None):
@@ -165,7 +169,7 @@ class Encoder(Remembered):
         return b"".join([array("I", ids).tobytes() for ids in self.stream(parts, own)])
 
     def compute(self, stretch: str) -> bytes:
-        return self.searched(stretch)
+        return self.searched(stretch.replace(" ", SPACE))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
@@ -174,8 +178,9 @@ class Encoder(Remembered):
         if SPACE in text:
             own = next(chr(c) for some in STAND_INS for c in some if chr(c) not in text)
             return self.searched(SPACE + text.replace(SPACE, own).replace(" ", SPACE), own)
-        whole = SPACE + text.replace(" ", SPACE)
-        return b"".join(map(self.__getitem__, WORDS.findall(whole))) if self.model.words else self.searched(whole)
+        if self.model.words:
+            return b"".join([self[m[0]] for m in WORDS.finditer(" " + text)])
+        return self.searched(SPACE + text.replace(" ", SPACE))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.model.text_of.__getitem__, ids))[1:].decode("utf-8", "replace")
