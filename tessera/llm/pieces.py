@@ -179,7 +179,7 @@ class Encoder(Remembered):
             own = next(chr(c) for some in STAND_INS for c in some if chr(c) not in text)
             return self.searched(SPACE + text.replace(SPACE, own).replace(" ", SPACE), own)
         if self.model.words:
-            return b"".join([self[m[0]] for m in WORDS.finditer(" " + text)])
+            return b"".join(map(self.__getitem__, WORDS.findall(" " + text)))
         return self.searched(SPACE + text.replace(" ", SPACE))
 
     def decode(self, ids) -> str:
